@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,12 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, for later tasks to use."""
+    name = "strata_worker_state"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, url_filter
+from . import decontaminate, packing, sharding, url_filter
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_feistel_sharding": sharding.op10_feistel_sharding,
 }
 
