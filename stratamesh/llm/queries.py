@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, url_filter
+from . import decontaminate, media, packing, pii, sharding, url_filter
 
 QUERIES = {
+    "op3_media_chunks": media.op3_media_chunks,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_pii": pii.op9_pii,
     "op10_feistel_sharding": sharding.op10_feistel_sharding,
 }
 
