@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, pii, sharding, url_filter
+from . import decontaminate, language, media, packing, pii, sharding, url_filter
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op3_media_chunks": media.op3_media_chunks,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
