@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise, shared_dir
+
+__all__ = ["FOLD", "LOWER", "UPPER", "fold", "fold_id", "materialise", "shared_dir", "table", "worker_state"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Translation table for bytes: only A-Z change.
@@ -26,44 +27,12 @@ def fold(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one of ``spark.checkpoint.dir``; a temporary folder is set only
-    where the session names none, as in tests.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder, read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker, for later tasks to use."""
     name = "strata_worker_state"
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended already
-        pass
-
-
 def fold_id(doc_id: Column, k: int) -> Column:
     """crc32 of the id's text, modulo ``k``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
