@@ -73,7 +73,7 @@ def cuts(media: bytes, gear: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, ordinal, digest, size and compressed data of each chunk of each text; null counts as empty."""
+    """key, ordinal, number of parts, digest, size and compressed data of each chunk of each text; null counts as empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -83,14 +83,15 @@ def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             out = []
             for k, t in dict(zip(frame["key"], frame["__text"])).items():
                 media, start = encode_media(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""), 0
-                for ordinal, end in enumerate(cuts(media, gear)):
+                ends = cuts(media, gear)
+                for ordinal, end in enumerate(ends):
                     part = media[start:end]
-                    out.append((k, ordinal, hashlib.sha256(part).digest()[:16], len(part), press.compress(part)))
+                    out.append((k, ordinal, len(ends), hashlib.sha256(part).digest()[:16], len(part), press.compress(part)))
                     start = end
-            yield pd.DataFrame(out, columns=["key", "ordinal", "digest", "size", "data"])
+            yield pd.DataFrame(out, columns=["key", "ordinal", "parts", "digest", "size", "data"])
 
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
-    return own.mapInPandas(run, "key binary, ordinal int, digest binary, size int, data binary")
+    return own.mapInPandas(run, "key binary, ordinal int, parts int, digest binary, size int, data binary")
 
 
 def features(payload: bytes) -> str:
@@ -105,7 +106,7 @@ def features(payload: bytes) -> str:
 def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
     """One row for each key: what the media, put together from the store, contain.
 
-    ``lists`` has key, ordinal and digest; ``store`` has digest, size and data.
+    ``lists`` has key, ordinal, parts and digest; ``store`` has digest, size and data.
     A chunk that is missing or differs from its digest raises an error.
     """
 
@@ -128,7 +129,9 @@ def read_back(lists: DataFrame, store: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     met = lists.join(store, "digest")
-    whole = met.groupBy("key").agg(F.collect_list(F.struct("ordinal", "digest", "size", "data")).alias("parts"))
+    part = F.struct("ordinal", "digest", "size", "data")
+    alone = met.filter("parts = 1").select("key", F.array(part).alias("parts"))  # whole where the join left them
+    whole = alone.unionByName(met.filter("parts > 1").groupBy("key").agg(F.collect_list(part).alias("parts")))
     return whole.mapInPandas(run, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
@@ -144,7 +147,7 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     key = F.unhex(F.sha2(whole.cast("binary"), 256))
     made = chunks(docs.select(key.alias("key"), text), "key", text)
     store = made.groupBy("digest").agg(F.first("size").alias("size"), F.first("data").alias("data"))
-    lists = made.select("key", "ordinal", "digest").distinct()
+    lists = made.select("key", "ordinal", "parts", "digest").distinct()
     rows = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "key": key}).drop(*names[1:-1], text)
     return rows.join(read_back(lists, store), "key").drop("key")
 
