@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, media, packing, pii, sharding, url_filter
+from . import decontaminate, jaccard, language, media, packing, pii, sharding, substrings, url_filter
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
+    "op2_suffix_array_dedup": substrings.op2_suffix_array_dedup,
     "op3_media_chunks": media.op3_media_chunks,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
