@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, media, packing, pii, sharding, substrings, url_filter
+from . import decontaminate, jaccard, language, media, packing, pii, pitman_yor, sharding, substrings, url_filter
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_suffix_array_dedup": substrings.op2_suffix_array_dedup,
     "op3_media_chunks": media.op3_media_chunks,
+    "op4_pitman_yor": pitman_yor.op4_pitman_yor,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
