@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 
+#: Up to so many edges (16 bytes each) are solved in one task, without rounds of shuffles.
+LOCAL_EDGES = 2_000_000
+
+
+def roots_of(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 to n-1 the smallest node of the component, by hooking roots on smaller ones and halving paths."""
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        differ = a != b
+        u, v = u[differ], v[differ]
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = list(frames)
+    u = np.concatenate([f["u"].to_numpy() for f in frames] or [np.empty(0, dtype=np.int64)])
+    v = np.concatenate([f["v"].to_numpy() for f in frames] or [np.empty(0, dtype=np.int64)])
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = roots_of(code[: len(u)], code[len(u) :], len(nodes))
+    for a in range(0, len(nodes), 100_000):
+        yield pd.DataFrame({"node": nodes[a : a + 100_000], "root": nodes[root[a : a + 100_000]]})
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is hung on the smallest of the node and its neighbours."""
@@ -31,6 +65,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     known = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     e = materialise(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.count() <= LOCAL_EDGES:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInPandas(_solve, f"node {kind}, root {kind}")
     loops = e.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     e, before = e.filter("u > v"), None
     while True:
