@@ -2,16 +2,19 @@
 
 Two sets with Jaccard similarity of at least g and sizes up to h differ in at
 most k = 2h(1-g)/(1+g) elements. Sets fall into bands of sizes, a set near
-a band's lower end into both. In a band the feature domain is dealt by hash
-into n1 partitions of n2 parts; of similar sets, some partition has at most one
+a band's upper end into the next one too. In a band the feature domain is dealt by hash
+into partitions of n2 parts; of similar sets, some partitions have at most one
 part that differs, so dropping one part at a time (enumerating subsets of
-n2-1 parts) they share a signature. Sets that share one are verified.
+n2-1 parts) they share a signature there. There are more partitions than needed,
+so a few whose signatures hold hardly any element can stay unsigned.
 
-Texts that are equal stand for one another from the start. Linked texts are
-found cluster by cluster, a cluster being what shared signatures connect, and
-each set is sent to its cluster once. Clusters too large for one task are
+Sets that share a signature are compared by parity sketches, which bound
+their difference from below: no pair that could link is lost. What
+passes connects clusters, each set is sent to its cluster once, and
+links are found there exactly. Clusters too large for one task are
 linked in rounds: every signature's sets are compared with a pivot, and pairs in
 one component are settled. When few pairs are open, each of them is verified.
+Texts that are equal stand for one another from the start.
 """
 
 from __future__ import annotations
@@ -25,15 +28,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import components, roots_of
 from .common import materialise, table
 from .tokens import mix, parcels, shingle_sets
 
-BAND = 1.6
+BAND = 1.3
+#: Signatures of fewer elements are left out in as many partitions as there are to spare, one in SPARE.
+LIGHT, SPARE = 2, 16
+#: Rows of signatures compared in one task; a signature of more sets is compared block by block.
+TASK_ROWS, BLOCK_ROWS = 1_000_000, 20_000
 #: Clusters of up to so many texts and elements are linked in one task.
-CLUSTER_TEXTS, CLUSTER_ELEMENTS = 1500, 3_000_000
+CLUSTER_TEXTS, CLUSTER_ELEMENTS = 6000, 4_000_000
+#: Bytes of a cluster's bit table at a time.
+TABLE_BYTES = 96_000_000
 #: Rounds with pivots go on until so many pairs a text are open at most.
-OPEN_PAIRS = 2
+OPEN_PAIRS = 5
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -57,17 +66,92 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     for band in range(own, int(math.log(m / g) / math.log(BAND) + 1e-9) + 1):
         most = math.ceil(BAND ** (band + 1))
         k = int(2 * most * (1 - g) / (1 + g) + 1e-9)
-        n1 = k // 2 + 1  # k differences: a partition has fewer than 2
+        need = k // 2 + 1  # k differences: one of so many partitions has fewer than 2
+        spare = need // SPARE
+        n1 = need + 2 * spare  # either set may leave so many unsigned
         spread = mix(elements + np.uint64(0x5BF0))
+        part = (spread % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.zeros(n1 * n2, dtype=np.uint64)
-        np.add.at(sums, (spread % np.uint64(n1 * n2)).astype(np.int64), mix(spread + np.uint64(1)))
-        sums = sums.reshape(n1, n2)
-        whole = sums.sum(axis=1, dtype=np.uint64)
+        np.add.at(sums, part, mix(spread + np.uint64(1)))
+        sums, held = sums.reshape(n1, n2), np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
         place = np.arange(n1, dtype=np.uint64) * np.uint64(8) + np.uint64(band << 40)
-        out += [mix(mix(whole - sums[:, drop]) + mix(place + np.uint64(drop))) for drop in range(n2)]
+        found = mix(mix(sums.sum(axis=1, dtype=np.uint64)[:, None] - sums) + mix(place[:, None] + np.arange(n2, dtype=np.uint64)))
+        left = held.sum(axis=1)[:, None] - held  # elements in each signature
+        light = np.flatnonzero(left.min(axis=1) < LIGHT)
+        light = light[np.argsort(left[light].min(axis=1), kind="stable")[:spare]]
+        signed = np.ones((n1, n2), dtype=bool)
+        signed[light] = left[light] >= LIGHT
+        out.append(found[signed])
     return np.concatenate(out)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of 2**q parts of the domain, 2**q being as large as the set; empty for the empty set."""
+    if not len(elements):
+        return b""
+    parts = 1 << max(6, (len(elements) - 1).bit_length())
+    at = (mix(elements + np.uint64(0x51)) & np.uint64(parts - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=parts).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Sketches, a row each, over half as many parts."""
+    half = bits.shape[1] // 2
+    if half:
+        return bits[:, :half] ^ bits[:, half:]
+    return (bits ^ (bits >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+
+
+def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(id, other): links that connect the sets of one signature whose sketches let them be similar.
+
+    ``rows`` has signature and id, ``sets`` has id, n and sketch.
+    """
+    ids = sets["id"].to_numpy(dtype=np.int64)
+    order = np.argsort(ids)
+    ids, size = ids[order], sets["n"].to_numpy(dtype=np.int64)[order]
+    words = np.array([len(b) // 8 for b in sets["sketch"]], dtype=np.int64)[order]
+    sketches = sets["sketch"].to_numpy()[order]
+    table_of, row_of, folded = {}, np.zeros(len(ids), dtype=np.int64), {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        table_of[w] = np.frombuffer(b"".join(sketches[at]), dtype=np.uint64).reshape(-1, w)
+        row_of[at] = np.arange(len(at))
+        folded[w] = halved(table_of[w])
+    rows = rows.drop_duplicates().sort_values(["signature", "id"])
+    which = np.searchsorted(ids, rows["id"].to_numpy(dtype=np.int64))
+    signature = rows["signature"].to_numpy()
+    root = np.arange(len(ids))
+    live, d = np.arange(len(which)), 1
+    while True:
+        live = live[live + d < len(which)]
+        live = live[signature[live] == signature[live + d]]
+        if not len(live):
+            break
+        x, y = which[live], which[live + d]
+        far = root[x] != root[y]
+        x, y = np.unique(np.stack([np.minimum(x, y)[far], np.maximum(x, y)[far]]), axis=1) if far.any() else (x[:0], y[:0])
+        small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        fits = 100 * small >= percent * large
+        x, y = x[fits], y[fits]
+        most = (size[x] + size[y]) * (100 - percent) // (100 + percent)
+        passed = np.zeros(len(x), dtype=bool)
+        low, high = np.minimum(words[x], words[y]), np.maximum(words[x], words[y])
+        for w in np.unique(low).tolist():
+            same = np.flatnonzero((low == w) & (high == w))
+            passed[same] = np.bitwise_count(table_of[w][row_of[x[same]]] ^ table_of[w][row_of[y[same]]]).sum(axis=1, dtype=np.int64) <= most[same]
+            other = np.flatnonzero((low == w) & (high == 2 * w))
+            if len(other):
+                a = np.where(words[x[other]] == w, x[other], y[other])
+                b = np.where(words[x[other]] == w, y[other], x[other])
+                passed[other] = np.bitwise_count(table_of[w][row_of[a]] ^ folded[2 * w][row_of[b]]).sum(axis=1, dtype=np.int64) <= most[other]
+        if passed.any():
+            root = roots_of(np.concatenate([np.arange(len(ids)), x[passed]]), np.concatenate([root, y[passed]]), len(ids))
+        d += 1
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pd.DataFrame({"id": ids[moved], "other": ids[root[moved]]})
+
+
 def pack40(elements: np.ndarray) -> bytes:
     """Sorted distinct low 40 bits of each element, 5 bytes each."""
     low = np.unique(elements & _LOW40)
@@ -90,23 +174,39 @@ def link_cluster(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.nd
     holders = np.bincount(code)
     column = np.cumsum(holders > 1) - 1
     words = int((holders > 1).sum()) // 64 + 1
-    bits = np.zeros((m, words), dtype=np.uint64)
-    for row, i in enumerate(order):
-        c = column[cut[i][holders[cut[i]] > 1]]
-        np.bitwise_or.at(bits[row], c >> 6, np.uint64(1) << (c & 63).astype(np.uint64))
     size, ids = size[order], ids[order]
+    at = [column[c[holders[c] > 1]] for c in (cut[i] for i in order)]
+
+    def table_of(low: int, high: int) -> np.ndarray:
+        """Bits of the columns of words ``low`` to ``high``, a row for each set."""
+        bits = np.zeros((m, high - low), dtype=np.uint64)
+        for row, c in enumerate(at):
+            c = c[(c >> 6 >= low) & (c >> 6 < high)]
+            np.bitwise_or.at(bits[row], (c >> 6) - low, np.uint64(1) << (c & 63).astype(np.uint64))
+        return bits
+
+    step = max(1, TABLE_BYTES // (8 * m))
+    common_of = None
+    if words > step:  # in pieces, adding up
+        common_of = np.zeros((m, m), dtype=np.int32)
+        for low in range(0, words, step):
+            bits = table_of(low, min(words, low + step))
+            for i in range(m - 1):
+                common_of[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(axis=1, dtype=np.int32)
+    else:
+        bits = table_of(0, words)
     root = np.arange(m)
     for i in range(m):
         top = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))  # sizes grow: larger ones can't link
         other = np.arange(i + 1, top)
         other = other[root[other] != root[i]]
         if len(other):
-            common = np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
+            common = common_of[i, other].astype(np.int64) if common_of is not None else np.bitwise_count(bits[other] & bits[i]).sum(axis=1, dtype=np.int64)
             for j in root[other[100 * common >= percent * (size[i] + size[other] - common)]]:
                 root[root == root[j]] = root[i]
     least = np.full(m, np.iinfo(np.int64).max)
     np.minimum.at(least, root, ids)
-    out = np.empty(m, dtype=np.int64)
+    out = np.empty(m, dtype=np.int64)  # back in the given order
     out[order] = least[root]
     return out
 
@@ -190,9 +290,10 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
 
     def about(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in _sets_of(frame, "text", n)], "key": [text_key(t) for t in frame["text"]]})
+            both = [(len(s), sketch(s)) for s in _sets_of(frame, "text", n)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [b[0] for b in both], "key": [text_key(t) for t in frame["text"]], "sketch": [b[1] for b in both]})
 
-    rows = materialise(own.mapInPandas(about, "doc_id long, n_shingles long, key binary"))
+    rows = materialise(own.mapInPandas(about, "doc_id long, n_shingles long, key binary, sketch binary"))
 
     def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -215,13 +316,23 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
                 yield pd.DataFrame({"signature": np.concatenate(found).view(np.int64), "id": np.repeat(some["id"].to_numpy(dtype=np.int64), [len(f) for f in found])})
 
     signed = texts.mapInPandas(sign, "signature long, id long")
-    of = Window.partitionBy("signature")
-    shared = materialise(signed.withColumns({"least": F.min("id").over(of), "most": F.max("id").over(of)}).filter("least < most").select("signature", "id", "least").distinct())
+    shared = materialise(signed.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).filter("n > 1"))
+
+    # Rows to compare together; of a signature with very many sets, each two blocks.
+    tasks = max(1, -(-shared.count() // TASK_ROWS))
+    block, blocks = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")), F.ceil(F.col("n") / BLOCK_ROWS)
+    hot = shared.filter(f"n > {BLOCK_ROWS}").withColumn("blocks", blocks).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    hot = hot.select(F.xxhash64("signature", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "signature", "id")
+    dealt = shared.filter(f"n <= {BLOCK_ROWS}").select(F.pmod(F.xxhash64("signature"), F.lit(tasks)).alias("task"), "signature", "id").unionByName(hot)
+    stands = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    stands = materialise(stands.filter("n > 0"))
+    of = stands.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("of")).select(F.col("id").alias("i"), "of.n", "of.sketch")
+    sketches = dealt.select(F.col("task").alias("t"), F.col("id").alias("i")).distinct().join(of, "i").select("t", F.col("i").alias("id"), "n", "sketch")
+    passed = dealt.groupBy("task").cogroup(sketches.groupBy("t")).applyInPandas(lambda left, right: near(left[["signature", "id"]], right, percent), "id long, other long")
+    clusters = materialise(components(passed, "id", "other").withColumnRenamed("node", "id"))
 
-    clusters = materialise(components(shared.select("id", "least").distinct(), "id", "least").withColumnRenamed("node", "id"))
     # The texts of clusters, once more, by the id that stands for each.
-    stands = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).join(clusters, "id")
-    stands = stands.select(F.col("id").alias("doc_id"), "key", "root", "n")
+    stands = stands.join(clusters, "id").select(F.col("id").alias("doc_id"), "key", "root", "n")
 
     def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
