@@ -504,8 +504,8 @@ def _members(spark, sf_dir):
     return of_regions, tris.join(at, "tri_id").select("entity_id", "tri_id", "region_id", *CORNERS)
 
 
-_ENTITY = "SELECT {e} AS entity_id, avg(nz) AS m, sum(area) AS area, count(*) AS region_count FROM hg WHERE {w} GROUP BY 1"
-_BOXED = "SELECT {e} AS entity_id, count(*) AS triangle_count, " + ", ".join(f"{c[:3]}({c}) AS {c}" for c in CORNERS) + " FROM ht JOIN hr USING (tri_id) WHERE {w} GROUP BY 1"
+_ENTITY = "SELECT CAST({e} AS BIGINT) AS entity_id, avg(nz) AS m, sum(area) AS area, count(*) AS region_count FROM hg WHERE {w} GROUP BY 1"
+_BOXED = "SELECT CAST({e} AS BIGINT) AS entity_id, count(*) AS triangle_count, " + ", ".join(f"{c[:3]}({c}) AS {c}" for c in CORNERS) + " FROM ht JOIN hr USING (tri_id) WHERE {w} GROUP BY 1"
 _LABEL = "CASE WHEN m > 0.7 THEN CASE WHEN {a} > 50 THEN 'ground' ELSE 'roof' END WHEN m < -0.7 THEN 'ceiling' WHEN abs(m) < 0.3 THEN 'wall' ELSE 'surface' END"
 
 
