@@ -288,7 +288,20 @@ def region_growing(spark, sf_dir):
     return regions.grow_regions(tris, RegionGrowingOptions(max_curvature=15.0))
 
 
-@query("topology_entities")
+_MERGED = f"""WITH RECURSIVE {X.HR},
+p AS (SELECT a, b FROM hk JOIN hg p ON p.region_id = a JOIN hg q ON q.region_id = b
+    WHERE count >= 2 AND degrees(acos(least(1.0e0, abs(p.nx*q.nx+p.ny*q.ny+p.nz*q.nz)))) <= 25 AND (p.boundary_count >= 1 OR q.boundary_count >= 1)
+  UNION ALL SELECT p.region_id, q.region_id FROM hg p JOIN hg q ON p.region_id <> q.region_id WHERE p.nz > 0.7 AND p.cz - q.cz > 0 AND p.cz - q.cz <= 1 AND sqrt((p.cx-q.cx)*(p.cx-q.cx)+(p.cy-q.cy)*(p.cy-q.cy)) <= 2),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, reach) AS (SELECT region_id, region_id FROM hg UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
+g AS (SELECT id, min(reach) AS root FROM r GROUP BY id),
+x AS (SELECT root, avg(nz) AS m, sum(area) AS area, count(*) AS region_count, CAST(sum(triangle_count) AS BIGINT) AS triangle_count FROM hg JOIN g ON id = region_id GROUP BY root),
+y AS (SELECT root, {', '.join(f'{c[:3]}({c}) AS {c}' for c in CORNERS)} FROM ht JOIN hr USING (tri_id) JOIN g ON id = region_id GROUP BY root)
+SELECT dense_rank() OVER (ORDER BY root) - 1 AS entity_id, CASE WHEN m > 0.7 THEN CASE WHEN area > 50 THEN 'ground' ELSE 'roof' END WHEN m < -0.7 THEN 'ceiling' WHEN abs(m) < 0.3 THEN 'wall' ELSE 'surface' END AS label,
+  {_r('area', *CORNERS)}, region_count, triangle_count FROM x JOIN y USING (root)"""
+
+
+@query("topology_entities", _MERGED)
 def topology_entities(spark, sf_dir):
     """Tiles merged where they touch and agree, and where one supports another."""
     tris, edges, own = _field(spark, sf_dir)
