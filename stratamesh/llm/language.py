@@ -29,11 +29,11 @@ ROUNDS = 8
 PARCEL = 1_000_000
 #: ASCII letters are lower-cased, other ASCII is blank.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in FOLD)
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTERS = re.compile(r"[^\W\d_]").finditer
 
 
 def has_letter(text: str | None) -> bool:
-    return isinstance(text, str) and _LETTER(text) is not None
+    return isinstance(text, str) and any(m[0].isalpha() for m in _LETTERS(text))
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
