@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from .numbering import sums_before
 
 MESH_SCHEMA = "mesh_id bigint, format string, positions array<float>, indices array<bigint>, transform array<double>"
 #: Geometry of a triangle, in this order after its ids.
@@ -17,15 +18,13 @@ def _is_indexed() -> Column:
 
 
 def with_offsets(meshes: DataFrame) -> DataFrame:
-    """``meshes`` with counts and the sums of counts before each, in the order of mesh_id: one row a mesh, so one window is small."""
+    """``meshes`` with counts and the sums of counts before each, in the order of mesh_id."""
     counted = meshes.withColumns({
         "n_vertices": F.floor(F.size("positions") / 3),
         "n_triangles": F.floor(F.when(_is_indexed(), F.size("indices")).otherwise(F.size("positions") / 3) / 3),
     })
-    before = Window.orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
-    slim = counted.select("mesh_id", "n_vertices", "n_triangles")
-    sums = slim.select("mesh_id", *(F.coalesce(F.sum(f"n_{k}").over(before), F.lit(0)).alias(f"first_{k}") for k in ("vertices", "triangles")))
-    return counted.join(sums, "mesh_id")
+    slim = sums_before(counted.select("mesh_id", "n_vertices", "n_triangles"), ["mesh_id"], {"first_vertices": "n_vertices", "first_triangles": "n_triangles"})
+    return counted.join(slim.select("mesh_id", "first_vertices", "first_triangles"), "mesh_id")
 
 
 def vertices(meshes: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbering import with_dense_ids
+
 SCENE_SCHEMA = "node_id bigint, parent_id bigint, entity_id bigint, label string, ordinal bigint"
 GROUP = -1
 
@@ -61,8 +63,8 @@ class SceneGraph:
 
     def add_entities(self, entities: DataFrame, parent_id: int = 0) -> None:
         """All of ``entities`` (entity_id, label) in the order of their ids, under one parent; numbered without leaving Spark."""
-        k = F.row_number().over(Window.orderBy("entity_id")).cast("long") - 1
-        more = entities.select((k + self.next_id).alias("node_id"), F.lit(parent_id).cast("long").alias("parent_id"), F.col("entity_id").cast("long"), "label", (k + self._next_ordinal(parent_id)).alias("ordinal"))
+        k = F.col("__k")
+        more = with_dense_ids(entities.select("entity_id", "label"), "entity_id", "__k").select((k + self.next_id).alias("node_id"), F.lit(parent_id).cast("long").alias("parent_id"), F.col("entity_id").cast("long"), "label", (k + self._next_ordinal(parent_id)).alias("ordinal"))
         self.next_id += entities.count()
         self.nodes = self.nodes.unionByName(more)
 

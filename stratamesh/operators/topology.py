@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..plans import options as O
 from ..plans.options import TopologyMergeOptions
+from ..plans.storage import materialise
 from .adjacency import FORWARD
 from .components import components
 from .geometry import CORNERS, box_aggregates
+from .numbering import with_dense_ids
 
 
 def merge_pairs(touch: DataFrame, regions: DataFrame, options: TopologyMergeOptions = TopologyMergeOptions()) -> DataFrame:  # noqa: B008
@@ -52,11 +54,6 @@ def entities_of(regions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
     return made.withColumn("label", V.label_of(F.col("mean_nz"), F.col("area"))).drop("mean_nz"), bridge
 
 
-def with_dense_ids(df: DataFrame, order: str, name: str = "entity_id") -> DataFrame:
-    """``df`` with ids 0, 1, ... in ``order``; entities are few, so one window numbers them."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long") - 1)
-
-
 def entity_neighbors(touch: DataFrame, bridge: DataFrame) -> DataFrame:
     """(entity_id, neighbor_id) both ways: entities (``bridge``: region_id, entity_id) whose regions touch."""
     of = lambda p: bridge.select(F.col("region_id").alias(p), F.col("entity_id").alias(f"{p}_entity"))
@@ -87,6 +84,6 @@ def merge_across_chunks(entities: DataFrame, pairs: DataFrame) -> tuple[DataFram
     summed = [c for c in ("area", "region_count", "triangle_count") if c in entities.columns]
     other = [c for c in entities.columns if c not in (*summed, *CORNERS, "entity_id")]
     made = keyed.groupBy("key").agg(*box_aggregates(), *(F.sum(c).alias(c) for c in summed), *(F.min_by(c, "entity_id").alias(c) for c in other))
-    made = with_dense_ids(made, "key")
+    made = with_dense_ids(materialise(made), "key")
     ids = keyed.select(F.col("entity_id").alias("old_id"), "key").join(made.select("key", "entity_id"), "key").select("old_id", "entity_id")
     return made.drop("key").select("entity_id", *(c for c in entities.columns if c != "entity_id")), ids

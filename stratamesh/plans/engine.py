@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..operators import geometry, mesh, regions, relations, topology
 from ..operators.geometry import CORNERS
+from ..operators.numbering import with_dense_ids
 from ..operators.relations import SpatialGraph
 from ..operators.scene import SceneGraph
 from ..sources.decoders import DecoderRegistry, read_meshes
@@ -43,7 +44,7 @@ def segment(tris: DataFrame, tolerance: float, exact: regions.RegionGrowingOptio
 def regions_of(segmented: DataFrame) -> DataFrame:
     """One row for each component, with a dense region_id over all chunks; nothing borders on a whole component."""
     made = regions.summaries(segmented, "chunk_id", "component", "first").withColumn("boundary_count", F.lit(0).cast("long"))
-    return made.withColumn("region_id", F.row_number().over(Window.orderBy("chunk_id", "first")).cast("long") - 1)
+    return with_dense_ids(materialise(made), ["chunk_id", "first"], "region_id")
 
 
 class MeshEngine:
@@ -64,9 +65,10 @@ class MeshEngine:
     def load(self, path: str, options: MeshLoadOptions = MeshLoadOptions()) -> MeshEngine:  # noqa: B008
         """Meshes of files, or of the tile set that ``path`` names."""
         if path.lower().endswith("tileset.json"):
-            self.meshes = read_tileset(self.spark, path, options, self.registry, self.options.compat)
+            found = read_tileset(self.spark, path, options, self.registry, self.options.compat)
         else:
-            self.meshes = read_meshes(self.spark, path, self.registry)
+            found = read_meshes(self.spark, path, self.registry)
+        self.meshes = materialise(found)  # decoded once
         return self
 
     def set_meshes(self, meshes: DataFrame) -> MeshEngine:
@@ -98,17 +100,17 @@ class MeshEngine:
         o = self.options
         self._cache.clear()
         self.segmented = materialise(segment(tris, o.regions.max_distance, o.regions if o.exact_ids else None))
-        self.regions = materialise(regions_of(self.segmented))
+        self.regions = regions_of(self.segmented)
         if not self.regions.limit(1).count():
             raise ValueError("no mesh loaded")
         pairs = topology.support_pairs(self.regions, o.topology) if o.topology.merge_support else self.regions.select(F.col("region_id").alias("a"), F.col("region_id").alias("b")).filter("false")
         made, keys = topology.entities_of(self.regions, pairs)
-        made = topology.with_dense_ids(made, "key")
+        made = with_dense_ids(materialise(made), "key")
         self.bridge = keys.join(made.select("key", "entity_id"), "key").select("region_id", "entity_id")
-        entities = materialise(made.select("entity_id", "label", "area", "region_count", "triangle_count", *CORNERS))
+        entities = made.select("entity_id", "label", "area", "region_count", "triangle_count", *CORNERS)
         met = topology.cross_chunk_pairs(entities)
         self.entities, ids = topology.merge_across_chunks(entities, met)
-        self.entities, self.entity_ids = materialise(self.entities), ids
+        self.entity_ids = ids
         self.relations = relations.relations(self.entities)
         self.scene = SceneGraph(self.spark)
         self.scene.rebuild(self.entities)

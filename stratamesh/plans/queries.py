@@ -13,6 +13,7 @@ from ..functions import vec as V
 from ..operators import adjacency, components, entities, geometry, mesh, regions, relations, scene, topology
 from ..operators.geometry import CORNERS
 from ..operators.mesh import GEOMETRY
+from ..operators.numbering import with_dense_ids
 from ..sources import decoders, formats, synthetic, tiles3d
 from . import fixtures as X
 from .engine import MeshEngine, overlays
@@ -224,7 +225,7 @@ def seed_order(spark, sf_dir):
     """Triangles by (curvature, id), the order of seeds."""
     tris = X.height_field(spark, sf_dir)
     at = regions.curvature(tris, adjacency.both_ways(adjacency.edge_pairs(tris))).withColumn("c", F.round(F.col("curvature").cast("double"), 3))
-    return topology.with_dense_ids(at.withColumn("o", F.struct("c", "tri_id")), "o", "seed_rank").select("tri_id", "seed_rank")
+    return with_dense_ids(at.withColumn("o", F.struct("c", "tri_id")), "o", "seed_rank").select("tri_id", "seed_rank")
 
 
 def _field(spark, sf_dir):
@@ -308,7 +309,7 @@ def topology_entities(spark, sf_dir):
     summary = regions.region_summary(tris, edges, own)
     pairs = topology.merge_pairs(regions.touch_counts(edges, own), summary).unionByName(topology.support_pairs(summary))
     made, _ = topology.entities_of(summary, pairs)
-    return rounded(topology.with_dense_ids(made, "key").select("entity_id", "label", "area", "region_count", "triangle_count", *CORNERS))
+    return rounded(with_dense_ids(made, "key").select("entity_id", "label", "area", "region_count", "triangle_count", *CORNERS))
 
 
 @query("extract_entities")
@@ -484,7 +485,7 @@ _WALK = "w AS (SELECT node_id, 0 AS depth, [ordinal] AS path FROM tn WHERE paren
 @query("scene_preorder", f"WITH RECURSIVE {X.TREE}, {_WALK} SELECT t.node_id, t.label, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY path) - 1 AS rank FROM w JOIN tn t USING (node_id)")
 def scene_preorder(spark, sf_dir):
     walked = scene.preorder(X.scene_nodes(spark, sf_dir))
-    return topology.with_dense_ids(walked, "path", "rank").select("node_id", "label", F.col("depth").cast("long").alias("depth"), "rank")
+    return with_dense_ids(walked, "path", "rank").select("node_id", "label", F.col("depth").cast("long").alias("depth"), "rank")
 
 
 @query("scene_descendants", f"WITH RECURSIVE {X.TREE}, d AS (SELECT node_id AS ancestor, node_id, 0 AS depth FROM tn UNION ALL SELECT d.ancestor, n.node_id, d.depth + 1 FROM d JOIN tn n ON n.parent_id = d.node_id) SELECT ancestor, node_id, CAST(depth AS BIGINT) AS depth FROM d")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamesh.operators import entities, geometry, mesh, regions, relations, topology
+from stratamesh.operators.numbering import with_dense_ids
 from stratamesh.operators.relations import SpatialGraph
 from stratamesh.operators.scene import SceneGraph
 from stratamesh.plans.engine import MeshEngine
@@ -66,7 +67,7 @@ def test_touching_coplanar_regions_merge(spark):
     assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
     made, bridge = topology.entities_of(own, pairs)
     assert {(r.key, r.region_count, r.label) for r in made.collect()} == {(0, 2, "roof"), (2, 1, "wall")}
-    near = topology.entity_neighbors(touch, topology.with_dense_ids(made, "key").join(bridge, "key").select("region_id", "entity_id"))
+    near = topology.entity_neighbors(touch, with_dense_ids(made, "key").join(bridge, "key").select("region_id", "entity_id"))
     assert {tuple(r) for r in near.collect()} == {(0, 1), (1, 0)}
 
 

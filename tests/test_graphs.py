@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratamesh.operators import adjacency, components, mesh, regions
+from stratamesh.operators import adjacency, components, mesh, numbering, regions
 from stratamesh.plans.options import RegionGrowingOptions
 from stratamesh.sources import synthetic
 
@@ -118,3 +118,12 @@ def test_touch_counts(spark):
     edges = spark.createDataFrame([(a, b) for x, y in ((0, 1), (1, 2), (2, 3)) for a, b in ((x, y), (y, x))], "src long, dst long")
     assert {tuple(r) for r in regions.touch_counts(edges, own).collect()} == {(0, 1, 1), (1, 2, 1)}
     assert {r.tri_id for r in regions.boundary(edges, own).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_running_sums_by_ranges_and_in_one_window(spark, monkeypatch, rows):
+    monkeypatch.setattr(numbering, "WINDOW_ROWS", rows)
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit(2).alias("two"))
+    got = {r.k: r.s for r in numbering.sums_before(df, ["k"], {"s": "two"}).collect()}
+    assert got == {k: 2 * k for k in range(100)}
+    assert [r.n for r in numbering.with_dense_ids(df, "k", "n").orderBy("k").collect()] == list(range(100))
