@@ -14,10 +14,12 @@ from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mesh import MESH_SCHEMA
+from ..operators.numbering import with_dense_ids
+from ..plans.storage import materialise
 from .formats import detect_format, format_of, strip_b3dm
 
 Mesh = dict
@@ -257,16 +259,16 @@ class DecoderRegistry:
 
 
 def numbered(decoded: DataFrame) -> DataFrame:
-    """Meshes with mesh_id in the order of files and parts, failures left out; one row a mesh, so one window is small."""
-    good = decoded.filter("error IS NULL")
-    ids = good.select("ordinal", "part").withColumn("mesh_id", F.row_number().over(Window.orderBy("ordinal", "part")).cast("long") - 1)
+    """Meshes with mesh_id in the order of files and parts, failures left out; files are decoded once, into a shared table."""
+    good = materialise(decoded.filter("error IS NULL"))
+    ids = with_dense_ids(good.select("ordinal", "part"), ["ordinal", "part"], "mesh_id")
     return good.join(ids, ["ordinal", "part"]).select(*(c.split()[0] for c in MESH_SCHEMA.split(", ")))
 
 
 def read_meshes(spark: SparkSession, path: str, registry: DecoderRegistry | None = None) -> DataFrame:
     """Meshes of all files at a path or pattern, in the order of their paths, through Spark's file readers."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = files.select("path").withColumn("ordinal", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    names = with_dense_ids(files.select("path"), "path", "ordinal")
     return numbered((registry or DecoderRegistry()).decode_files(files.join(names, "path")))
 
 

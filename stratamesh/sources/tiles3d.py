@@ -6,10 +6,12 @@ import json
 import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import sums_before
 from ..plans.options import MeshLoadOptions
+from ..plans.storage import materialise
 from .decoders import DecoderRegistry, numbered
 
 IDENTITY = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
@@ -71,9 +73,8 @@ def within_budget(decoded: DataFrame, options: MeshLoadOptions) -> DataFrame:
         return decoded
     triangles = F.when(F.col("error").isNull(), F.floor(F.when(F.coalesce(F.size("indices"), F.lit(-1)) >= 3, F.size("indices")).otherwise(F.size("positions") / 3) / 3)).otherwise(0)
     slim = decoded.select("ordinal", F.col("error").isNull().cast("long").alias("meshes"), triangles.alias("triangles")).groupBy("ordinal").agg(F.sum("meshes").alias("meshes"), F.sum("triangles").alias("triangles"))
-    before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    used = slim.select("ordinal", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("meshes", "triangles")))
-    limits = [(c, m) for c, m in (("meshes", options.max_tiles), ("triangles", options.max_triangles)) if m is not None]
+    used = sums_before(materialise(slim), ["ordinal"], {"meshes_before": "meshes", "triangles_before": "triangles"})
+    limits = [(f"{c}_before", m) for c, m in (("meshes", options.max_tiles), ("triangles", options.max_triangles)) if m is not None]
     for c, most in limits:
         used = used.filter(F.col(c) < most)
     return decoded.join(used.select("ordinal"), "ordinal", "left_semi")
@@ -93,6 +94,6 @@ def read_tileset(spark: SparkSession, path: str, options: MeshLoadOptions = Mesh
     # Readers give paths with a scheme; the written ones are their ends.
     joined = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(named, "name").filter(F.col("path").endswith(F.regexp_replace("at", "^[a-z0-9]+:/*", "")))
     decoded = (registry or DecoderRegistry()).decode_files(joined.select("ordinal", "path", "content", "transform"), keep_failures=True)
-    return numbered(within_budget(decoded, options))
+    return numbered(within_budget(materialise(decoded), options))
 
 
