@@ -35,8 +35,10 @@ from .tokens import mix, parcels, shingle_sets
 BAND = 1.3
 #: Signatures of fewer elements are left out in as many partitions as there are to spare, one in SPARE.
 LIGHT, SPARE = 2, 16
-#: Rows of signatures compared in one task; a signature of more sets is compared block by block.
-TASK_ROWS, BLOCK_ROWS = 1_000_000, 20_000
+#: Rows of signatures compared in one task, and the least number of tasks; a signature of more sets is compared block by block.
+TASK_ROWS, LEAST_TASKS, BLOCK_ROWS = 500_000, 16, 20_000
+#: Pairs compared at a time.
+PAIRS = 200_000
 #: Clusters of up to so many texts and elements are linked in one task.
 CLUSTER_TEXTS, CLUSTER_ELEMENTS = 6000, 4_000_000
 #: Bytes of a cluster's bit table at a time.
@@ -122,31 +124,38 @@ def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     which = np.searchsorted(ids, rows["id"].to_numpy(dtype=np.int64))
     signature = rows["signature"].to_numpy()
     root = np.arange(len(ids))
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Parts in which the sketches of pairs differ."""
+        out = np.zeros(len(x), dtype=np.int64)
+        low, high = np.minimum(words[x], words[y]), np.maximum(words[x], words[y])
+        for w in np.unique(low).tolist():
+            same = np.flatnonzero((low == w) & (high == w))
+            out[same] = np.bitwise_count(table_of[w][row_of[x[same]]] ^ table_of[w][row_of[y[same]]]).sum(axis=1, dtype=np.int64)
+            other = np.flatnonzero((low == w) & (high == 2 * w))
+            if len(other):
+                narrow = words[x[other]] == w
+                a, b = np.where(narrow, x[other], y[other]), np.where(narrow, y[other], x[other])
+                out[other] = np.bitwise_count(table_of[w][row_of[a]] ^ folded[2 * w][row_of[b]]).sum(axis=1, dtype=np.int64)
+        return out
+
     live, d = np.arange(len(which)), 1
     while True:
         live = live[live + d < len(which)]
         live = live[signature[live] == signature[live + d]]
         if not len(live):
             break
-        x, y = which[live], which[live + d]
-        far = root[x] != root[y]
-        x, y = np.unique(np.stack([np.minimum(x, y)[far], np.maximum(x, y)[far]]), axis=1) if far.any() else (x[:0], y[:0])
-        small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-        fits = 100 * small >= percent * large
-        x, y = x[fits], y[fits]
-        most = (size[x] + size[y]) * (100 - percent) // (100 + percent)
-        passed = np.zeros(len(x), dtype=bool)
-        low, high = np.minimum(words[x], words[y]), np.maximum(words[x], words[y])
-        for w in np.unique(low).tolist():
-            same = np.flatnonzero((low == w) & (high == w))
-            passed[same] = np.bitwise_count(table_of[w][row_of[x[same]]] ^ table_of[w][row_of[y[same]]]).sum(axis=1, dtype=np.int64) <= most[same]
-            other = np.flatnonzero((low == w) & (high == 2 * w))
-            if len(other):
-                a = np.where(words[x[other]] == w, x[other], y[other])
-                b = np.where(words[x[other]] == w, y[other], x[other])
-                passed[other] = np.bitwise_count(table_of[w][row_of[a]] ^ folded[2 * w][row_of[b]]).sum(axis=1, dtype=np.int64) <= most[other]
-        if passed.any():
-            root = roots_of(np.concatenate([np.arange(len(ids)), x[passed]]), np.concatenate([root, y[passed]]), len(ids))
+        passed = []
+        for at in range(0, len(live), PAIRS):
+            x, y = which[live[at : at + PAIRS]], which[live[at : at + PAIRS] + d]
+            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            open_ = (root[x] != root[y]) & (100 * small >= percent * large)
+            x, y = x[open_], y[open_]
+            near_ = apart(x, y) <= (size[x] + size[y]) * (100 - percent) // (100 + percent)
+            passed.append(np.stack([x[near_], y[near_]]))
+        x, y = np.concatenate(passed, axis=1)
+        if len(x):
+            root = roots_of(np.concatenate([np.arange(len(ids)), x]), np.concatenate([root, y]), len(ids))
         d += 1
     moved = np.flatnonzero(root != np.arange(len(ids)))
     return pd.DataFrame({"id": ids[moved], "other": ids[root[moved]]})
@@ -319,7 +328,7 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     shared = materialise(signed.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).filter("n > 1"))
 
     # Rows to compare together; of a signature with very many sets, each two blocks.
-    tasks = max(1, -(-shared.count() // TASK_ROWS))
+    tasks = max(LEAST_TASKS, -(-shared.count() // TASK_ROWS))
     block, blocks = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")), F.ceil(F.col("n") / BLOCK_ROWS)
     hot = shared.filter(f"n > {BLOCK_ROWS}").withColumn("blocks", blocks).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     hot = hot.select(F.xxhash64("signature", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "signature", "id")
