@@ -28,9 +28,11 @@ from .tokens import byte_values, mix
 LENGTH = 100
 GRAM = 24
 #: Bytes of a shard, under 2**21; contexts of one gram from which it has several shards.
-SHARD_BYTES, SHARD_CONTEXTS = 1_500_000, 8192
-PARCEL = 1_000_000
+SHARD_BYTES, SHARD_CONTEXTS = 600_000, 4096
+PARCEL = 500_000
 _BASE = 0x9E3779B97F4A7C15
+#: Bits of hashes that travel: equal grams meet in any case, and contexts are told apart within a gram.
+_LOW48 = np.uint64((1 << 48) - 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -229,26 +231,38 @@ def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in shards: grams together up to SHARD_BYTES; each shard of a gram with several by itself."""
-    held: list[pd.DataFrame] = []
-    size = 0
+    """Rows in shards: whole grams together, up to SHARD_BYTES; each shard of a gram with several by itself."""
+    rest = None
     for frame in frames:
-        frame = frame.reset_index(drop=True)
-        several = frame["shards"].to_numpy() > 1
-        changes = np.flatnonzero((np.diff(frame["gram"].to_numpy()) != 0) | (np.diff(frame["shard"].to_numpy()) != 0)) + 1
-        weight = np.cumsum([0, *map(len, frame["context"])])
-        for a, b in zip([0, *changes], [*changes, len(frame)]):
-            part = frame.iloc[a:b]
-            one = held[-1].iloc[-1] if held else None
-            goes_on = one is not None and a == 0 and one["gram"] == part["gram"].iloc[0] and one["shard"] == part["shard"].iloc[0]
-            alone = several[a] or (one is not None and one["shards"] > 1)
-            if held and not goes_on and (alone or size + weight[b] - weight[a] > SHARD_BYTES):
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-            held.append(part)
-            size += int(weight[b] - weight[a])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        rows = frame.reset_index(drop=True) if rest is None else pd.concat([rest, frame], ignore_index=True)
+        at, cut = _cut(rows, False)
+        for a, b in cut:
+            yield rows.iloc[a:b]
+        rest = rows.iloc[at:]
+    if rest is not None:
+        yield from (rest.iloc[a:b] for a, b in _cut(rest, True)[1])
+
+
+def _cut(rows: pd.DataFrame, last: bool) -> tuple[int, list[tuple[int, int]]]:
+    """Where the rows left over begin, and bounds of the shards before; the last gram, and a small shard, wait for more rows unless ``last``."""
+    gram, shard, several = rows["gram"].to_numpy(), rows["shard"].to_numpy(), rows["shards"].to_numpy() > 1
+    ends = np.flatnonzero((gram[1:] != gram[:-1]) | (shard[1:] != shard[:-1])) + 1
+    if last and len(rows):
+        ends = np.append(ends, len(rows))
+    weight = np.concatenate([[0], np.cumsum([len(c) for c in rows["context"]])])
+    alone = np.append(np.flatnonzero(several), len(rows))
+    at, out = 0, []
+    while (k := int(np.searchsorted(ends, at, side="right"))) < len(ends):
+        end = int(ends[k])
+        if not several[at]:
+            full = int(np.searchsorted(weight[ends], weight[at] + SHARD_BYTES, side="right")) - 1
+            stop = int(alone[np.searchsorted(alone, at)])
+            if full == len(ends) - 1 and stop >= ends[-1] and not last:
+                break
+            end = min(max(end, int(ends[max(full, k)])), stop)
+        out.append((at, end))
+        at = end
+    return at, out
 
 
 def removed_ranges(stretches: list[tuple[int, int]], kept: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -296,7 +310,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
     pressed = own.filter(size >= length).select("id", "text").mapInPandas(squeeze, "id long, key binary, z binary")
     # One row for each text, dealt by id once; kept for three passes, and made again from its lineage if an executor is lost.
-    texts = pressed.repartition(n, "id").join(first.repartition(n, "id"), ["id", "key"]).dropDuplicates(["id", "key"]).persist(StorageLevel.DISK_ONLY)
+    # Joined by id alone (an equality of keys would become part of the join), so that later joins by id find the texts where they are.
+    lead = first.select("id", F.col("key").alias("lead")).repartition(n, "id")
+    texts = pressed.repartition(n, "id").join(lead, "id").filter("array_contains(array(lead), key)").drop("lead").dropDuplicates(["id", "key"]).persist(StorageLevel.DISK_ONLY)
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -305,12 +321,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
         for frame in frames:
             for some in _parcels(frame, press):
                 i, a, b, g, c = anchors(some["text"].to_list(), length, gram)
-                yield pd.DataFrame({"gram": g.view(np.int64), "context": c.view(np.int64), "id": some["id"].to_numpy(dtype=np.int64)[i], "start": a.astype(np.int32), "more": (b - a).astype(np.int32)})
+                ids, g, c = some["id"].to_numpy(dtype=np.int64)[i], (g & _LOW48).view(np.int64), (c & _LOW48).view(np.int64)
+                # Of equal contexts seen here together all but the first are settled; they go on spread evenly, under negative grams.
+                order = np.lexsort((a, ids, c, g))
+                again = np.flatnonzero((g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1])) + 1
+                settled = order[again]
+                g[settled] = -1 - (mix(ids[settled].view(np.uint64) * np.uint64(31) + a[settled].astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
+                c[settled] = 0
+                yield pd.DataFrame({"gram": g, "context": c, "id": ids, "start": a.astype(np.int32), "more": (b - a).astype(np.int32)})
 
     filed = texts.select("id", "z").mapInPandas(file, "gram long, context long, id long, start int, more int")
     by = Window.partitionBy("gram").orderBy("context", "id", "start")
     all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    repeated = filed.withColumns({"n": F.count("*").over(all_), "leads": F.coalesce(F.lag("context").over(by) != F.col("context"), F.lit(True))}).filter("n > 1")
+    repeated = filed.withColumns({"n": F.count("*").over(all_), "leads": (F.col("gram") >= 0) & F.coalesce(F.lag("context").over(by) != F.col("context"), F.lit(True))}).filter("n > 1 OR gram < 0")
     shards = F.ceil(F.col("n") / SHARD_CONTEXTS).cast("int")
     repeated = materialise(repeated.select("id", "start", "more", "leads", F.when(F.col("leads"), F.col("gram")).alias("gram"), F.when(F.col("leads"), shards).alias("shards")))
 
@@ -339,13 +362,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             out = []
             for key, hashed, z, had, stay in zip(frame["id"], frame["key"], frame["z"], frame["had"], frame["stay"]):
                 t = press.decompress(z)
-                ranges = removed_ranges(*([(p["a"], p["b"]) for p in x] if x is not None else [] for x in (had, stay)), length)
+                ranges = removed_ranges(*([(int(p) >> 16, (int(p) >> 16) + (int(p) & 0xFFFF)) for p in x] if x is not None else [] for x in (had, stay)), length)
                 parts = [t[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(t)])]
                 out.append((key, hashed, [[int(a), int(b)] for a, b in ranges], sum(b - a for a, b in ranges), hashlib.sha256(b"".join(parts)).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "key", "spans", "n_removed", "kept_sha256"])
 
-    had = repeated.groupBy("id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("a"), (F.col("start") + F.col("more")).cast("long").alias("b"))).alias("had"))
-    stay = kept.groupBy("id").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("stay"))
+    # A range of starts as one number: the first, and how many follow (fewer than 2**16 share a minimizer).
+    packed = lambda first, more: F.shiftleft(first.cast("long"), 16).bitwiseOR(more.cast("long"))
+    had = repeated.groupBy("id").agg(F.collect_list(packed(F.col("start"), F.col("more"))).alias("had"))
+    stay = kept.groupBy("id").agg(F.collect_list(packed(F.col("first"), F.col("last") - F.col("first"))).alias("stay"))
     done = texts.join(had, "id", "left").join(stay, "id", "left").select("id", "key", "z", "had", "stay")
     done = done.mapInPandas(finish, "id long, key binary, spans array<array<bigint>>, n_removed long, kept_sha256 string")
     joined = rows.join(done, ["id", "key"], "left")
