@@ -1,22 +1,22 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every token that makes up a 256th of the training tokens or more is
-a context with a restaurant of its own; after other tokens the parent
-restaurant, which all share, is used as it is, over a uniform base. The tables of the
-context restaurants are the parent's customers. Gibbs sweeps reseat
+Every training token is a context with a restaurant of its own; they share a parent
+restaurant over a uniform base. The tables of the context restaurants are the
+parent's customers. After a token that training has not seen the model is the parent. Gibbs sweeps reseat
 the customers of each dish given all other tables (in the manner of the Chinese
 restaurant, customers of a dish in growing groups once there are many), and the
 predictive probabilities of the sweeps after the first ones are averaged.
 
-Texts are held in blocks. A block sends each distinct (token, context) with its
-training count to the token's bucket, once. A bucket knows all counts of its
-tokens; only sums over buckets, one number for each context, pass through the
-driver between sweeps. Buckets answer each block, which adds up its texts.
+Texts are held in blocks. Pairs of a token and its context are dealt to buckets by the pair's hash,
+and tokens by their own, so no common word gathers its pairs in one task. A pair seen once has one table for good; for the
+others the buckets exchange sums between sweeps: a pair's bucket sends what it added to its tokens and contexts, and
+gets their sums back. A token is a context as often as it occurs, since each text ends
+with a token that also stands before the first word. Only sums over all tokens pass
+through the driver. At last each block asks once for its pairs and tokens and adds up its texts.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +29,13 @@ from .common import fold_id, materialise, table
 from .tokens import folded, mix, word_hashes
 
 END = np.uint64(0x1E17D0)
-#: A context makes up at least 1/CONTEXTS of the training tokens, so there are at most so many.
-CONTEXTS = 256
 SWEEPS, BURN = 4, 2
 THETA = 1.0
 SEED = 17
-BLOCK_BYTES, BUCKET_TOKENS = 12_000_000, 2_500_000
+BLOCK_BYTES, BUCKET_BYTES = 12_000_000, 18_000_000
 _PAIR = np.uint64(0xA24BAED4963EE407)
+#: Rows that buckets get: state or a message from bucket (or block) ``source`` of ``n`` packed items.
+ROW = "bucket int, kind string, source long, n long, data binary, a double, b double"
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, held: str) -> DataFrame:
@@ -51,7 +51,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held: str) -> DataFrame:
             flags = np.array([h for _, h, _ in own], dtype=np.uint8)
             sizes = np.array([len(b) for *_, b in own], dtype=np.int64)
             name = zlib.crc32(ids.tobytes()) << 31 ^ zlib.crc32(sizes.tobytes())
-            return pd.DataFrame([(name, ids.tobytes(), flags.tobytes(), sizes.tobytes(), press.compress(b"".join(b for *_, b in own)))], columns=["block", "ids", "held", "sizes", "data"])
+            return pd.DataFrame([(name, ids.tobytes(), flags.tobytes(), sizes.tobytes(), press.compress(b"".join(b for *_, b in own)), size)], columns=["block", "ids", "held", "sizes", "data", "bytes"])
 
         own, size = [], 0
         for frame in frames:
@@ -65,7 +65,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held: str) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col(doc_id).alias("row"), F.col(held).alias("held"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "block long, ids binary, held binary, sizes binary, data binary")
+    return rows.mapInPandas(run, "block long, ids binary, held binary, sizes binary, data binary, bytes long")
 
 
 def tokens(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,115 +91,188 @@ def open_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return found, counts, np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.held, dtype=np.uint8).astype(bool)
 
 
-def contexts_of(made: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the tokens that are contexts, and the number of training tokens.
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, bytes of equal weight side by side, compressed."""
+    import zstandard
 
-    A token with a 256th of all training tokens has a 512th of some blocks'; a block reports such tokens only, 512 at most.
-    """
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() for x in arrays))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                found, counts, _, held = open_block(row)
-                found = found[~np.repeat(held, counts)]
-                token, n = np.unique(found, return_counts=True)
-                often = 2 * CONTEXTS * n >= len(found)
-                yield pd.DataFrame({"token": np.concatenate([token[often].view(np.int64), [0]]), "n": np.concatenate([n[often], [len(found)]]), "all": [False] * int(often.sum()) + [True]})
-
-    sums = materialise(made.mapInPandas(run, "token long, n long, all boolean").groupBy("token", "all").agg(F.sum("n").alias("n")))
-    total = sums.filter("all").agg(F.sum("n")).first()[0] or 0
-    rows = sums.filter(f"NOT all AND {CONTEXTS} * n >= {total}").select("token").collect()  # CONTEXTS at most
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)), int(total)
-
-
-def pairs_of(found: np.ndarray, contexts: np.ndarray, buckets: int):
-    """Distinct (token, context) of a token sequence: tokens, contexts (0: the parent), bucket order, bucket bounds, and each token's pair."""
-    before = np.concatenate([[END], found[:-1]])
-    context = np.zeros(len(found), dtype=np.uint16)
-    if len(contexts):
-        at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-        context = np.where(contexts[at] == before, at + 1, 0).astype(np.uint16)
-    _, where, pair = np.unique(mix(found ^ (context.astype(np.uint64) * _PAIR)), return_index=True, return_inverse=True)
-    token, context = found[where], context[where]
-    bucket = (token >> np.uint64(40)) % np.uint64(buckets)
+
+def unpack(data: bytes, n: int, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw, out, a = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, n * sum(sizes))), dtype=np.uint8), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[a : a + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        a += n * size
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; ``np.cumsum`` undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def pair_of(token: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(token ^ (context * _PAIR))
+
+
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket (else as it was), and the bounds of buckets in it."""
+    bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
+    if buckets < 1 << 16:
+        bucket = bucket.astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
-    return token, context, order, np.searchsorted(bucket[order], np.arange(buckets + 1)), pair
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def requests(made: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
-    """One row for each bucket: the blocks that ask, and their tokens, contexts and training counts."""
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
+def before(found: np.ndarray) -> np.ndarray:
+    """The context of each token of a sequence of texts with their ends."""
+    return np.concatenate([found[-1:], found[:-1]])  # the last one is an end
+
 
-        press = zstandard.ZstdCompressor(level=1)
+def frame_of(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(*r, 0.0, 0.0)[:7] for r in rows], columns=["bucket", "kind", "source", "n", "data", "a", "b"])
+
+
+def of_kind(frame: pd.DataFrame, kind: str) -> list:
+    return list(frame[frame["kind"] == kind].sort_values("source").itertuples(index=False))
+
+
+def counted(made: DataFrame, buckets: int) -> DataFrame:
+    """The training counts of pairs, and what their buckets tell the buckets of tokens; rows as in ROW.
+
+    pairs: all pairs and counts. seats: those seen more than once, with the places of
+    token and context in the list of such tokens. live: a part of that list. sums: training
+    count, different contexts, and different successors of tokens.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 found, counts, _, held = open_block(row)
-                token, context, order, bound, pair = pairs_of(found, contexts, buckets)
-                n = np.bincount(pair, weights=~np.repeat(held, counts), minlength=len(token)).astype(np.uint32)
+                own = ~np.repeat(held, counts)
+                token, context = found[own], before(found)[own]
+                pair, where, n = np.unique(pair_of(token, context), return_index=True, return_counts=True)
+                by_token = np.argsort(token[where])
+                pair, where, n = pair[by_token], where[by_token], n[by_token].astype(np.uint32)
+                token, context = token[where], context[where]
+                order, bound = dealt(pair, buckets)
                 out = []
                 for b in range(buckets):
-                    own = order[bound[b] : bound[b + 1]]
-                    if len(own):
-                        out.append((b, row.block, len(own), token[own].tobytes(), press.compress(context[own].tobytes() + n[own].tobytes())))
-                yield pd.DataFrame(out, columns=["bucket", "block", "n", "tokens", "rest"])
-
-    def collate(frame: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
+                    at = order[bound[b] : bound[b + 1]]
+                    if len(at):
+                        out.append((b, "ask", row.block, len(at), pack(steps(token[at]), context[at], n[at])))
+                yield frame_of(out)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        b = int(frame["bucket"].iloc[0])
+        parts = [unpack(d, n, np.uint64, np.uint64, np.uint32) for d, n in zip(frame["data"], frame["n"].tolist())]
+        token, context, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        del parts
+        pair, where, which = np.unique(pair_of(token, context), return_index=True, return_inverse=True)
+        n = np.bincount(which, weights=n).astype(np.uint32)
+        token, context = token[where], context[where]
+        out = [(b, "pairs", b, len(pair), pack(steps(pair), n), float((n == 1).sum()), float((n == 2).sum()))]
+        word, at = np.unique(np.concatenate([token, context]), return_inverse=True)
+        sums = [np.bincount(at[: len(pair)], weights=n, minlength=len(word)), np.bincount(at[: len(pair)], minlength=len(word)), np.bincount(at[len(pair) :], minlength=len(word))]
+        order, bound = dealt(word, buckets)
+        for t in range(buckets):
+            own = order[bound[t] : bound[t + 1]]
+            if len(own):
+                out.append((t, "sums", b, len(own), pack(steps(word[own]), *(x[own].astype(np.uint32) for x in sums))))
+        often = n > 1
+        word, at = np.unique(np.concatenate([token[often], context[often]]), return_inverse=True)
+        order, bound = dealt(word, buckets)
+        place = np.empty(len(word), dtype=np.uint32)
+        place[order] = np.arange(len(word))
+        at, m = place[at], int(often.sum())
+        out.append((b, "seats", b, m, pack(at[:m], at[m:], n[often], np.ones(m, dtype=np.uint32), np.zeros(m))))
+        for t in range(buckets):
+            own = order[bound[t] : bound[t + 1]]
+            if len(own):
+                out.append((t, "live", b, len(own), pack(steps(word[own]))))
+        return frame_of(out)
+
+    return made.mapInPandas(ask, ROW).groupBy("bucket").applyInPandas(merge, ROW)
+
+
+def words_of(told: DataFrame) -> DataFrame:
+    """What buckets of tokens hold and first answer; rows as in ROW.
+
+    base: tokens, counts, different contexts and successors. words: tables in the parent and samples. order:
+    the tokens that another bucket lists. reply: sums of those tokens.
+    """
 
-        frame = frame.sort_values("block")
-        sizes = frame["n"].to_numpy(dtype=np.int64)
-        unpack = zstandard.ZstdDecompressor()
-        rest = [unpack.decompress(r, max_output_size=6 * n) for r, n in zip(frame["rest"], sizes.tolist())]
-        contexts_, counts = b"".join(r[: 2 * n] for r, n in zip(rest, sizes.tolist())), b"".join(r[2 * n :] for r, n in zip(rest, sizes.tolist()))
-        return pd.DataFrame([(int(frame["bucket"].iloc[0]), frame["block"].to_numpy(dtype=np.int64).tobytes(), sizes.tobytes(), b"".join(frame["tokens"]), contexts_, counts)], columns=["bucket", "blocks", "sizes", "tokens", "contexts", "counts"])
-
-    asked = made.mapInPandas(ask, "bucket int, block long, n long, tokens binary, rest binary")
-    return asked.groupBy("bucket").applyInPandas(collate, "bucket int, blocks binary, sizes binary, tokens binary, contexts binary, counts binary")
-
-
-class Bucket:
-    """All training counts of the tokens of one bucket."""
-
-    def __init__(self, row):
-        self.bucket = int(row.bucket)
-        self.asked = np.frombuffer(row.tokens, dtype=np.uint64)
-        self.asked_context = np.frombuffer(row.contexts, dtype=np.uint16)
-        counts = np.frombuffer(row.counts, dtype=np.uint32)
-        seen = counts > 0
-        token, context, counts = self.asked[seen], self.asked_context[seen], counts[seen].astype(np.float64)
-        self.pair, where, which = np.unique(mix(token ^ (context.astype(np.uint64) * _PAIR)), return_index=True, return_inverse=True)
-        self.n = np.bincount(which, weights=counts, minlength=len(self.pair)).astype(np.int64)
-        self.context = context[where]
-        self.token, self.word = np.unique(token[where], return_inverse=True)
-        self.count = np.bincount(self.word, weights=self.n, minlength=len(self.token)).astype(np.int64)
-        self.inner = np.flatnonzero(self.context > 0)  # pairs of context restaurants
-        self.direct = np.bincount(self.word[self.context == 0], weights=self.n[self.context == 0], minlength=len(self.token)).astype(np.int64)
-
-    def sums(self, n_contexts: int) -> dict:
-        of, n = self.context[self.inner], self.n[self.inner]
-        types = np.bincount(of, minlength=n_contexts + 1)
-        return {
-            "types": len(self.token), "customers": np.bincount(of, weights=n, minlength=n_contexts + 1).tolist(), "tables": types.tolist(),
-            "parent_customers": float(self.direct.sum() + types.sum()), "parent_tables": len(self.token),
-            "once": [int((self.count == 1).sum()), int((n == 1).sum())], "twice": [int((self.count == 2).sum()), int((n == 2).sum())],
-        }
-
-    def sweeps(self, fixed: dict, states: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables of inner pairs, customers, tables of each token in the parent) after each sweep; ``states[k]``: sums before sweep k."""
-        d_parent, d = fixed["discounts"]
-        share = (self.count + 0.5) / (fixed["tokens"] + 0.5 * (fixed["types"] + 1))
-        of, n, word = self.context[self.inner], self.n[self.inner], self.word[self.inner]
-        tables, parent = np.ones(len(n)), np.ones(len(self.token))
-        for k, state in enumerate(states):
-            if k:
-                share = predict(customers, parent, state, fixed)
-            others = np.maximum(np.array(state["tables"])[of] - tables, 0)
-            tables = seat(n, (THETA + d * others) * share[word], d, np.random.default_rng([SEED, self.bucket, k, 0]))
-            customers = self.direct + np.bincount(word, weights=tables, minlength=len(self.token))
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        b = int(frame["bucket"].iloc[0])
+        parts = [(np.cumsum(k), *v) for k, *v in (unpack(r.data, r.n, np.uint64, np.uint32, np.uint32, np.uint32) for r in of_kind(frame, "sums"))]
+        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        count, contexts, successors = (np.bincount(at, weights=np.concatenate([p[k] for p in parts])).astype(np.uint32) for k in (1, 2, 3))
+        out = [
+            (b, "base", b, len(word), pack(steps(word), count, contexts, successors), float((count == 1).sum()), float((count == 2).sum())),
+            (b, "words", b, len(word), pack(np.ones(len(word), dtype=np.uint32)), float(contexts.sum()), float(len(word))),
+            (b, "total", b, len(word), b"", float(count.sum()), 0.0),
+        ]
+        for r in of_kind(frame, "live"):
+            at = np.searchsorted(word, np.cumsum(unpack(r.data, r.n, np.uint64)[0])).astype(np.uint32)
+            out += [(b, "order", r.source, r.n, pack(steps(at))), (int(r.source), "reply", b, r.n, pack(successors[at], count[at], np.ones(len(at), dtype=np.uint32)))]
+        return frame_of(out)
+
+    return told.filter("kind IN ('sums', 'live')").groupBy("bucket").applyInPandas(gather, ROW)
+
+
+def reseat(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> DataFrame:
+    """Sweep ``k`` of the context restaurants: new seats, and what each adds to tokens beyond one table a pair."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][1]
+        (row,) = of_kind(frame, "seats")
+        token, context, n, tables, own = unpack(row.data, row.n, np.uint32, np.uint32, np.uint32, np.uint32, np.float64)
+        replies = of_kind(frame, "reply")
+        if not replies:
+            return frame_of([(b, "seats", b, row.n, row.data)])
+        inner, customers, parent = (np.concatenate(x).astype(np.float64) for x in zip(*(unpack(r.data, r.n, np.uint32, np.uint32, np.uint32) for r in replies)))
+        share = predict(customers, parent, state, fixed) if k else (customers + 0.5) / (fixed["tokens"] + 0.5 * (fixed["types"] + 1))
+        others = np.maximum(inner[context] - tables, 0)
+        tables = seat(n.astype(np.int64), (THETA + d * others) * share[token], d, np.random.default_rng([SEED, b, k, 0]))
+        if k >= burn:
+            own = own + np.maximum(n - d * tables, 0)
+        out = [(b, "seats", b, row.n, pack(token, context, n, tables.astype(np.uint32), own))]
+        more = [np.bincount(at, weights=tables - 1, minlength=len(share)).astype(np.uint32) for at in (token, context)]
+        a = 0
+        for r in replies:
+            out.append((int(r.source), "more", b, r.n, pack(*(x[a : a + r.n] for x in more))))
+            a += r.n
+        return frame_of(out)
+
+    return rows.groupBy("bucket").applyInPandas(run, ROW)
+
+
+def reseat_parent(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> DataFrame:
+    """Sweep ``k`` of the parent restaurant, and the sums that the next sweep of the others needs; seats pass through."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][0]
+        out = [tuple(r) for r in of_kind(frame, "seats")]
+        for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
+            _, _, customers, inner = unpack(base.data, base.n, np.uint64, np.uint32, np.uint32, np.uint32)
+            parent, *samples = unpack(row.data, row.n, *[np.uint32] * (1 + 3 * max(0, k - burn)))
+            customers, inner = customers.astype(np.int64), inner.astype(np.int64)
+            orders = [(int(r.source), np.cumsum(unpack(r.data, r.n, np.uint32)[0], dtype=np.uint32)) for r in of_kind(frame, "order")]
+            more = {int(r.source): unpack(r.data, r.n, np.uint32, np.uint32) for r in of_kind(frame, "more")}
+            for source, at in orders:
+                customers[at] += more[source][0]
+                inner[at] += more[source][1]
             others = np.maximum(state["parent_tables"] - parent, 0)
-            parent = seat(customers.astype(np.int64), (THETA + d_parent * others) / (fixed["types"] + 1), d_parent, np.random.default_rng([SEED, self.bucket, k, 1]))
-            yield tables, customers, parent
+            parent = seat(customers, (THETA + d * others) / (fixed["types"] + 1), d, np.random.default_rng([SEED, b, k, 1]))
+            now = [x.astype(np.uint32) for x in (inner, customers, parent)]
+            out.append((b, "words", b, row.n, pack(now[2], *samples, *(now if k >= burn else ())), float(customers.sum()), float(parent.sum())))
+            out += [(source, "reply", b, len(at), pack(*(x[at] for x in now))) for source, at in orders]
+        return frame_of(out)
+
+    return rows.groupBy("bucket").applyInPandas(run, ROW)
 
 
 def seat(n: np.ndarray, urge: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -224,89 +297,91 @@ def predict(customers: np.ndarray, tables: np.ndarray, state: dict, fixed: dict)
     return (np.maximum(customers - d * tables, 0) + (THETA + d * state["parent_tables"]) / (fixed["types"] + 1)) / (THETA + state["parent_customers"])
 
 
-def _sum(rows: list[dict]) -> dict:
-    out = {}
-    for k in rows[0]:
-        total = np.sum([np.asarray(r[k], dtype=np.float64) for r in rows], axis=0)
-        out[k] = total.tolist()
-    return out
+def sums(rows: DataFrame, kind: str) -> tuple[float, float, int]:
+    """Sums of a, b and n over rows of a kind."""
+    a, b, n = rows.filter(F.col("kind") == kind).agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
+    return a or 0.0, b or 0.0, int(n or 0)
+
+
+def train(made: DataFrame, buckets: int, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[dict, list[dict], DataFrame]:
+    """What holds throughout, the parent's sums before each sweep and after the last, and the buckets' state."""
+    told = materialise(counted(made, buckets))
+    first = materialise(words_of(told))
+    once, twice, types = sums(first, "base")
+    pairs = sums(told, "pairs")
+    fixed = {"tokens": int(sums(first, "total")[0]), "types": types, "discounts": [float(np.clip(x / max(1, x + 2 * y), 0.1, 0.95)) for x, y in ((once, twice), pairs[:2])]}
+    states, rows = [], first.filter("kind IN ('words', 'reply')").unionByName(told.filter("kind = 'seats'"))
+    keep = lambda f, *kinds: f.filter(F.col("kind").isin(*kinds))
+    current = first
+    for k in range(sweeps):
+        states.append(dict(zip(("parent_customers", "parent_tables"), sums(current, "words"))))
+        seated = reseat(keep(rows, "seats", "reply"), fixed, k, states[k], burn)
+        rows = current = materialise(reseat_parent(seated.unionByName(keep(first, "base", "order")).unionByName(keep(rows, "words")), fixed, k, states[k], burn))
+    states.append(dict(zip(("parent_customers", "parent_tables"), sums(current, "words"))))
+    return fixed, states, keep(told, "pairs").unionByName(keep(first, "base")).unionByName(keep(rows, "words", "seats"))
 
 
-def _gather(asked: DataFrame, of) -> dict:
-    """The sum over buckets of the dictionaries of numbers that ``of`` gives; added up in two steps."""
+def requests(made: DataFrame, buckets: int) -> DataFrame:
+    """The different pairs and tokens of each block, asked of their buckets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                yield pd.DataFrame({"part": [int(row.bucket) % 64], "sums": [json.dumps(of(Bucket(row)))]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [json.dumps(_sum([json.loads(s) for s in frame["sums"]]))]})
-
-    rows = asked.mapInPandas(run, "part int, sums string").groupBy("part").applyInPandas(add, "sums string").collect()  # 64 at most
-    return _sum([json.loads(r[0]) for r in rows])
-
-
-def train(asked: DataFrame, n_contexts: int, total: int, sweeps: int = SWEEPS) -> tuple[dict, list[dict]]:
-    """What holds throughout, and the sums before each sweep and after the last."""
-    first = _gather(asked, lambda b: b.sums(n_contexts))
-    discounts = [float(np.clip(a / max(1, a + 2 * b), 0.1, 0.95)) for a, b in zip(first["once"], first["twice"])]
-    fixed = {"tokens": total, "types": int(first["types"]), "customers": first["customers"], "discounts": discounts}
-    states = [{k: first[k] for k in ("tables", "parent_customers", "parent_tables")}]
-    for _ in range(sweeps):
-        known = list(states)
-
-        def after(b: Bucket, known=known) -> dict:
-            for tables, customers, parent in b.sweeps(fixed, known):
-                pass
-            return {"tables": np.bincount(b.context[b.inner], weights=tables, minlength=n_contexts + 1).tolist(), "parent_customers": float(customers.sum()), "parent_tables": float(parent.sum())}
-
-        states.append(_gather(asked, after))
-    return fixed, states
+                found = open_block(row)[0]
+                out = []
+                for kind, keys in (("ask pairs", np.unique(pair_of(found, before(found)))), ("ask words", np.unique(found))):
+                    order, bound = dealt(keys, buckets)
+                    for b in range(buckets):
+                        at = order[bound[b] : bound[b + 1]]
+                        if len(at):
+                            out.append((b, kind, row.block, len(at), pack(steps(keys[at]))))
+                yield frame_of(out)
 
+    return made.mapInPandas(run, ROW)
 
-def answer(asked: DataFrame, fixed: dict, states: list[dict], burn: int = BURN) -> DataFrame:
-    """(block, bucket, values): log10 probability and training count of each pair a block asked for, in its order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
+def answer(rows: DataFrame, fixed: dict, states: list[dict], burn: int = BURN) -> DataFrame:
+    """(block, kind, bucket, n, data) for requests and the buckets' state.
 
-        press = zstandard.ZstdCompressor(level=1)
-        d = fixed["discounts"][1]
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                b = Bucket(row)
-                at = np.minimum(np.searchsorted(b.token, b.asked), max(0, len(b.token) - 1))
-                known = b.token[at] == b.asked if len(b.token) else np.zeros(len(b.asked), dtype=bool)
-                pair = mix(b.asked ^ (b.asked_context.astype(np.uint64) * _PAIR))
-                inner = np.searchsorted(b.pair[b.inner], pair)
-                inner = np.minimum(inner, max(0, len(b.inner) - 1))
-                met = b.pair[b.inner][inner] == pair if len(b.inner) else np.zeros(len(pair), dtype=bool)
-                of = b.asked_context
-                n_of = np.array(fixed["customers"])[of]
-                total, samples = np.zeros(len(b.asked)), 0
-                for k, (tables, customers, parent) in enumerate(b.sweeps(fixed, states[:-1])):
-                    if k < burn:
-                        continue
-                    state = states[k + 1]
-                    new = float(predict(np.zeros(1), np.zeros(1), state, fixed)[0])
-                    p = np.where(known, predict(customers, parent, state, fixed)[at], new) if len(b.token) else np.full(len(b.asked), new)
-                    own = np.where(met, (b.n[b.inner] - d * tables)[inner], 0.0) if len(b.inner) else np.zeros(len(p))
-                    inside = (np.maximum(own, 0) + (THETA + d * np.array(state["tables"])[of]) * p) / (THETA + n_of)
-                    total += np.where(of > 0, inside, p)
-                    samples += 1
-                score = np.log10(total / samples).astype(np.float32)
-                count = np.where(known, b.count[at] if len(b.token) else 0, 0).astype(np.uint32)
-                out, a = [], 0
-                for block, size in zip(np.frombuffer(row.blocks, dtype=np.int64).tolist(), np.frombuffer(row.sizes, dtype=np.int64).tolist()):
-                    out.append((block, b.bucket, press.compress(score[a : a + size].tobytes() + count[a : a + size].tobytes())))
-                    a += size
-                yield pd.DataFrame(out, columns=["block", "bucket", "values"])
-
-    return asked.mapInPandas(run, "block long, bucket int, values binary")
-
-
-def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    For pairs: mean over samples of customers less discounts. For tokens: training count, and of
+    each sample the probability in the parent and the tables in the restaurant of that context.
+    """
+    d, last = fixed["discounts"][1], states[burn + 1 :]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        b, out = int(frame["bucket"].iloc[0]), []
+        pair, own = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32)
+        for row, seats in zip(of_kind(frame, "pairs"), of_kind(frame, "seats")):
+            pair, n = unpack(row.data, row.n, np.uint64, np.uint32)
+            pair, own = np.cumsum(pair), np.full(len(n), 1 - d, dtype=np.float32)
+            own[n > 1] = unpack(seats.data, seats.n, np.uint32, np.uint32, np.uint32, np.uint32, np.float64)[4] / len(last)
+        word, values = np.empty(0, dtype=np.uint64), []
+        for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
+            word, count, *_ = unpack(base.data, base.n, np.uint64, np.uint32, np.uint32, np.uint32)
+            word, samples = np.cumsum(word), unpack(row.data, row.n, *[np.uint32] * (1 + 3 * len(last)))[1:]
+            values = [count]
+            for k, state in enumerate(last):
+                inner, customers, parent = samples[3 * k : 3 * k + 3]
+                values += [predict(customers.astype(np.float64), parent, state, fixed).astype(np.float32), inner.astype(np.float32)]
+        new = [np.uint32(0), *(np.float32(x) for state in last for x in (predict(np.zeros(1), np.zeros(1), state, fixed)[0], 0))]
+        for row in frame.itertuples(index=False):
+            if row.kind[:4] != "ask ":
+                continue
+            keys = np.cumsum(unpack(row.data, row.n, np.uint64)[0])
+            have = pair if row.kind == "ask pairs" else word
+            at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
+            met = have[at] == keys if len(have) else np.zeros(len(keys), dtype=bool)
+            if row.kind == "ask pairs":
+                found = [np.where(met, own[at], np.float32(0)) if len(have) else np.zeros(len(keys), dtype=np.float32)]
+            else:
+                found = [np.where(met, v[at], x) for v, x in zip(values, new)] if len(have) else [np.full(len(keys), x) for x in new]
+            out.append((row.source, row.kind, b, row.n, pack(*found)))
+        return pd.DataFrame(out, columns=["block", "kind", "bucket", "n", "data"])
+
+    return rows.groupBy("bucket").applyInPandas(run, "block long, kind string, bucket int, n long, data binary")
+
+
+def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     The model learns from the rows where column ``held`` is false. Null texts
@@ -318,35 +393,47 @@ def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text"
     null = -(1 << 63)  # stands for a null id
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("row"), F.coalesce(F.col(held), F.lit(False)).alias("held"), F.col(text).alias("text"))
     made = materialise(blocks(rows, "row", "text", "held"))
-    contexts, total = contexts_of(made)
-    buckets = max(4, -(-total // BUCKET_TOKENS))
-    asked = materialise(requests(made, contexts, buckets))
-    if not asked.limit(1).count():
+    size = made.agg(F.sum("bytes")).first()[0]
+    if size is None:
         return docs.sparkSession.createDataFrame([], kind)
-    fixed, states = train(asked, len(contexts), total)
-    answers = answer(asked, fixed, states)
+    buckets = max(4, -(-size // BUCKET_BYTES))
+    fixed, states, state = train(made, buckets, sweeps, burn)
+    answers = answer(state.unionByName(requests(made, buckets)), fixed, states, burn)
     scale = float(np.log10(fixed["tokens"] + 0.5 * (fixed["types"] + 1)))
+    d, samples = fixed["discounts"][1], len(states) - burn - 1
 
-    def add_up(own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        unpack, out = zstandard.ZstdDecompressor(), []
+    def add_up(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for row in own.itertuples(index=False):
             found, counts, ids, flags = open_block(row)
-            token, _, order, bound, pair = pairs_of(found, contexts, buckets)
-            log_p, count = np.full(len(token), np.nan), np.zeros(len(token))
-            for b, v in zip(values["bucket"].tolist(), values["values"]):
-                at = order[bound[b] : bound[b + 1]]
-                v = unpack.decompress(v, max_output_size=8 * len(at))
-                log_p[at] = np.frombuffer(v[: 4 * len(at)], dtype=np.float32)
-                count[at] = np.frombuffer(v[4 * len(at) :], dtype=np.uint32)
-            if np.isnan(log_p).any():
-                raise ValueError("a bucket gave no answer")
+
+            def answered(kind: str, keys: np.ndarray, *kinds) -> list[np.ndarray]:
+                order, bound = dealt(keys, buckets)
+                values, n = [np.zeros(len(keys), dtype=k) for k in kinds], 0
+                for r in given[given["kind"] == kind].itertuples(index=False):
+                    at = order[bound[r.bucket] : bound[r.bucket + 1]]
+                    for v, x in zip(values, unpack(r.data, len(at), *kinds)):
+                        v[at] = x
+                    n += len(at)
+                if n != len(keys):
+                    raise ValueError("a bucket gave no answer")
+                return values
+
+            pair, which = np.unique(pair_of(found, before(found)), return_inverse=True)
+            (inside,) = answered("ask pairs", pair, np.float32)
+            p = inside.astype(np.float64)[which]
+            del pair, which, inside
+            word, at = np.unique(found, return_inverse=True)
+            count, *values = answered("ask words", word, np.uint32, *[np.float32] * (2 * samples))
+            context = before(at)
+            for k in range(samples):
+                p += values[2 * k].astype(np.float64)[at] * (THETA + d * values[2 * k + 1].astype(np.float64))[context] / samples
+            p /= (THETA + count.astype(np.float64))[context]
             first = np.cumsum(counts) - counts
-            base = np.add.reduceat(np.log10(count + 0.5)[pair], first) - counts * scale
+            base = np.add.reduceat(np.log10(count + 0.5)[at], first) - counts * scale
             out.append(pd.DataFrame({
-                "doc_id": ids, "held_out": flags, "n_tokens": counts, "n_known": np.add.reduceat((count > 0)[pair].astype(np.int64), first),
-                "train_tokens": total, "base_score": base, "score": np.add.reduceat(log_p[pair], first),
+                "doc_id": ids, "held_out": flags, "n_tokens": counts, "n_known": np.add.reduceat((count > 0)[at].astype(np.int64), first),
+                "train_tokens": fixed["tokens"], "base_score": base, "score": np.add.reduceat(np.log10(p), first),
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

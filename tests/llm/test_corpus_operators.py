@@ -181,6 +181,27 @@ def test_model_probabilities_add_up_and_beat_the_base(spark, data):
     assert len(held) and held.score.sum() > held.base_score.sum()
 
 
+def test_rare_contexts_have_restaurants(spark, monkeypatch):
+    filler = " ".join(f"w{k}" for k in range(2000))
+    rows = [(1, filler, False), (2, "left right other", False), (3, "left right", False), (4, "other apart", False), (5, "left right", True), (6, "left other", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, "held").collect()}
+    assert got[5] > got[6] + 0.5  # "right" and "other" are as frequent, but only one was seen after "left"
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 10)
+    assert {r.doc_id: r.score for r in pitman_yor.score(df, "held").collect()} == pytest.approx(got, rel=1e-6)
+
+
+def test_scores_of_single_pairs_are_exact(spark):
+    df = spark.createDataFrame([(1, "a b c d", False), (2, "b z", True)], "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, "held").collect()}
+    d = 0.95  # all counts are one
+    new = (1 + d * 5) / 6 / 6
+    p = (1 - d + (1 + d * 5) / 6) / 6
+    met, unmet = (1 - d + (1 + d) * p) / 2, (1 + d) / 2
+    assert got[1] == pytest.approx(5 * math.log10(met), rel=1e-5)
+    assert got[2] == pytest.approx(math.log10(unmet * p) + math.log10(unmet * new) + math.log10(p), rel=1e-5)  # after "z" the parent's
+
+
 def test_parent_probabilities_sum_to_one():
     customers, tables = np.array([5.0, 2.0, 1.0]), np.array([2.0, 1.0, 1.0])
     state, fixed = {"parent_tables": 4.0, "parent_customers": 8.0}, {"types": 3, "discounts": [0.5, 0.5]}
