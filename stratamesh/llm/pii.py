@@ -31,7 +31,8 @@ SAMPLE_DOCS = 4000
 #: A mention without a base span becomes one at this marginal probability.
 CERTAIN = 0.9
 BUCKETS = 32
-ROUNDS = 8
+#: Messages may take so many rounds and four for each node; they have settled when none changes by more.
+ROUNDS, SETTLED = 100, 1e-9
 DAMPING = 0.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
@@ -173,8 +174,11 @@ def train(docs: list[tuple[str, list[tuple[int, int, int]]]]) -> dict[str, np.nd
     return {"node": weights, "pair": pmi}
 
 
-def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Marginals by loopy max-stable sum-product; ``node``: log potentials, ``edges``: rows of (node, node, sort)."""
+def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Marginals by loopy max-stable sum-product until messages settle; ``node``: log potentials, ``edges``: rows of (node, node, sort).
+
+    Where loops keep messages from settling, it ends after ``rounds``, or once each has had time to cross all nodes.
+    """
     n, k = node.shape
     if len(edges):
         src = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -182,7 +186,7 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
         table_ = np.concatenate([pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
         message = np.zeros((len(src), k))
-        for _ in range(rounds):
+        for _ in range(rounds or ROUNDS + 4 * n):
             total = node.copy()
             np.add.at(total, dst, message)
             cavity = total[src] - message[back]
@@ -190,7 +194,10 @@ def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
             top = new.max(axis=1, keepdims=True)
             new = np.log(np.exp(new - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - message).max()
             message = DAMPING * message + (1 - DAMPING) * new
+            if change < SETTLED:
+                break
         node = node.copy()
         np.add.at(node, dst, message)
     p = np.exp(node - node.max(axis=1, keepdims=True))

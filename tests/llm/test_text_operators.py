@@ -124,3 +124,12 @@ def test_query_columns(spark, data):
     rows = pii.op9_pii(spark, data).collect()
     none = hashlib.sha256(b"").hexdigest()
     assert all((r.base_sha256 == none) == (r.n_email + r.n_ip + r.n_card + r.n_phone == 0) for r in rows)
+
+
+def test_labels_reach_the_end_of_a_long_chain():
+    node, pair = np.zeros((30, 2)), np.array([[[3.0, 0.0], [0.0, 3.0]]])
+    node[0, 1] = 30
+    edges = np.array([(i, i + 1, 0) for i in range(29)])
+    step = np.exp(pair[0]) / np.exp(pair[0]).sum(axis=1, keepdims=True)
+    want = [np.linalg.matrix_power(step, i)[1, 1] for i in range(30)]  # a chain has exact marginals
+    assert pii.propagate(node, edges, pair)[:, 1] == pytest.approx(want, abs=1e-6)
