@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: At most so many documents with mentions train the field.
 SAMPLE_DOCS = 4000
+#: Mentions that training takes at most, of whole documents.
+SAMPLE_MENTIONS = 20 * SAMPLE_DOCS
 #: A mention without a base span becomes one at this marginal probability.
 CERTAIN = 0.9
 BUCKETS = 32
@@ -229,8 +231,11 @@ def spans(text: str | None, model: dict[str, np.ndarray]) -> tuple[list, list]:
     return base, sorted(base + more)
 
 
-def model_of(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """The field trained on at most ``most`` of the documents with an @ or seven digits, picked by a hash of the text."""
+def model_of(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS, most_mentions: int = SAMPLE_MENTIONS) -> dict[str, np.ndarray]:
+    """The field trained on at most ``most`` of the documents with an @ or seven digits, picked by a hash of the text.
+
+    If these have more than ``most_mentions`` mentions, only the first documents by the hash that have no more together, but at least one.
+    """
     rich = docs.select(F.col(text).alias("t")).filter(F.col("t").contains("@") | F.col("t").rlike("[0-9]([^0-9]?[0-9]){6}"))
     picked = rich.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if picked is None:
@@ -246,7 +251,14 @@ def model_of(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> di
 
     rows = rich.withColumn("h", F.xxhash64("t")).filter(F.col("h") <= picked).dropDuplicates(["h"]).mapInPandas(run, "h long, a int, b int, label int, near string")
     by: dict[int, list] = defaultdict(list)
-    for h, a, b, label, near in rows.orderBy("h", "a").limit(20 * most).collect():
+    rows = materialise(rows)
+    sizes, total, last = rows.groupBy("h").count().orderBy("h").collect(), 0, None  # ``most`` at most
+    for h, n in sizes:
+        total += n
+        if total > most_mentions and last is not None:
+            break
+        last = h
+    for h, a, b, label, near in rows.filter(F.col("h") <= last).orderBy("h", "a").collect() if sizes else []:
         by[h].append((a, b, label, near))
     texts = []
     for _, nodes in sorted(by.items()):

@@ -133,3 +133,14 @@ def test_labels_reach_the_end_of_a_long_chain():
     step = np.exp(pair[0]) / np.exp(pair[0]).sum(axis=1, keepdims=True)
     want = [np.linalg.matrix_power(step, i)[1, 1] for i in range(30)]  # a chain has exact marginals
     assert pii.propagate(node, edges, pair)[:, 1] == pytest.approx(want, abs=1e-6)
+
+
+def test_training_takes_whole_documents(spark, monkeypatch):
+    rows = [(k, " ".join(f"call 0171 55{k}{j:02d}77 now" for j in range(10))) for k in range(6)]
+    taken = []
+    monkeypatch.setattr(pii, "train", lambda docs: taken.append([len(nodes) for _, nodes in docs]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.model_of(df, most_mentions=10**6)
+    pii.model_of(df, most_mentions=25)
+    pii.model_of(df, most_mentions=1)
+    assert taken == [[10] * 6, [10] * 2, [10]]
