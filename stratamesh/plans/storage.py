@@ -8,27 +8,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this set, the shuffle files of a job go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one of ``spark.checkpoint.dir``; a temporary folder is set only
-    where the session names none, as in tests.
+    It is the one of ``spark.checkpoint.dir``. Where the session names none, a
+    temporary folder is set in local mode, as in tests; on a cluster, whose
+    executors could not see that folder, an error is raised.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-"))
     return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder, read it again. It goes when the driver's Python ends."""
+    """Cut the lineage: write ``df`` as a table in the shared folder, read it again.
+
+    The shuffle files of the writing job go at once, the table with ``discard`` or when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._shared_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
