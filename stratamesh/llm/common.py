@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise, shared_dir
+from ..plans.storage import discard, materialise, shared_dir
 
-__all__ = ["FOLD", "LOWER", "UPPER", "fold", "fold_id", "materialise", "shared_dir", "table", "worker_state"]
+__all__ = ["FOLD", "LOWER", "UPPER", "discard", "fold", "fold_id", "materialise", "shared_dir", "table", "trim", "worker_state"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -33,6 +33,19 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that workers that wait for tasks stay small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def fold_id(doc_id: Column, k: int) -> Column:
     """crc32 of the id's text, modulo ``k``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

@@ -8,13 +8,14 @@ part that differs, so dropping one part at a time (enumerating subsets of
 n2-1 parts) they share a signature there. There are more partitions than needed,
 so a few whose signatures hold hardly any element can stay unsigned.
 
-Sets that share a signature are compared by parity sketches, which bound
-their difference from below: no pair that could link is lost. What
-passes connects clusters, each set is sent to its cluster once, and
-links are found there exactly. Clusters too large for one task are
-linked in rounds: every signature's sets are compared with a pivot, and pairs in
-one component are settled. When few pairs are open, each of them is verified.
-Texts that are equal stand for one another from the start.
+Signatures with the same members count once. Sets that share a signature are
+compared by parity sketches, which bound their difference from below: no pair
+that could link is lost. Signatures are dealt to tasks by their least member, so that the sketch
+of a set is sent to few tasks. What passes connects clusters, each set is sent
+to its cluster once, and links are found there exactly. Clusters too large for
+one task are linked in rounds: every signature's sets are compared with a
+pivot, and pairs in one component are settled. When few pairs are open, each of
+them is verified. Texts that are equal stand for one another from the start.
 """
 
 from __future__ import annotations
@@ -29,23 +30,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components, roots_of
-from .common import materialise, table
+from .common import discard, materialise, table, trim
 from .tokens import mix, parcels, shingle_sets
 
 BAND = 1.3
 #: Signatures of fewer elements are left out in as many partitions as there are to spare, one in SPARE.
 LIGHT, SPARE = 2, 16
-#: Rows of signatures compared in one task, and the least number of tasks; a signature of more sets is compared block by block.
-TASK_ROWS, LEAST_TASKS, BLOCK_ROWS = 500_000, 16, 20_000
-#: Pairs compared at a time.
-PAIRS = 200_000
+#: Bytes of signatures and sketches compared in one task; a signature of more than BLOCK_ROWS sets is compared block by block.
+TASK_BYTES, BLOCK_ROWS = 8_000_000, 20_000
+#: Bytes of sketches of the pairs that are compared at a time.
+PAIR_BYTES = 8_000_000
 #: Clusters of up to so many texts and elements are linked in one task.
-CLUSTER_TEXTS, CLUSTER_ELEMENTS = 6000, 4_000_000
+CLUSTER_TEXTS, CLUSTER_ELEMENTS = 4000, 1_500_000
 #: Bytes of a cluster's bit table at a time.
-TABLE_BYTES = 96_000_000
+TABLE_BYTES = 48_000_000
 #: Rounds with pivots go on until so many pairs a text are open at most.
 OPEN_PAIRS = 5
-_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -112,17 +112,18 @@ def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     ids = sets["id"].to_numpy(dtype=np.int64)
     order = np.argsort(ids)
     ids, size = ids[order], sets["n"].to_numpy(dtype=np.int64)[order]
-    words = np.array([len(b) // 8 for b in sets["sketch"]], dtype=np.int64)[order]
     sketches = sets["sketch"].to_numpy()[order]
+    words = np.array([len(b) // 8 for b in sketches], dtype=np.int64)
     table_of, row_of, folded = {}, np.zeros(len(ids), dtype=np.int64), {}
     for w in np.unique(words).tolist():
         at = np.flatnonzero(words == w)
         table_of[w] = np.frombuffer(b"".join(sketches[at]), dtype=np.uint64).reshape(-1, w)
         row_of[at] = np.arange(len(at))
         folded[w] = halved(table_of[w])
-    rows = rows.drop_duplicates().sort_values(["signature", "id"])
-    which = np.searchsorted(ids, rows["id"].to_numpy(dtype=np.int64))
-    signature = rows["signature"].to_numpy()
+    del sketches
+    signature, which = rows["signature"].to_numpy(), np.searchsorted(ids, rows["id"].to_numpy(dtype=np.int64))
+    order = np.lexsort((which, signature))
+    signature, which = signature[order], which[order]
     root = np.arange(len(ids))
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,13 +131,14 @@ def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
         out = np.zeros(len(x), dtype=np.int64)
         low, high = np.minimum(words[x], words[y]), np.maximum(words[x], words[y])
         for w in np.unique(low).tolist():
-            same = np.flatnonzero((low == w) & (high == w))
-            out[same] = np.bitwise_count(table_of[w][row_of[x[same]]] ^ table_of[w][row_of[y[same]]]).sum(axis=1, dtype=np.int64)
-            other = np.flatnonzero((low == w) & (high == 2 * w))
-            if len(other):
-                narrow = words[x[other]] == w
-                a, b = np.where(narrow, x[other], y[other]), np.where(narrow, y[other], x[other])
-                out[other] = np.bitwise_count(table_of[w][row_of[a]] ^ folded[2 * w][row_of[b]]).sum(axis=1, dtype=np.int64)
+            step = max(1, PAIR_BYTES // (8 * w))
+            for top, wide in ((w, table_of[w]), (2 * w, folded.get(2 * w))):
+                met = np.flatnonzero((low == w) & (high == top))
+                for at in range(0, len(met), step):
+                    k = met[at : at + step]
+                    narrow = words[x[k]] == w
+                    a, b = np.where(narrow, x[k], y[k]), np.where(narrow, y[k], x[k])
+                    out[k] = np.bitwise_count(table_of[w][row_of[a]] ^ wide[row_of[b]]).sum(axis=1, dtype=np.int64)
         return out
 
     live, d = np.arange(len(which)), 1
@@ -146,8 +148,8 @@ def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
         if not len(live):
             break
         passed = []
-        for at in range(0, len(live), PAIRS):
-            x, y = which[live[at : at + PAIRS]], which[live[at : at + PAIRS] + d]
+        for at in range(0, len(live), BLOCK_ROWS):
+            x, y = which[live[at : at + BLOCK_ROWS]], which[live[at : at + BLOCK_ROWS] + d]
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             open_ = (root[x] != root[y]) & (100 * small >= percent * large)
             x, y = x[open_], y[open_]
@@ -161,16 +163,12 @@ def near(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[moved], "other": ids[root[moved]]})
 
 
-def pack40(elements: np.ndarray) -> bytes:
-    """Sorted distinct low 40 bits of each element, 5 bytes each."""
-    low = np.unique(elements & _LOW40)
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def packed(elements: np.ndarray) -> bytes:
+    return np.unique(elements).astype("<u8").tobytes()
 
 
-def unpack40(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u8")
 
 
 def link_cluster(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -227,7 +225,7 @@ def link_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for frame in frames:
             good = []
             for x, y in zip(frame["x"], frame["y"]):
-                p, q = unpack40(x), unpack40(y)
+                p, q = unpacked(x), unpacked(y)
                 good.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
             yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
@@ -301,8 +299,14 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
         for frame in frames:
             both = [(len(s), sketch(s)) for s in _sets_of(frame, "text", n)]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [b[0] for b in both], "key": [text_key(t) for t in frame["text"]], "sketch": [b[1] for b in both]})
+        trim()
 
     rows = materialise(own.mapInPandas(about, "doc_id long, n_shingles long, key binary, sketch binary"))
+    # One node for each text that has words: its least id, or where that is another text's, a negative number from its key.
+    first = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).filter("n > 0")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) > 1
+    nodes = materialise(first.withColumn("id", F.when(again, -1 - F.shiftrightunsigned(F.xxhash64("key", "doc_id"), 1)).otherwise(F.col("doc_id"))))
+    twins = nodes.filter("id <> doc_id").select("id", F.col("doc_id").alias("other"))
 
     def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -312,68 +316,100 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
             yield pd.DataFrame({"doc_id": frame["doc_id"], "key": [text_key(t) for t in frame["text"]], "z": [press.compress(t.encode("utf-8", "surrogatepass")) for t in frame["text"]]})
 
     pressed = own.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(squeeze, "doc_id long, key binary, z binary")
-    texts = pressed.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("z").alias("z"))
+    texts = pressed.groupBy("key").agg(F.first("z").alias("z")).join(nodes.select("key", "id"), "key").select("id", "z")
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         press = zstandard.ZstdDecompressor()
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                some = frame.iloc[at : at + 1000]
+            for at in range(0, len(frame), 500):
+                some = frame.iloc[at : at + 500]
                 found = [signatures(s, percent) for s in _sets_of(some, "z", n, press)]
                 yield pd.DataFrame({"signature": np.concatenate(found).view(np.int64), "id": np.repeat(some["id"].to_numpy(dtype=np.int64), [len(f) for f in found])})
+        trim()
 
     signed = texts.mapInPandas(sign, "signature long, id long")
-    shared = materialise(signed.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).filter("n > 1"))
+    by = Window.partitionBy("signature")
+    shared = signed.withColumns({"n": F.count("*").over(by), "least": F.min("id").over(by), "all": F.bit_xor(F.xxhash64("id")).over(by)}).filter("n > 1")
+    # Signatures with the same members are one from here on.
+    shared = materialise(shared.select(F.xxhash64("least", "n", "all").alias("signature"), "least", "n", "id").distinct())
 
-    # Rows to compare together; of a signature with very many sets, each two blocks.
-    tasks = max(LEAST_TASKS, -(-shared.count() // TASK_ROWS))
-    block, blocks = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")), F.ceil(F.col("n") / BLOCK_ROWS)
-    hot = shared.filter(f"n > {BLOCK_ROWS}").withColumn("blocks", blocks).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    hot = hot.select(F.xxhash64("signature", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "signature", "id")
-    dealt = shared.filter(f"n <= {BLOCK_ROWS}").select(F.pmod(F.xxhash64("signature"), F.lit(tasks)).alias("task"), "signature", "id").unionByName(hot)
-    stands = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    stands = materialise(stands.filter("n > 0"))
-    of = stands.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("of")).select(F.col("id").alias("i"), "of.n", "of.sketch")
-    sketches = dealt.select(F.col("task").alias("t"), F.col("id").alias("i")).distinct().join(of, "i").select("t", F.col("i").alias("id"), "n", "sketch")
-    passed = dealt.groupBy("task").cogroup(sketches.groupBy("t")).applyInPandas(lambda left, right: near(left[["signature", "id"]], right, percent), "id long, other long")
+    sketches = nodes.select("id", "n", "sketch")
+    passed = materialise(_passed(_deal(shared, sketches), sketches, percent))
     clusters = materialise(components(passed, "id", "other").withColumnRenamed("node", "id"))
+    discard(passed)
 
     # The texts of clusters, once more, by the id that stands for each.
-    stands = stands.join(clusters, "id").select(F.col("id").alias("doc_id"), "key", "root", "n")
+    stands = materialise(nodes.join(clusters, "id").select("id", "doc_id", "key", "root", "n"))
 
     def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         press = zstandard.ZstdDecompressor()
         for frame in frames:
-            sets = [pack40(s) for s in _sets_of(frame, "z", n, press)]
-            yield pd.DataFrame({"id": frame["doc_id"], "root": frame["root"], "elements": sets})
+            sets = [packed(s) for s in _sets_of(frame, "z", n, press)]
+            yield pd.DataFrame({"id": frame["id"], "root": frame["root"], "elements": sets})
+        trim()
 
-    sets = materialise(pressed.join(stands.drop("n"), ["doc_id", "key"]).select("doc_id", "root", "z").mapInPandas(elements, "id long, root long, elements binary").dropDuplicates(["id", "elements"]))
     sizes = stands.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("in_all")).withColumn("large", F.expr(f"texts > {CLUSTER_TEXTS} OR in_all > {CLUSTER_ELEMENTS}"))
     sizes = materialise(sizes.select("root", "large"))
-    placed = sets.join(sizes, "root")
+    placed = pressed.join(stands.drop("n"), ["doc_id", "key"]).dropDuplicates(["id"]).select("id", "root", "z").join(sizes, "root")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        found = link_cluster(frame["id"].to_numpy(dtype=np.int64), [unpack40(e) for e in frame["elements"]], percent)
+        found = link_cluster(frame["id"].to_numpy(dtype=np.int64), [unpacked(e) for e in frame["elements"]], percent)
         return pd.DataFrame({"id": frame["id"], "component": found})
 
-    small = placed.filter("NOT large").groupBy("root").applyInPandas(cluster, "id long, component long")
-    labels = small
+    fields = "id long, root long, elements binary"
+    labels = materialise(placed.filter("NOT large").mapInPandas(elements, fields).groupBy("root").applyInPandas(cluster, "id long, component long"))
     if sizes.filter("large").limit(1).count():
-        large = materialise(placed.filter("large").select("id", "elements"))
+        large = materialise(placed.filter("large").mapInPandas(elements, fields).select("id", "elements"))
         links = link_large(shared.join(large.select("id"), "id", "left_semi").select("signature", "id"), large, percent)
-        labels = small.unionByName(_labels(large, links).select("id", F.col("root").alias("component")))
-    found = labels.groupBy("id").agg(F.min("component").alias("component"))
-
-    first = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"))
-    by_key = first.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+        labels = materialise(labels.unionByName(_labels(large, links).select("id", F.col("root").alias("component"))))
+        discard(large)
+    discard(clusters, sizes, shared, stands)
+    if twins.limit(1).count():  # several texts of one id are linked, whatever they hold
+        edges = labels.withColumnRenamed("component", "other").unionByName(twins)
+        labels = materialise(components(edges, "id", "other").select(F.col("node").alias("id"), F.col("root").alias("component")))
+    # A component's least number can be a negative one: its least id is that of its texts.
+    known = nodes.select("key", "id", "doc_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = known.groupBy("component").agg(F.min("doc_id").alias("of"))
+    by_key = known.join(least, "component").select("key", F.col("of").alias("component"))
     joined = rows.join(by_key, "key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _deal(shared: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(task, signature, id): rows of ``shared`` in tasks of about TASK_BYTES.
+
+    Signatures go by their least member; one of very many sets goes block by block, each two blocks together,
+    and a member that is the least of very many rows has its signatures spread.
+    """
+    of = shared.select("least", "id").distinct().join(sketches.select("id", F.octet_length("sketch").alias("bytes")), "id")
+    weight = of.groupBy("least").agg(F.sum("bytes").alias("bytes")).join(shared.groupBy("least").agg(F.count("*").alias("rows")), "least")
+    weight = materialise(weight.select("least", (F.col("bytes") + 24 * F.col("rows")).alias("bytes")))
+    tasks = -(-(weight.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES) or 1
+    heavy = weight.filter(F.col("bytes") > TASK_BYTES // 4).select("least", F.ceil(F.col("bytes") / (TASK_BYTES // 4)).alias("parts"))
+    block, blocks = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")), F.ceil(F.col("n") / BLOCK_ROWS)
+    hot = shared.filter(f"n > {BLOCK_ROWS}").withColumn("blocks", blocks).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    hot = hot.select(F.xxhash64("signature", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "signature", "id")
+    rest = shared.filter(f"n <= {BLOCK_ROWS}").join(F.broadcast(heavy), "least", "left")  # four heavy ones a task at most
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("signature"), F.col("parts"))).otherwise(F.lit(0))
+    return rest.select(F.pmod(F.xxhash64("least", part), F.lit(tasks)).alias("task"), "signature", "id").unionByName(hot)
+
+
+def _passed(dealt: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(id, other) links between sets of one signature whose sketches let them be similar."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = near(left, right, percent)
+        trim()
+        return out
+
+    to = dealt.select(F.col("task").alias("t"), F.col("id").alias("i")).distinct().join(sketches.withColumnRenamed("id", "i"), "i").select("t", F.col("i").alias("id"), "n", "sketch")
+    return dealt.groupBy("task").cogroup(to.groupBy("t")).applyInPandas(run, "id long, other long").distinct()
+
+
 def keep_one(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, and rows without an id."""
     found = join(docs, n, percent, doc_id, text).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
