@@ -31,11 +31,15 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components, roots_of
 from .common import discard, materialise, table, trim
-from .tokens import mix, parcels, shingle_sets
+from .tokens import mix, pack, parcels, shingle_sets, steps, unpack
 
 BAND = 1.3
 #: Signatures of fewer elements are left out in as many partitions as there are to spare, one in SPARE.
 LIGHT, SPARE = 2, 16
+#: Signatures of a bucket, on average, and how many are dealt to buckets at a time.
+BUCKET_ROWS, BATCH_ROWS = 1_500_000, 1_000_000
+#: Once so many rows of a bucket are held, signatures with HOT or more of them are passed on as they come.
+HELD_ROWS, HOT = 4_000_000, 1000
 #: Bytes of signatures and sketches compared in one task; a signature of more than BLOCK_ROWS sets is compared block by block.
 TASK_BYTES, BLOCK_ROWS = 8_000_000, 20_000
 #: Bytes of sketches of the pairs that are compared at a time.
@@ -318,22 +322,42 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     pressed = own.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(squeeze, "doc_id long, key binary, z binary")
     texts = pressed.groupBy("key").agg(F.first("z").alias("z")).join(nodes.select("key", "id"), "key").select("id", "z")
 
+    in_all = nodes.agg(F.sum("n")).first()[0] or 0
+    rate = len(signatures(mix(np.arange(1000, dtype=np.uint64)), percent)) / 1000
+    buckets = max(4, math.ceil(in_all * rate / BUCKET_ROWS))
+
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         press = zstandard.ZstdDecompressor()
+        found, ids, size = [], [], 0
         for frame in frames:
             for at in range(0, len(frame), 500):
                 some = frame.iloc[at : at + 500]
-                found = [signatures(s, percent) for s in _sets_of(some, "z", n, press)]
-                yield pd.DataFrame({"signature": np.concatenate(found).view(np.int64), "id": np.repeat(some["id"].to_numpy(dtype=np.int64), [len(f) for f in found])})
+                own = [signatures(s, percent) for s in _sets_of(some, "z", n, press)]
+                found += own
+                ids.append(some["id"].to_numpy(dtype=np.int64))
+                size += sum(len(f) for f in own)
+                if size >= BATCH_ROWS:
+                    yield packages(found, np.concatenate(ids), buckets)
+                    found, ids, size = [], [], 0
+        if size:
+            yield packages(found, np.concatenate(ids), buckets)
+        trim()
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from shared_rows(frames)
         trim()
 
-    signed = texts.mapInPandas(sign, "signature long, id long")
-    by = Window.partitionBy("signature")
-    shared = signed.withColumns({"n": F.count("*").over(by), "least": F.min("id").over(by), "all": F.bit_xor(F.xxhash64("id")).over(by)}).filter("n > 1")
-    # Signatures with the same members are one from here on.
-    shared = materialise(shared.select(F.xxhash64("least", "n", "all").alias("signature"), "least", "n", "id").distinct())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = texts.mapInPandas(sign, "bucket int, rows int, texts int, ids binary, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # Signatures with the same members are one from here on; of very many rows (n is 0) they stay apart.
+    shared = materialise(signed.mapInPandas(meet, "signature long, least long, n long, id long").distinct())
+    if shared.filter("n = 0").limit(1).count():
+        counts = shared.filter("n = 0").groupBy("signature").agg(F.count("*").alias("n"))
+        whole = materialise(shared.filter("n > 0").unionByName(shared.filter("n = 0").drop("n").join(counts, "signature")))
+        discard(shared)
+        shared = whole
 
     sketches = nodes.select("id", "n", "sketch")
     passed = materialise(_passed(_deal(shared, sketches), sketches, percent))
@@ -379,6 +403,78 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def packages(found: list[np.ndarray], ids: np.ndarray, buckets: int) -> pd.DataFrame:
+    """A row for each bucket with the signatures of texts that fall into it: (signature, text) in order, packed."""
+    signature = np.concatenate(found)
+    text = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(f) for f in found])
+    order = np.argsort(signature)
+    signature, text = signature[order], text[order]
+    bucket = (signature >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of signatures
+    bound = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    out = []
+    for b in range(buckets):
+        part = slice(bound[b], bound[b + 1])
+        if bound[b] < bound[b + 1]:
+            used, which = np.unique(text[part], return_inverse=True)
+            held = np.sort(ids[used])
+            place = np.argsort(np.argsort(ids[used]))[which].astype(np.uint32)
+            out.append((b, len(place), len(held), pack(steps(held)), pack(steps(signature[part]), place)))
+    return pd.DataFrame(out, columns=["bucket", "rows", "texts", "ids", "data"])
+
+
+def shared_rows(frames: Iterator[pd.DataFrame], most: int = HELD_ROWS, many: int = HOT) -> Iterator[pd.DataFrame]:
+    """(signature, least, n, id) of signatures with two members or more, from packages sorted by bucket.
+
+    Signatures with the same members get one number. While a bucket is held, its hot signatures are
+    passed on under their own number with n = 0, so that memory stays bounded.
+    """
+    bucket, held, size, hot = None, [], 0, np.empty(0, dtype=np.uint64)
+
+    def rows_of(signature: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        own = signature.view(np.int64)
+        return pd.DataFrame({"signature": own, "least": own, "n": 0, "id": ids})
+
+    def close() -> Iterator[pd.DataFrame]:
+        signature, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        if len(hot):
+            out = np.isin(signature, hot)
+            yield rows_of(signature[out], ids[out])
+            signature, ids = signature[~out], ids[~out]
+        order = np.lexsort((ids, signature))
+        signature, ids = signature[order], ids[order]
+        again = signature[1:] == signature[:-1]
+        keep = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        signature, ids = signature[keep], ids[keep]
+        if not len(ids):
+            return
+        first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+        n = np.diff(np.append(first, len(ids)))
+        members = mix(np.add.reduceat(mix(ids.view(np.uint64)), first) + n.astype(np.uint64))
+        one = np.unique(members, return_index=True)[1]
+        n, first = n[one], first[one]
+        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pd.DataFrame({"signature": np.repeat(members[one].view(np.int64), n), "least": np.repeat(ids[first], n), "n": np.repeat(n, n), "id": ids[at]})
+
+    for frame in frames:
+        for b, m, texts, ids, data in zip(frame["bucket"], frame["rows"], frame["texts"], frame["ids"], frame["data"]):
+            if b != bucket and held:
+                yield from close()
+                held, size, hot = [], 0, hot[:0]
+            bucket = b
+            signature, place = unpack(data, m, np.uint64, np.uint32)
+            held.append((np.cumsum(signature), np.cumsum(unpack(ids, texts, np.int64)[0])[place]))
+            size += m
+            if size > most:
+                signature, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                number, count = np.unique(signature, return_counts=True)
+                hot = np.union1d(hot, number[count >= many])
+                out = np.isin(signature, hot)
+                yield rows_of(signature[out], ids[out])
+                held, size = [(signature[~out], ids[~out])], 0
+    if held:
+        yield from close()
+
+
 def _deal(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """(task, signature, id): rows of ``shared`` in tasks of about TASK_BYTES.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_id, materialise, table
-from .tokens import folded, mix, word_hashes
+from .tokens import folded, mix, pack, steps, unpack, word_hashes
 
 END = np.uint64(0x1E17D0)
 SWEEPS, BURN = 4, 2
@@ -91,29 +91,6 @@ def open_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return found, counts, np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.held, dtype=np.uint8).astype(bool)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, bytes of equal weight side by side, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() for x in arrays))
-
-
-def unpack(data: bytes, n: int, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    raw, out, a = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, n * sum(sizes))), dtype=np.uint8), [], 0
-    for kind, size in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(raw[a : a + n * size].reshape(size, n).T).reshape(-1).view(kind))
-        a += n * size
-    return out
-
-
-def steps(x: np.ndarray) -> np.ndarray:
-    """Differences of sorted numbers; ``np.cumsum`` undoes it."""
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 def pair_of(token: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(token ^ (context * _PAIR))
 
