@@ -310,7 +310,7 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     first = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).filter("n > 0")
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) > 1
     nodes = materialise(first.withColumn("id", F.when(again, -1 - F.shiftrightunsigned(F.xxhash64("key", "doc_id"), 1)).otherwise(F.col("doc_id"))))
-    twins = nodes.filter("id <> doc_id").select("id", F.col("doc_id").alias("other"))
+    several = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
 
     def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -392,7 +392,9 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
         labels = materialise(labels.unionByName(_labels(large, links).select("id", F.col("root").alias("component"))))
         discard(large)
     discard(clusters, sizes, shared, stands)
-    if twins.limit(1).count():  # several texts of one id are linked, whatever they hold
+    if several.limit(1).count():  # several texts of one id are linked, whatever they hold
+        twins = rows.join(several, "doc_id").select("doc_id", "key").join(nodes.select("key", "id"), "key").select("doc_id", "id").distinct()
+        twins = twins.join(twins.groupBy("doc_id").agg(F.min("id").alias("other")), "doc_id").select("id", "other")
         edges = labels.withColumnRenamed("component", "other").unionByName(twins)
         labels = materialise(components(edges, "id", "other").select(F.col("node").alias("id"), F.col("root").alias("component")))
     # A component's least number can be a negative one: its least id is that of its texts.

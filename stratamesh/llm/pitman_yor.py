@@ -8,11 +8,13 @@ restaurant, customers of a dish in growing groups once there are many), and the
 predictive probabilities of the sweeps after the first ones are averaged.
 
 Texts are held in blocks. Pairs of a token and its context are dealt to buckets by the pair's hash,
-and tokens by their own, so no common word gathers its pairs in one task. A pair seen once has one table for good; for the
-others the buckets exchange sums between sweeps: a pair's bucket sends what it added to its tokens and contexts, and
+and tokens by their own, so no common word gathers its pairs in one task. Each block sends the hashes of its
+pairs and learns of each whether training has it never, once or more often, and whether this block is the one to speak for it. A pair seen
+once has one table for good and needs no more; for the others the block that speaks for it names the context. Buckets then exchange sums between
+sweeps: a pair's bucket sends what it added to its tokens and contexts, and
 gets their sums back. A token is a context as often as it occurs, since each text ends
 with a token that also stands before the first word. Only sums over all tokens pass
-through the driver. At last each block asks once for its pairs and tokens and adds up its texts.
+through the driver. At last each block gets the values of its repeated pairs and its tokens and adds up its texts.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_id, materialise, table
-from .tokens import folded, mix, pack, steps, unpack, word_hashes
+from .common import discard, fold_id, materialise, table, trim
+from .tokens import folded, mix, pack, steps, unmix, unpack, word_hashes
 
 END = np.uint64(0x1E17D0)
 SWEEPS, BURN = 4, 2
 THETA = 1.0
 SEED = 17
-BLOCK_BYTES, BUCKET_BYTES = 12_000_000, 18_000_000
+BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 12_000_000
 _PAIR = np.uint64(0xA24BAED4963EE407)
-#: Rows that buckets get: state or a message from bucket (or block) ``source`` of ``n`` packed items.
+#: Answers on a pair: never, once or more often in training; and the mark of the block that speaks for it.
+NEVER, ONCE, OFTEN, SPEAKS = 0, 1, 2, 4
+#: Rows that buckets get: state or a message from bucket (or block) ``source`` of ``n`` packed items. Rows to a block have bucket and source exchanged.
 ROW = "bucket int, kind string, source long, n long, data binary, a double, b double"
 
 
@@ -74,7 +78,7 @@ def tokens(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     words, counts = [], []
     a = 0
     while a < len(sizes):  # some megabytes at a time
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + 2_000_000)))
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + 1_000_000)))
         hashed, first = word_hashes([data[e - s : e] for s, e in zip(sizes[a:b].tolist(), ends[a:b].tolist())])
         words.append(np.insert(hashed, first[1:], END))
         counts.append(np.diff(first) + 1)
@@ -95,13 +99,21 @@ def pair_of(token: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(token ^ (context * _PAIR))
 
 
-def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket (else as it was), and the bounds of buckets in it."""
-    bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
-    if buckets < 1 << 16:
-        bucket = bucket.astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def token_of(pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The token of a pair, its context being known."""
+    return unmix(pair) ^ (context * _PAIR)
+
+
+def bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets, which are ranges, begin and end in sorted hashes."""
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def to_buckets(kind: str, source: int, buckets: int, hashes: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows with sorted ``hashes`` and what belongs to each."""
+    bound = bounds(hashes, buckets)
+    cut = [(b, slice(bound[b], bound[b + 1])) for b in range(buckets) if bound[b] < bound[b + 1]]
+    return [(b, kind, source, at.stop - at.start, pack(steps(hashes[at]), *(v[at] for v in values))) for b, at in cut]
 
 
 def before(found: np.ndarray) -> np.ndarray:
@@ -109,6 +121,12 @@ def before(found: np.ndarray) -> np.ndarray:
     return np.concatenate([found[-1:], found[:-1]])  # the last one is an end
 
 
+def pairs_in(found: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, the place of one of each, how often each stands where ``own``, and which pair each token is."""
+    pair, where, which = np.unique(pair_of(found, before(found)), return_index=True, return_inverse=True)
+    return pair, where, np.bincount(which[own], minlength=len(pair)).astype(np.uint32), which
+
+
 def frame_of(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(*r, 0.0, 0.0)[:7] for r in rows], columns=["bucket", "kind", "source", "n", "data", "a", "b"])
 
@@ -117,65 +135,118 @@ def of_kind(frame: pd.DataFrame, kind: str) -> list:
     return list(frame[frame["kind"] == kind].sort_values("source").itertuples(index=False))
 
 
-def counted(made: DataFrame, buckets: int) -> DataFrame:
-    """The training counts of pairs, and what their buckets tell the buckets of tokens; rows as in ROW.
+def met(made: DataFrame, buckets: int) -> DataFrame:
+    """What buckets know of pairs; rows as in ROW.
 
-    pairs: all pairs and counts. seats: those seen more than once, with the places of
-    token and context in the list of such tokens. live: a part of that list. sums: training
-    count, different contexts, and different successors of tokens.
+    reply: for each block, in the order of its pairs, how often training has them, and whether the block speaks
+    for them. pairs: those seen more than once, with their counts; a and b are the numbers of those seen once and twice.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 found, counts, _, held = open_block(row)
-                own = ~np.repeat(held, counts)
-                token, context = found[own], before(found)[own]
-                pair, where, n = np.unique(pair_of(token, context), return_index=True, return_counts=True)
-                by_token = np.argsort(token[where])
-                pair, where, n = pair[by_token], where[by_token], n[by_token].astype(np.uint32)
-                token, context = token[where], context[where]
-                order, bound = dealt(pair, buckets)
-                out = []
-                for b in range(buckets):
-                    at = order[bound[b] : bound[b + 1]]
-                    if len(at):
-                        out.append((b, "ask", row.block, len(at), pack(steps(token[at]), context[at], n[at])))
-                yield frame_of(out)
+                pair, _, n, _ = pairs_in(found, ~np.repeat(held, counts))
+                yield frame_of(to_buckets("ask", row.block, buckets, pair, n))
+        trim()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        b = int(frame["bucket"].iloc[0])
-        parts = [unpack(d, n, np.uint64, np.uint64, np.uint32) for d, n in zip(frame["data"], frame["n"].tolist())]
-        token, context, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        b, asks = int(frame["bucket"].iloc[0]), of_kind(frame, "ask")
+        parts = [unpack(r.data, r.n, np.uint64, np.uint32) for r in asks]
+        pair, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
-        pair, where, which = np.unique(pair_of(token, context), return_index=True, return_inverse=True)
-        n = np.bincount(which, weights=n).astype(np.uint32)
-        token, context = token[where], context[where]
-        out = [(b, "pairs", b, len(pair), pack(steps(pair), n), float((n == 1).sum()), float((n == 2).sum()))]
-        word, at = np.unique(np.concatenate([token, context]), return_inverse=True)
-        sums = [np.bincount(at[: len(pair)], weights=n, minlength=len(word)), np.bincount(at[: len(pair)], minlength=len(word)), np.bincount(at[len(pair) :], minlength=len(word))]
-        order, bound = dealt(word, buckets)
-        for t in range(buckets):
-            own = order[bound[t] : bound[t + 1]]
-            if len(own):
-                out.append((t, "sums", b, len(own), pack(steps(word[own]), *(x[own].astype(np.uint32) for x in sums))))
-        often = n > 1
-        word, at = np.unique(np.concatenate([token[often], context[often]]), return_inverse=True)
-        order, bound = dealt(word, buckets)
-        place = np.empty(len(word), dtype=np.uint32)
-        place[order] = np.arange(len(word))
-        at, m = place[at], int(often.sum())
-        out.append((b, "seats", b, m, pack(at[:m], at[m:], n[often], np.ones(m, dtype=np.uint32), np.zeros(m))))
-        for t in range(buckets):
-            own = order[bound[t] : bound[t + 1]]
-            if len(own):
-                out.append((t, "live", b, len(own), pack(steps(word[own]))))
+        order = np.argsort(pair, kind="stable")
+        new = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n[order].astype(np.uint64), first)
+        which = np.empty(len(pair), dtype=np.uint32)
+        which[order] = np.cumsum(new) - 1
+        code = np.minimum(total, OFTEN).astype(np.uint8)[which]
+        learned = np.flatnonzero(n > 0)
+        speaker = np.full(len(first), len(pair))
+        np.minimum.at(speaker, which[learned], learned)
+        code[speaker[total > 0]] += SPEAKS
+        out, a = [], 0
+        for r in asks:
+            out.append((b, "reply", r.source, r.n, pack(code[a : a + r.n])))
+            a += r.n
+        often = total >= OFTEN
+        out.append((b, "pairs", b, int(often.sum()), pack(steps(pair[order][first][often]), total[often]), float((total == 1).sum()), float((total == 2).sum())))
+        del frame, pair, n, order, which
+        trim()
         return frame_of(out)
 
     return made.mapInPandas(ask, ROW).groupBy("bucket").applyInPandas(merge, ROW)
 
 
-def words_of(told: DataFrame) -> DataFrame:
+def replies(given: pd.DataFrame, kind: str, n: int, *kinds) -> list[np.ndarray]:
+    """The values that buckets gave for ``n`` sorted hashes of a block."""
+    rows = given[given["kind"] == kind].sort_values("bucket")
+    if int(rows["n"].sum()) != n:
+        raise ValueError("a bucket gave no answer")
+    parts = [unpack(d, m, *kinds) for d, m in zip(rows["data"], rows["n"].tolist())]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=t) for k, t in enumerate(kinds)]
+
+
+def told(made: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """What blocks tell and ask once they know their pairs; rows as in ROW.
+
+    sums: training count, different contexts and different successors of tokens, over the pairs for which the block
+    speaks. names: such pairs seen more often than once, with their contexts. ask pairs, ask words: all
+    pairs seen more than once and all tokens of the block.
+    """
+
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in own.itertuples(index=False):
+            found, counts, _, held = open_block(row)
+            learned = ~np.repeat(held, counts)
+            pair, where, _, which = pairs_in(found, learned)
+            del which
+            (code,) = replies(given, "reply", len(pair), np.uint8)
+            often = code & 3 == OFTEN
+            out += to_buckets("ask pairs", row.block, buckets, pair[often])
+            speaks = code >= SPEAKS
+            context = before(found)[where]
+            out += to_buckets("names", row.block, buckets, pair[often & speaks], context[often & speaks])
+            word, at = np.unique(found, return_inverse=True)
+            out += to_buckets("ask words", row.block, buckets, word)
+            token = at[where[speaks]]
+            sums = [np.bincount(x, minlength=len(word)).astype(np.uint32) for x in (at[learned], token, before(at)[where[speaks]])]
+            used = sums[0] > 0
+            out += to_buckets("sums", row.block, buckets, word[used], *(x[used] for x in sums))
+        trim()
+        return frame_of(out)
+
+    mine = known.filter("kind = 'reply'").withColumnRenamed("source", "block")
+    return made.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(run, ROW)
+
+
+def seats_of(known: DataFrame, said: DataFrame, buckets: int) -> DataFrame:
+    """The pairs seen more than once and the tokens in them; rows as in ROW.
+
+    seats: places of token and context in the list of such tokens, customers and tables. live: a part of that list.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        b = int(frame["bucket"].iloc[0])
+        parts = [unpack(r.data, r.n, np.uint64, np.uint64) for r in of_kind(frame, "names")]
+        pair, context = (np.concatenate(x) if parts else np.empty(0, dtype=np.uint64) for x in (([np.cumsum(p[0]) for p in parts]), ([p[1] for p in parts])))
+        order = np.argsort(pair)
+        pair, context = pair[order], context[order]
+        (row,) = of_kind(frame, "pairs")
+        known_, n = unpack(row.data, row.n, np.uint64, np.uint64)
+        if not np.array_equal(pair, np.cumsum(known_)):
+            raise ValueError("a pair has no name")
+        word, at = np.unique(np.concatenate([token_of(pair, context), context]), return_inverse=True)
+        m, at = len(pair), at.astype(np.uint32)
+        out = [(b, "seats", b, m, pack(at[:m], at[m:], n, np.ones(m, dtype=np.uint64), np.zeros(m)))]
+        return frame_of(out + to_buckets("live", b, buckets, word))
+
+    return known.filter("kind = 'pairs'").unionByName(said.filter("kind = 'names'")).groupBy("bucket").applyInPandas(run, ROW)
+
+
+def words_of(said: DataFrame) -> DataFrame:
     """What buckets of tokens hold and first answer; rows as in ROW.
 
     base: tokens, counts, different contexts and successors. words: tables in the parent and samples. order:
@@ -185,19 +256,22 @@ def words_of(told: DataFrame) -> DataFrame:
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         b = int(frame["bucket"].iloc[0])
         parts = [(np.cumsum(k), *v) for k, *v in (unpack(r.data, r.n, np.uint64, np.uint32, np.uint32, np.uint32) for r in of_kind(frame, "sums"))]
-        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count, contexts, successors = (np.bincount(at, weights=np.concatenate([p[k] for p in parts])).astype(np.uint32) for k in (1, 2, 3))
+        all_ = np.concatenate([p[0] for p in parts])
+        order = np.argsort(all_, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], all_[order][1:] != all_[order][:-1]]))
+        word = all_[order][first]
+        count, contexts, successors = (np.add.reduceat(np.concatenate([p[k] for p in parts])[order].astype(np.uint64), first) for k in (1, 2, 3))
         out = [
-            (b, "base", b, len(word), pack(steps(word), count, contexts, successors), float((count == 1).sum()), float((count == 2).sum())),
-            (b, "words", b, len(word), pack(np.ones(len(word), dtype=np.uint32)), float(contexts.sum()), float(len(word))),
+            (b, "base", b, len(word), pack(steps(word), count, contexts, successors), float((contexts == 1).sum()), float((contexts == 2).sum())),
+            (b, "words", b, len(word), pack(np.ones(len(word), dtype=np.uint64)), float(contexts.sum()), float(len(word))),
             (b, "total", b, len(word), b"", float(count.sum()), 0.0),
         ]
         for r in of_kind(frame, "live"):
             at = np.searchsorted(word, np.cumsum(unpack(r.data, r.n, np.uint64)[0])).astype(np.uint32)
-            out += [(b, "order", r.source, r.n, pack(steps(at))), (int(r.source), "reply", b, r.n, pack(successors[at], count[at], np.ones(len(at), dtype=np.uint32)))]
+            out += [(b, "order", r.source, r.n, pack(steps(at))), (int(r.source), "reply", b, r.n, pack(successors[at], count[at], np.ones(len(at), dtype=np.uint64)))]
         return frame_of(out)
 
-    return told.filter("kind IN ('sums', 'live')").groupBy("bucket").applyInPandas(gather, ROW)
+    return said.filter("kind IN ('sums', 'live')").groupBy("bucket").applyInPandas(gather, ROW)
 
 
 def reseat(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> DataFrame:
@@ -206,20 +280,20 @@ def reseat(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> Data
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][1]
         (row,) = of_kind(frame, "seats")
-        token, context, n, tables, own = unpack(row.data, row.n, np.uint32, np.uint32, np.uint32, np.uint32, np.float64)
-        replies = of_kind(frame, "reply")
-        if not replies:
+        token, context, n, tables, own = unpack(row.data, row.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)
+        sums_ = of_kind(frame, "reply")
+        if not sums_:
             return frame_of([(b, "seats", b, row.n, row.data)])
-        inner, customers, parent = (np.concatenate(x).astype(np.float64) for x in zip(*(unpack(r.data, r.n, np.uint32, np.uint32, np.uint32) for r in replies)))
+        inner, customers, parent = (np.concatenate(x).astype(np.float64) for x in zip(*(unpack(r.data, r.n, np.uint64, np.uint64, np.uint64) for r in sums_)))
         share = predict(customers, parent, state, fixed) if k else (customers + 0.5) / (fixed["tokens"] + 0.5 * (fixed["types"] + 1))
         others = np.maximum(inner[context] - tables, 0)
         tables = seat(n.astype(np.int64), (THETA + d * others) * share[token], d, np.random.default_rng([SEED, b, k, 0]))
         if k >= burn:
             own = own + np.maximum(n - d * tables, 0)
-        out = [(b, "seats", b, row.n, pack(token, context, n, tables.astype(np.uint32), own))]
-        more = [np.bincount(at, weights=tables - 1, minlength=len(share)).astype(np.uint32) for at in (token, context)]
+        out = [(b, "seats", b, row.n, pack(token, context, n, tables.astype(np.uint64), own))]
+        more = [np.bincount(at, weights=tables - 1, minlength=len(share)).astype(np.uint64) for at in (token, context)]
         a = 0
-        for r in replies:
+        for r in sums_:
             out.append((int(r.source), "more", b, r.n, pack(*(x[a : a + r.n] for x in more))))
             a += r.n
         return frame_of(out)
@@ -234,17 +308,17 @@ def reseat_parent(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int)
         b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][0]
         out = [tuple(r) for r in of_kind(frame, "seats")]
         for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
-            _, _, customers, inner = unpack(base.data, base.n, np.uint64, np.uint32, np.uint32, np.uint32)
-            parent, *samples = unpack(row.data, row.n, *[np.uint32] * (1 + 3 * max(0, k - burn)))
-            customers, inner = customers.astype(np.int64), inner.astype(np.int64)
+            _, _, customers, inner = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64, np.uint64)
+            parent, *samples = unpack(row.data, row.n, *[np.uint64] * (1 + 3 * max(0, k - burn)))
+            customers, inner, parent = customers.astype(np.int64), inner.astype(np.int64), parent.astype(np.int64)
             orders = [(int(r.source), np.cumsum(unpack(r.data, r.n, np.uint32)[0], dtype=np.uint32)) for r in of_kind(frame, "order")]
-            more = {int(r.source): unpack(r.data, r.n, np.uint32, np.uint32) for r in of_kind(frame, "more")}
+            more = {int(r.source): [x.astype(np.int64) for x in unpack(r.data, r.n, np.uint64, np.uint64)] for r in of_kind(frame, "more")}
             for source, at in orders:
                 customers[at] += more[source][0]
                 inner[at] += more[source][1]
             others = np.maximum(state["parent_tables"] - parent, 0)
             parent = seat(customers, (THETA + d * others) / (fixed["types"] + 1), d, np.random.default_rng([SEED, b, k, 1]))
-            now = [x.astype(np.uint32) for x in (inner, customers, parent)]
+            now = [x.astype(np.uint64) for x in (inner, customers, parent)]
             out.append((b, "words", b, row.n, pack(now[2], *samples, *(now if k >= burn else ())), float(customers.sum()), float(parent.sum())))
             out += [(source, "reply", b, len(at), pack(*(x[at] for x in now))) for source, at in orders]
         return frame_of(out)
@@ -280,91 +354,76 @@ def sums(rows: DataFrame, kind: str) -> tuple[float, float, int]:
     return a or 0.0, b or 0.0, int(n or 0)
 
 
-def train(made: DataFrame, buckets: int, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[dict, list[dict], DataFrame]:
-    """What holds throughout, the parent's sums before each sweep and after the last, and the buckets' state."""
-    told = materialise(counted(made, buckets))
-    first = materialise(words_of(told))
+def train(made: DataFrame, buckets: int, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[dict, list[dict], DataFrame, DataFrame, list[DataFrame]]:
+    """What holds throughout, the parent's sums before each sweep and after the last, the buckets' state with the blocks' questions, what is known of pairs, and the tables to discard."""
+    known = materialise(met(made, buckets))
+    said = materialise(told(made, known, buckets))
+    seats = materialise(seats_of(known, said, buckets))
+    first = materialise(words_of(said.unionByName(seats)))
     once, twice, types = sums(first, "base")
-    pairs = sums(told, "pairs")
+    pairs = sums(known, "pairs")
     fixed = {"tokens": int(sums(first, "total")[0]), "types": types, "discounts": [float(np.clip(x / max(1, x + 2 * y), 0.1, 0.95)) for x, y in ((once, twice), pairs[:2])]}
-    states, rows = [], first.filter("kind IN ('words', 'reply')").unionByName(told.filter("kind = 'seats'"))
+    states, rows = [], first.filter("kind IN ('words', 'reply')").unionByName(seats.filter("kind = 'seats'"))
     keep = lambda f, *kinds: f.filter(F.col("kind").isin(*kinds))
     current = first
     for k in range(sweeps):
         states.append(dict(zip(("parent_customers", "parent_tables"), sums(current, "words"))))
         seated = reseat(keep(rows, "seats", "reply"), fixed, k, states[k], burn)
-        rows = current = materialise(reseat_parent(seated.unionByName(keep(first, "base", "order")).unionByName(keep(rows, "words")), fixed, k, states[k], burn))
+        before_, rows = current, materialise(reseat_parent(seated.unionByName(keep(first, "base", "order")).unionByName(keep(rows, "words")), fixed, k, states[k], burn))
+        current = rows
+        discard(before_) if k else discard(seats)
     states.append(dict(zip(("parent_customers", "parent_tables"), sums(current, "words"))))
-    return fixed, states, keep(told, "pairs").unionByName(keep(first, "base")).unionByName(keep(rows, "words", "seats"))
-
-
-def requests(made: DataFrame, buckets: int) -> DataFrame:
-    """The different pairs and tokens of each block, asked of their buckets."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                found = open_block(row)[0]
-                out = []
-                for kind, keys in (("ask pairs", np.unique(pair_of(found, before(found)))), ("ask words", np.unique(found))):
-                    order, bound = dealt(keys, buckets)
-                    for b in range(buckets):
-                        at = order[bound[b] : bound[b + 1]]
-                        if len(at):
-                            out.append((b, kind, row.block, len(at), pack(steps(keys[at]))))
-                yield frame_of(out)
-
-    return made.mapInPandas(run, ROW)
+    state = keep(known, "pairs").unionByName(keep(first, "base")).unionByName(keep(rows, "words", "seats")).unionByName(keep(said, "ask pairs", "ask words"))
+    return fixed, states, state, known, [said, first, current, *([] if sweeps else [seats])]
 
 
 def answer(rows: DataFrame, fixed: dict, states: list[dict], burn: int = BURN) -> DataFrame:
-    """(block, kind, bucket, n, data) for requests and the buckets' state.
+    """(block, kind, bucket, n, data) for questions and the buckets' state.
 
     For pairs: mean over samples of customers less discounts. For tokens: training count, and of
     each sample the probability in the parent and the tables in the restaurant of that context.
     """
-    d, last = fixed["discounts"][1], states[burn + 1 :]
+    last = states[burn + 1 :]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b, out = int(frame["bucket"].iloc[0]), []
         pair, own = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32)
         for row, seats in zip(of_kind(frame, "pairs"), of_kind(frame, "seats")):
-            pair, n = unpack(row.data, row.n, np.uint64, np.uint32)
-            pair, own = np.cumsum(pair), np.full(len(n), 1 - d, dtype=np.float32)
-            own[n > 1] = unpack(seats.data, seats.n, np.uint32, np.uint32, np.uint32, np.uint32, np.float64)[4] / len(last)
+            pair = np.cumsum(unpack(row.data, row.n, np.uint64, np.uint64)[0])
+            own = (unpack(seats.data, seats.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)[4] / len(last)).astype(np.float32)
         word, values = np.empty(0, dtype=np.uint64), []
         for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
-            word, count, *_ = unpack(base.data, base.n, np.uint64, np.uint32, np.uint32, np.uint32)
-            word, samples = np.cumsum(word), unpack(row.data, row.n, *[np.uint32] * (1 + 3 * len(last)))[1:]
+            word, count, *_ = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64, np.uint64)
+            word, samples = np.cumsum(word), unpack(row.data, row.n, *[np.uint64] * (1 + 3 * len(last)))[1:]
             values = [count]
             for k, state in enumerate(last):
                 inner, customers, parent = samples[3 * k : 3 * k + 3]
-                values += [predict(customers.astype(np.float64), parent, state, fixed).astype(np.float32), inner.astype(np.float32)]
-        new = [np.uint32(0), *(np.float32(x) for state in last for x in (predict(np.zeros(1), np.zeros(1), state, fixed)[0], 0))]
+                values += [predict(customers.astype(np.float64), parent.astype(np.float64), state, fixed).astype(np.float32), inner.astype(np.float32)]
+        new = [np.uint64(0), *(np.float32(x) for state in last for x in (predict(np.zeros(1), np.zeros(1), state, fixed)[0], 0))]
         for row in frame.itertuples(index=False):
-            if row.kind[:4] != "ask ":
-                continue
-            keys = np.cumsum(unpack(row.data, row.n, np.uint64)[0])
-            have = pair if row.kind == "ask pairs" else word
-            at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
-            met = have[at] == keys if len(have) else np.zeros(len(keys), dtype=bool)
             if row.kind == "ask pairs":
-                found = [np.where(met, own[at], np.float32(0)) if len(have) else np.zeros(len(keys), dtype=np.float32)]
-            else:
-                found = [np.where(met, v[at], x) for v, x in zip(values, new)] if len(have) else [np.full(len(keys), x) for x in new]
-            out.append((row.source, row.kind, b, row.n, pack(*found)))
+                at = np.searchsorted(pair, np.cumsum(unpack(row.data, row.n, np.uint64)[0]))
+                out.append((row.source, row.kind, b, row.n, pack(own[at])))
+            elif row.kind == "ask words":
+                keys = np.cumsum(unpack(row.data, row.n, np.uint64)[0])
+                at = np.minimum(np.searchsorted(word, keys), max(0, len(word) - 1))
+                seen = word[at] == keys if len(word) else None
+                found = [np.where(seen, v[at], x) for v, x in zip(values, new)] if len(word) else [np.full(len(keys), x) for x in new]
+                out.append((row.source, row.kind, b, row.n, pack(*found)))
+        trim()
         return pd.DataFrame(out, columns=["block", "kind", "bucket", "n", "data"])
 
     return rows.groupBy("bucket").applyInPandas(run, "block long, kind string, bucket int, n long, data binary")
 
 
 def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of ``docs``.
 
     The model learns from the rows where column ``held`` is false. Null texts
     count as empty: their end is their one token. Repeated rows are learned from and
     scored as often as they stand. Without any training token all
     counts are zero, and base and model are uniform. An empty table gives an empty result.
+    ``perplexity`` is that of a token: 10 to the power of -score / n_tokens.
     """
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     null = -(1 << 63)  # stands for a null id
@@ -372,36 +431,28 @@ def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text"
     made = materialise(blocks(rows, "row", "text", "held"))
     size = made.agg(F.sum("bytes")).first()[0]
     if size is None:
-        return docs.sparkSession.createDataFrame([], kind)
+        return docs.sparkSession.createDataFrame([], kind + ", perplexity double")
     buckets = max(4, -(-size // BUCKET_BYTES))
-    fixed, states, state = train(made, buckets, sweeps, burn)
-    answers = answer(state.unionByName(requests(made, buckets)), fixed, states, burn)
+    fixed, states, state, known, spent = train(made, buckets, sweeps, burn)
+    answers = materialise(answer(state, fixed, states, burn))
+    discard(*spent)
     scale = float(np.log10(fixed["tokens"] + 0.5 * (fixed["types"] + 1)))
     d, samples = fixed["discounts"][1], len(states) - burn - 1
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def add_up(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in own.itertuples(index=False):
             found, counts, ids, flags = open_block(row)
-
-            def answered(kind: str, keys: np.ndarray, *kinds) -> list[np.ndarray]:
-                order, bound = dealt(keys, buckets)
-                values, n = [np.zeros(len(keys), dtype=k) for k in kinds], 0
-                for r in given[given["kind"] == kind].itertuples(index=False):
-                    at = order[bound[r.bucket] : bound[r.bucket + 1]]
-                    for v, x in zip(values, unpack(r.data, len(at), *kinds)):
-                        v[at] = x
-                    n += len(at)
-                if n != len(keys):
-                    raise ValueError("a bucket gave no answer")
-                return values
-
-            pair, which = np.unique(pair_of(found, before(found)), return_inverse=True)
-            (inside,) = answered("ask pairs", pair, np.float32)
-            p = inside.astype(np.float64)[which]
-            del pair, which, inside
+            pair, _, _, which = pairs_in(found, np.zeros(len(found), dtype=bool))
+            (code,) = replies(given, "reply", len(pair), np.uint8)
+            code &= 3
+            inside = np.where(code == ONCE, 1 - d, 0.0)
+            inside[code == OFTEN] = replies(given, "ask pairs", int((code == OFTEN).sum()), np.float32)[0]
+            p = inside[which]
+            del pair, which, inside, code
             word, at = np.unique(found, return_inverse=True)
-            count, *values = answered("ask words", word, np.uint32, *[np.float32] * (2 * samples))
+            count, *values = replies(given, "ask words", len(word), np.uint64, *[np.float32] * (2 * samples))
             context = before(at)
             for k in range(samples):
                 p += values[2 * k].astype(np.float64)[at] * (THETA + d * values[2 * k + 1].astype(np.float64))[context] / samples
@@ -412,10 +463,12 @@ def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text"
                 "doc_id": ids, "held_out": flags, "n_tokens": counts, "n_known": np.add.reduceat((count > 0)[at].astype(np.int64), first),
                 "train_tokens": fixed["tokens"], "base_score": base, "score": np.add.reduceat(np.log10(p), first),
             }))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        trim()
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    found = made.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, kind)
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != null, F.col("doc_id")))
+    mine = known.filter("kind = 'reply'").select(F.col("source").alias("block"), "kind", "bucket", "n", "data")
+    found = made.groupBy("block").cogroup(answers.unionByName(mine).groupBy("block")).applyInPandas(add_up, kind)
+    return found.withColumns({"doc_id": F.when(F.col("doc_id") != null, F.col("doc_id")), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
 
 
 def op4_pitman_yor(spark, sf_dir):

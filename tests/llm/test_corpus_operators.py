@@ -202,6 +202,45 @@ def test_scores_of_single_pairs_are_exact(spark):
     assert got[2] == pytest.approx(math.log10(unmet * p) + math.log10(unmet * new) + math.log10(p), rel=1e-5)  # after "z" the parent's
 
 
+def test_probabilities_of_every_context_sum_to_one_and_make_the_score(spark):
+    texts = ["a b a b c", "a b c a", "b a b", "c c a b d", "a b", "d a b a"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(50, "a b c d a", True), (51, "b q a", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    made = pitman_yor.materialise(pitman_yor.blocks(df.withColumnRenamed("doc_id", "row"), "row", "text", "held"))
+    fixed, states, state, *_ = pitman_yor.train(made, 4)
+    kept = {(r.kind, r.bucket): r for r in state.collect()}
+    last, d = states[pitman_yor.BURN + 1 :], fixed["discounts"][1]
+    words = [*"abcdq", None]
+    code = {w: tokens.word_hashes([w.encode()])[0][0] if w else pitman_yor.END for w in words}
+    count, parent, inner, own = {}, {}, {}, {}
+    for (kind, b), r in kept.items():
+        if kind == "base":
+            w, c, *_ = tokens.unpack(r.data, r.n, *[np.uint64] * 4)
+            got = tokens.unpack(kept["words", b].data, r.n, *[np.uint64] * (1 + 3 * len(last)))[1:]
+            for i, h in enumerate(np.cumsum(w)):
+                count[h] = int(c[i])
+                for k, s in enumerate(last):
+                    parent[h, k] = pitman_yor.predict(got[3 * k + 1][i : i + 1].astype(float), got[3 * k + 2][i : i + 1].astype(float), s, fixed)[0]
+                    inner[h, k] = int(got[3 * k][i])
+        if kind == "pairs":
+            h = np.cumsum(tokens.unpack(r.data, r.n, np.uint64, np.uint64)[0])
+            own |= dict(zip(h, tokens.unpack(kept["seats", b].data, r.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)[4] / len(last)))
+    pairs = Counter((u, w) for t in texts for u, w in zip([None, *t.split()], [*t.split(), None]))
+    fresh = [pitman_yor.predict(np.zeros(1), np.zeros(1), s, fixed)[0] for s in last]
+
+    def p(w, u):
+        mine = own[pitman_yor.pair_of(np.array([code[w]]), np.array([code[u]]))[0]] if pairs[u, w] > 1 else (1 - d) * pairs[u, w]
+        c, n = code[u], len(last)
+        return (mine + sum((1 + d * inner.get((c, k), 0)) * parent.get((code[w], k), fresh[k]) for k in range(n)) / n) / (1 + count.get(c, 0))
+
+    for u in words:  # "q" was never seen: it stands for what is new
+        assert sum(p(w, u) for w in words) == pytest.approx(1)
+    for r in pitman_yor.score(df, "held").collect():
+        t = dict((i, t) for i, t, _ in rows)[r.doc_id].split()
+        assert r.score == pytest.approx(sum(math.log10(p(w, u)) for u, w in zip([None, *t], [*t, None])), rel=1e-5)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+
+
 def test_parent_probabilities_sum_to_one():
     customers, tables = np.array([5.0, 2.0, 1.0]), np.array([2.0, 1.0, 1.0])
     state, fixed = {"parent_tables": 4.0, "parent_customers": 8.0}, {"types": 3, "discounts": [0.5, 0.5]}
@@ -315,6 +354,27 @@ def test_a_damaged_chunk_is_noticed(spark):
 # ------------------------------------------------------------------- sharding
 
 
+@pytest.mark.parametrize("most,many", [(10**9, 1000), (5000, 60), (2000, 20)])
+def test_members_of_signatures_meet_in_bounded_memory(most, many):
+    rng = np.random.default_rng(1)
+    sets = [np.append(np.unique(rng.integers(0, 3000, 200).astype(np.uint64)) * np.uint64(6148914691236517), np.uint64(5)) for _ in range(300)]
+    ids = rng.permutation(10_000)[:300].astype(np.int64)
+    dealt = pd.concat([jaccard.packages(sets[a : a + 50], ids[a : a + 50], 4) for a in range(0, 300, 50)]).sort_values("bucket", kind="stable")
+    holders = {}
+    for i, s in zip(ids.tolist(), sets):
+        for x in s.tolist():
+            holders.setdefault(x, set()).add(i)
+    rows = pd.concat(jaccard.shared_rows([dealt], most, many)).drop_duplicates()
+    assert {frozenset(g) for _, g in rows.groupby("signature")["id"]} == {frozenset(v) for v in holders.values() if len(v) > 1}
+
+
+def test_different_texts_of_one_id_are_linked(spark):
+    a, b, c = sentence(31, 60), sentence(32, 60), sentence(33, 60)
+    df = spark.createDataFrame([(1, c), (5, a), (5, b), (3, b), (9, a + " more")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.join(df, 3, 90).collect())
+    assert got == [(1, 1), (3, 3), (5, 3), (5, 3), (9, 3)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 100))
 def test_feistel_is_a_permutation(n, seed):
