@@ -139,7 +139,7 @@ def met(made: DataFrame, buckets: int) -> DataFrame:
     """What buckets know of pairs; rows as in ROW.
 
     reply: for each block, in the order of its pairs, how often training has them, and whether the block speaks
-    for them. pairs: those seen more than once, with their counts; a and b are the numbers of those seen once and twice.
+    for them. asked: where those of a block that are seen more than once stand in the bucket's list. pairs: those seen more than once, with their counts; a and b are the numbers of those seen once and twice.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,11 +166,14 @@ def met(made: DataFrame, buckets: int) -> DataFrame:
         speaker = np.full(len(first), len(pair))
         np.minimum.at(speaker, which[learned], learned)
         code[speaker[total > 0]] += SPEAKS
+        often = total >= OFTEN
+        place = (np.cumsum(often) - 1).astype(np.uint32)
         out, a = [], 0
         for r in asks:
-            out.append((b, "reply", r.source, r.n, pack(code[a : a + r.n])))
+            own = code[a : a + r.n]
+            at = place[which[a : a + r.n][own & 3 == OFTEN]]
+            out += [(b, "reply", r.source, r.n, pack(own)), (b, "asked", r.source, len(at), pack(steps(at)))]
             a += r.n
-        often = total >= OFTEN
         out.append((b, "pairs", b, int(often.sum()), pack(steps(pair[order][first][often]), total[often]), float((total == 1).sum()), float((total == 2).sum())))
         del frame, pair, n, order, which
         trim()
@@ -189,11 +192,10 @@ def replies(given: pd.DataFrame, kind: str, n: int, *kinds) -> list[np.ndarray]:
 
 
 def told(made: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """What blocks tell and ask once they know their pairs; rows as in ROW.
+    """What blocks tell once they know their pairs; rows as in ROW.
 
-    sums: training count, different contexts and different successors of tokens, over the pairs for which the block
-    speaks. names: such pairs seen more often than once, with their contexts. ask pairs, ask words: all
-    pairs seen more than once and all tokens of the block.
+    sums: all tokens of the block with their training count, and the different contexts and successors in the pairs
+    for which the block speaks. names: such pairs seen more often than once, with their contexts.
     """
 
     def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
@@ -205,16 +207,12 @@ def told(made: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
             del which
             (code,) = replies(given, "reply", len(pair), np.uint8)
             often = code & 3 == OFTEN
-            out += to_buckets("ask pairs", row.block, buckets, pair[often])
             speaks = code >= SPEAKS
             context = before(found)[where]
             out += to_buckets("names", row.block, buckets, pair[often & speaks], context[often & speaks])
             word, at = np.unique(found, return_inverse=True)
-            out += to_buckets("ask words", row.block, buckets, word)
-            token = at[where[speaks]]
-            sums = [np.bincount(x, minlength=len(word)).astype(np.uint32) for x in (at[learned], token, before(at)[where[speaks]])]
-            used = sums[0] > 0
-            out += to_buckets("sums", row.block, buckets, word[used], *(x[used] for x in sums))
+            told_of = (at[learned], at[where[speaks]], before(at)[where[speaks]])
+            out += to_buckets("sums", row.block, buckets, word, *(np.bincount(x, minlength=len(word)).astype(np.uint32) for x in told_of))
         trim()
         return frame_of(out)
 
@@ -225,7 +223,7 @@ def told(made: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
 def seats_of(known: DataFrame, said: DataFrame, buckets: int) -> DataFrame:
     """The pairs seen more than once and the tokens in them; rows as in ROW.
 
-    seats: places of token and context in the list of such tokens, customers and tables. live: a part of that list.
+    seats: places of token and context in the list of such tokens, customers, tables, and the sum of tables over samples. live: a part of that list.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +238,7 @@ def seats_of(known: DataFrame, said: DataFrame, buckets: int) -> DataFrame:
             raise ValueError("a pair has no name")
         word, at = np.unique(np.concatenate([token_of(pair, context), context]), return_inverse=True)
         m, at = len(pair), at.astype(np.uint32)
-        out = [(b, "seats", b, m, pack(at[:m], at[m:], n, np.ones(m, dtype=np.uint64), np.zeros(m)))]
+        out = [(b, "seats", b, m, pack(at[:m], at[m:], n, np.ones(m, dtype=np.uint64), np.zeros(m, dtype=np.uint64)))]
         return frame_of(out + to_buckets("live", b, buckets, word))
 
     return known.filter("kind = 'pairs'").unionByName(said.filter("kind = 'names'")).groupBy("bucket").applyInPandas(run, ROW)
@@ -249,23 +247,26 @@ def seats_of(known: DataFrame, said: DataFrame, buckets: int) -> DataFrame:
 def words_of(said: DataFrame) -> DataFrame:
     """What buckets of tokens hold and first answer; rows as in ROW.
 
-    base: tokens, counts, different contexts and successors. words: tables in the parent and samples. order:
-    the tokens that another bucket lists. reply: sums of those tokens.
+    base: counts, different contexts and successors of tokens, zero where only texts held out have them. words: tables in
+    the parent and samples. order: the tokens that another bucket lists. reply: sums of those tokens. asked: where a block's
+    tokens stand in the bucket's list.
     """
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         b = int(frame["bucket"].iloc[0])
-        parts = [(np.cumsum(k), *v) for k, *v in (unpack(r.data, r.n, np.uint64, np.uint32, np.uint32, np.uint32) for r in of_kind(frame, "sums"))]
+        told_ = of_kind(frame, "sums")
+        parts = [(np.cumsum(k), *v) for k, *v in (unpack(r.data, r.n, np.uint64, np.uint32, np.uint32, np.uint32) for r in told_)]
         all_ = np.concatenate([p[0] for p in parts])
         order = np.argsort(all_, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], all_[order][1:] != all_[order][:-1]]))
         word = all_[order][first]
         count, contexts, successors = (np.add.reduceat(np.concatenate([p[k] for p in parts])[order].astype(np.uint64), first) for k in (1, 2, 3))
         out = [
-            (b, "base", b, len(word), pack(steps(word), count, contexts, successors), float((contexts == 1).sum()), float((contexts == 2).sum())),
-            (b, "words", b, len(word), pack(np.ones(len(word), dtype=np.uint64)), float(contexts.sum()), float(len(word))),
-            (b, "total", b, len(word), b"", float(count.sum()), 0.0),
+            (b, "base", b, len(word), pack(count, contexts, successors), float((contexts == 1).sum()), float((contexts == 2).sum())),
+            (b, "words", b, len(word), pack((contexts > 0).astype(np.uint64)), float(contexts.sum()), float((contexts > 0).sum())),
+            (b, "total", b, int((count > 0).sum()), b"", float(count.sum()), 0.0),
         ]
+        out += [(b, "asked", r.source, r.n, pack(steps(np.searchsorted(word, p[0]).astype(np.uint32)))) for r, p in zip(told_, parts)]
         for r in of_kind(frame, "live"):
             at = np.searchsorted(word, np.cumsum(unpack(r.data, r.n, np.uint64)[0])).astype(np.uint32)
             out += [(b, "order", r.source, r.n, pack(steps(at))), (int(r.source), "reply", b, r.n, pack(successors[at], count[at], np.ones(len(at), dtype=np.uint64)))]
@@ -280,7 +281,7 @@ def reseat(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> Data
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][1]
         (row,) = of_kind(frame, "seats")
-        token, context, n, tables, own = unpack(row.data, row.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)
+        token, context, n, tables, in_all = unpack(row.data, row.n, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64)
         sums_ = of_kind(frame, "reply")
         if not sums_:
             return frame_of([(b, "seats", b, row.n, row.data)])
@@ -288,10 +289,11 @@ def reseat(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int) -> Data
         share = predict(customers, parent, state, fixed) if k else (customers + 0.5) / (fixed["tokens"] + 0.5 * (fixed["types"] + 1))
         others = np.maximum(inner[context] - tables, 0)
         tables = seat(n.astype(np.int64), (THETA + d * others) * share[token], d, np.random.default_rng([SEED, b, k, 0]))
+        tables = tables.astype(np.uint64)
         if k >= burn:
-            own = own + np.maximum(n - d * tables, 0)
-        out = [(b, "seats", b, row.n, pack(token, context, n, tables.astype(np.uint64), own))]
-        more = [np.bincount(at, weights=tables - 1, minlength=len(share)).astype(np.uint64) for at in (token, context)]
+            in_all = in_all + tables
+        out = [(b, "seats", b, row.n, pack(token, context, n, tables, in_all))]
+        more = [np.bincount(at, weights=tables.astype(np.float64) - 1, minlength=len(share)).astype(np.uint64) for at in (token, context)]
         a = 0
         for r in sums_:
             out.append((int(r.source), "more", b, r.n, pack(*(x[a : a + r.n] for x in more))))
@@ -308,7 +310,7 @@ def reseat_parent(rows: DataFrame, fixed: dict, k: int, state: dict, burn: int)
         b, d = int(frame["bucket"].iloc[0]), fixed["discounts"][0]
         out = [tuple(r) for r in of_kind(frame, "seats")]
         for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
-            _, _, customers, inner = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64, np.uint64)
+            _, customers, inner = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64)
             parent, *samples = unpack(row.data, row.n, *[np.uint64] * (1 + 3 * max(0, k - burn)))
             customers, inner, parent = customers.astype(np.int64), inner.astype(np.int64), parent.astype(np.int64)
             orders = [(int(r.source), np.cumsum(unpack(r.data, r.n, np.uint32)[0], dtype=np.uint32)) for r in of_kind(frame, "order")]
@@ -355,14 +357,15 @@ def sums(rows: DataFrame, kind: str) -> tuple[float, float, int]:
 
 
 def train(made: DataFrame, buckets: int, sweeps: int = SWEEPS, burn: int = BURN) -> tuple[dict, list[dict], DataFrame, DataFrame, list[DataFrame]]:
-    """What holds throughout, the parent's sums before each sweep and after the last, the buckets' state with the blocks' questions, what is known of pairs, and the tables to discard."""
+    """What holds throughout, the parent's sums before each sweep and after the last, what ``answer`` needs, what is known of pairs, and the tables to discard."""
     known = materialise(met(made, buckets))
     said = materialise(told(made, known, buckets))
     seats = materialise(seats_of(known, said, buckets))
     first = materialise(words_of(said.unionByName(seats)))
-    once, twice, types = sums(first, "base")
-    pairs = sums(known, "pairs")
-    fixed = {"tokens": int(sums(first, "total")[0]), "types": types, "discounts": [float(np.clip(x / max(1, x + 2 * y), 0.1, 0.95)) for x, y in ((once, twice), pairs[:2])]}
+    once, twice, _ = sums(first, "base")
+    pairs, (tokens_, _, types) = sums(known, "pairs"), sums(first, "total")
+    fixed = {"tokens": int(tokens_), "types": types, "discounts": [float(np.clip(x / max(1, x + 2 * y), 0.1, 0.95)) for x, y in ((once, twice), pairs[:2])]}
+    discard(said)
     states, rows = [], first.filter("kind IN ('words', 'reply')").unionByName(seats.filter("kind = 'seats'"))
     keep = lambda f, *kinds: f.filter(F.col("kind").isin(*kinds))
     current = first
@@ -373,43 +376,30 @@ def train(made: DataFrame, buckets: int, sweeps: int = SWEEPS, burn: int = BURN)
         current = rows
         discard(before_) if k else discard(seats)
     states.append(dict(zip(("parent_customers", "parent_tables"), sums(current, "words"))))
-    state = keep(known, "pairs").unionByName(keep(first, "base")).unionByName(keep(rows, "words", "seats")).unionByName(keep(said, "ask pairs", "ask words"))
-    return fixed, states, state, known, [said, first, current, *([] if sweeps else [seats])]
+    state = keep(known, "asked").withColumn("kind", F.lit("asked pairs")).unionByName(keep(first, "asked", "base")).unionByName(keep(rows, "words", "seats"))
+    return fixed, states, state, known, [first, *([current] if sweeps else [seats])]
 
 
-def answer(rows: DataFrame, fixed: dict, states: list[dict], burn: int = BURN) -> DataFrame:
-    """(block, kind, bucket, n, data) for questions and the buckets' state.
+def answer(rows: DataFrame, samples: int) -> DataFrame:
+    """(block, kind, bucket, n, data): what blocks need of the buckets' state.
 
-    For pairs: mean over samples of customers less discounts. For tokens: training count, and of
-    each sample the probability in the parent and the tables in the restaurant of that context.
+    of pairs: customers, and the sum of tables over samples. of words: training count, and in each
+    sample the tables in the restaurant of that context, and customers and tables in the parent.
     """
-    last = states[burn + 1 :]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b, out = int(frame["bucket"].iloc[0]), []
-        pair, own = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32)
-        for row, seats in zip(of_kind(frame, "pairs"), of_kind(frame, "seats")):
-            pair = np.cumsum(unpack(row.data, row.n, np.uint64, np.uint64)[0])
-            own = (unpack(seats.data, seats.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)[4] / len(last)).astype(np.float32)
-        word, values = np.empty(0, dtype=np.uint64), []
+        for row in of_kind(frame, "seats"):
+            _, _, n, _, tables = unpack(row.data, row.n, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64)
+            for r in of_kind(frame, "asked pairs"):
+                at = np.cumsum(unpack(r.data, r.n, np.uint32)[0], dtype=np.uint32)
+                out.append((r.source, "of pairs", b, r.n, pack(n[at], tables[at])))
         for base, row in zip(of_kind(frame, "base"), of_kind(frame, "words")):
-            word, count, *_ = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64, np.uint64)
-            word, samples = np.cumsum(word), unpack(row.data, row.n, *[np.uint64] * (1 + 3 * len(last)))[1:]
-            values = [count]
-            for k, state in enumerate(last):
-                inner, customers, parent = samples[3 * k : 3 * k + 3]
-                values += [predict(customers.astype(np.float64), parent.astype(np.float64), state, fixed).astype(np.float32), inner.astype(np.float32)]
-        new = [np.uint64(0), *(np.float32(x) for state in last for x in (predict(np.zeros(1), np.zeros(1), state, fixed)[0], 0))]
-        for row in frame.itertuples(index=False):
-            if row.kind == "ask pairs":
-                at = np.searchsorted(pair, np.cumsum(unpack(row.data, row.n, np.uint64)[0]))
-                out.append((row.source, row.kind, b, row.n, pack(own[at])))
-            elif row.kind == "ask words":
-                keys = np.cumsum(unpack(row.data, row.n, np.uint64)[0])
-                at = np.minimum(np.searchsorted(word, keys), max(0, len(word) - 1))
-                seen = word[at] == keys if len(word) else None
-                found = [np.where(seen, v[at], x) for v, x in zip(values, new)] if len(word) else [np.full(len(keys), x) for x in new]
-                out.append((row.source, row.kind, b, row.n, pack(*found)))
+            count = unpack(base.data, base.n, np.uint64, np.uint64, np.uint64)[0]
+            values = [count, *unpack(row.data, row.n, *[np.uint64] * (1 + 3 * samples))[1:]]
+            for r in of_kind(frame, "asked"):
+                at = np.cumsum(unpack(r.data, r.n, np.uint32)[0], dtype=np.uint32)
+                out.append((r.source, "of words", b, r.n, pack(*(v[at] for v in values))))
         trim()
         return pd.DataFrame(out, columns=["block", "kind", "bucket", "n", "data"])
 
@@ -434,10 +424,11 @@ def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text"
         return docs.sparkSession.createDataFrame([], kind + ", perplexity double")
     buckets = max(4, -(-size // BUCKET_BYTES))
     fixed, states, state, known, spent = train(made, buckets, sweeps, burn)
-    answers = materialise(answer(state, fixed, states, burn))
+    last = states[burn + 1 :]
+    answers = materialise(answer(state, len(last)))
     discard(*spent)
     scale = float(np.log10(fixed["tokens"] + 0.5 * (fixed["types"] + 1)))
-    d, samples = fixed["discounts"][1], len(states) - burn - 1
+    d = fixed["discounts"][1]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def add_up(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
@@ -448,14 +439,16 @@ def score(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text"
             (code,) = replies(given, "reply", len(pair), np.uint8)
             code &= 3
             inside = np.where(code == ONCE, 1 - d, 0.0)
-            inside[code == OFTEN] = replies(given, "ask pairs", int((code == OFTEN).sum()), np.float32)[0]
+            n, tables = replies(given, "of pairs", int((code == OFTEN).sum()), np.uint64, np.uint64)
+            inside[code == OFTEN] = n - d * tables / len(last)
             p = inside[which]
-            del pair, which, inside, code
+            del pair, which, inside, code, n, tables
             word, at = np.unique(found, return_inverse=True)
-            count, *values = replies(given, "ask words", len(word), np.uint64, *[np.float32] * (2 * samples))
+            count, *values = replies(given, "of words", len(word), *[np.uint64] * (1 + 3 * len(last)))
             context = before(at)
-            for k in range(samples):
-                p += values[2 * k].astype(np.float64)[at] * (THETA + d * values[2 * k + 1].astype(np.float64))[context] / samples
+            for k, state_ in enumerate(last):
+                inner, customers, parent = (x.astype(np.float64) for x in values[3 * k : 3 * k + 3])
+                p += predict(customers, parent, state_, fixed)[at] * (THETA + d * inner)[context] / len(last)
             p /= (THETA + count.astype(np.float64))[context]
             first = np.cumsum(counts) - counts
             base = np.add.reduceat(np.log10(count + 0.5)[at], first) - counts * scale

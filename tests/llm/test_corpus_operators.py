@@ -207,24 +207,27 @@ def test_probabilities_of_every_context_sum_to_one_and_make_the_score(spark):
     rows = [(i, t, False) for i, t in enumerate(texts)] + [(50, "a b c d a", True), (51, "b q a", True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
     made = pitman_yor.materialise(pitman_yor.blocks(df.withColumnRenamed("doc_id", "row"), "row", "text", "held"))
-    fixed, states, state, *_ = pitman_yor.train(made, 4)
-    kept = {(r.kind, r.bucket): r for r in state.collect()}
+    fixed, states, state, known, _ = pitman_yor.train(made, 4)
+    kept = {(r.kind, r.bucket): r for r in state.filter("kind NOT LIKE 'asked%'").collect()}
     last, d = states[pitman_yor.BURN + 1 :], fixed["discounts"][1]
     words = [*"abcdq", None]
     code = {w: tokens.word_hashes([w.encode()])[0][0] if w else pitman_yor.END for w in words}
     count, parent, inner, own = {}, {}, {}, {}
+    lists = {b: np.sort(np.array([h for h in code.values() if int(h) >> 62 == b], dtype=np.uint64)) for b in range(4)}  # every token is in one block here
+    repeated = {r.bucket: np.cumsum(tokens.unpack(r.data, r.n, np.uint64, np.uint64)[0]) for r in known.filter("kind = 'pairs'").collect()}
     for (kind, b), r in kept.items():
         if kind == "base":
-            w, c, *_ = tokens.unpack(r.data, r.n, *[np.uint64] * 4)
+            c = tokens.unpack(r.data, r.n, *[np.uint64] * 3)[0]
             got = tokens.unpack(kept["words", b].data, r.n, *[np.uint64] * (1 + 3 * len(last)))[1:]
-            for i, h in enumerate(np.cumsum(w)):
+            assert r.n == len(lists[b])
+            for i, h in enumerate(lists[b]):
                 count[h] = int(c[i])
                 for k, s in enumerate(last):
                     parent[h, k] = pitman_yor.predict(got[3 * k + 1][i : i + 1].astype(float), got[3 * k + 2][i : i + 1].astype(float), s, fixed)[0]
                     inner[h, k] = int(got[3 * k][i])
-        if kind == "pairs":
-            h = np.cumsum(tokens.unpack(r.data, r.n, np.uint64, np.uint64)[0])
-            own |= dict(zip(h, tokens.unpack(kept["seats", b].data, r.n, np.uint32, np.uint32, np.uint64, np.uint64, np.float64)[4] / len(last)))
+        if kind == "seats":
+            n, _, tables = tokens.unpack(r.data, r.n, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64)[2:]
+            own |= dict(zip(repeated[b], n - d * tables / len(last)))
     pairs = Counter((u, w) for t in texts for u, w in zip([None, *t.split()], [*t.split(), None]))
     fresh = [pitman_yor.predict(np.zeros(1), np.zeros(1), s, fixed)[0] for s in last]
 
