@@ -2,12 +2,14 @@
 
 Token counts of pieces form a histogram of at most 4096 lengths, whatever the
 number of pieces; all planning works on it. Lengths are grouped upwards into
-classes of 8 tokens. The covering program over configurations (multisets of
+classes of 32 tokens. The covering program over configurations (multisets of
 classes that fit one sequence) is solved by multiplicative weights: classes
 hold weights, a knapsack dynamic program prices the best configuration, and
-its classes' weights shrink. The solution is rounded down to whole sequences;
-what is left over, and all short pieces, go best-fit, longest first, into the
-gaps of these sequences and into new ones. The plan is a list of
+its classes' weights shrink; the solution is scaled so that every class is
+covered. It is rounded to whole sequences, whose last slot takes the
+longest piece that fits, and the program is solved anew for what is left, until a
+seventh of the tokens or so remains. This residue goes best-fit, longest first,
+into the gaps of these sequences and into new ones. The plan is a list of
 (exact lengths, number of sequences) and pieces find their places by rank.
 """
 
@@ -27,8 +29,9 @@ from .common import materialise, table, worker_state
 
 CAPACITY = 4096
 END_ID = 1
-#: Tokens of a class; pieces of up to SHORT tokens only fill gaps; pricing rounds; step of the weights.
-CLASS, SHORT, ROUNDS, STEP = 8, 160, 800, 0.12
+#: Tokens of a class; pricing rounds of a solution at most; accuracy aimed at; tokens that a programmed sequence may leave free;
+#: share of the tokens that goes best-fit in the end.
+CLASS, ROUNDS, ACCURACY, GAP, RESIDUE = 32, 1500, 0.4, 2, 0.15
 #: Pieces of one length are ranked in so many parts, so that a hot length is not one task.
 PARTS = 64
 #: Entries of a worker's cache of encoded words, and the longest word kept there.
@@ -62,7 +65,7 @@ def encoder(path: str | None = None):
     def look_up(word: str) -> bytes:
         if len(word) > CACHE_LENGTH:
             return encode_word(word)
-        if word[-1] in ".," and len(word) > 1 and word[-2].isalnum():  # punctuation is a token of its own after a letter or digit
+        if word[-1] in ".," and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():  # punctuation is a token of its own after a letter or digit
             return (words.get(word[:-1]) or keep(word[:-1])) + (words.get(word[-1]) or keep(word[-1]))
         return keep(word)
 
@@ -120,78 +123,106 @@ def price(value: np.ndarray) -> np.ndarray:
     return count
 
 
-def solve(demand: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
-    """Configurations of classes and how many sequences get each, by multiplicative weights; ``demand`` by class."""
+def solve(demand: np.ndarray, rounds: int = ROUNDS, accuracy: float = ACCURACY) -> list[tuple[np.ndarray, float]]:
+    """Configurations of classes and how many sequences get each, by multiplicative weights; ``demand`` by class.
+
+    Rounds end once each class is covered so often that its weight says nothing more; the mean then covers all.
+    """
     present = demand > 0
     if not present.any():
         return []
     weight = np.where(present, 1.0, 0.0)
     used: dict[bytes, float] = defaultdict(float)
     covered = np.zeros(len(demand))
+    enough = np.log(1 + present.sum()) / accuracy**2
     for _ in range(rounds):
-        value = np.where(present, weight / np.maximum(demand, 1), 0.0)
-        chosen = price(value)
-        chosen = np.minimum(chosen, np.where(present, demand, 0).astype(np.int64))
+        chosen = np.minimum(price(np.where(present, weight / np.maximum(demand, 1), 0.0)), demand)
         gain = chosen / np.maximum(demand, 1)
-        if not gain.any():
-            break
-        t = 1.0 / gain.max()  # the largest step that covers no class more than once over
-        used[chosen.tobytes()] += t * step
-        covered += gain * t * step
-        weight *= np.exp(-step * gain * t)
-        weight /= weight.max()
-        if (covered[present] >= 1).all():
+        t = 1.0 / gain.max()  # the longest step that covers no class more than once
+        used[chosen.tobytes()] += t
+        covered += gain * t
+        weight = np.where(present, np.exp(accuracy * (covered[present].min() - covered)), 0.0)
+        if covered[present].min() >= enough:
             break
-    scale = max(1.0, float(np.max(covered)))
-    return [(np.frombuffer(k, dtype=np.int64), x / scale) for k, x in used.items()]
+    for c in np.flatnonzero(present & (covered == 0)):  # after few rounds: a class in no configuration gets one of its own
+        own = np.zeros(len(demand), dtype=np.int64)
+        own[c] = min(demand[c], (len(demand) - 1) // c)
+        used[own.tobytes()] += float(demand[c] / own[c])
+        covered[c] = 1.0
+    least = float(covered[present].min())
+    return [(np.frombuffer(k, dtype=np.int64), x / least) for k, x in used.items()]
+
+
+class _Stock:
+    """Pieces that are left, by exact length and by class."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in histogram.items():
+            self.left[length] = n
+        self.class_of = -(-np.arange(capacity + 1) // CLASS)
+        self.lengths = sorted(int(x) for x in np.flatnonzero(self.left))
+        self.capacity = capacity
+
+    def demand(self) -> np.ndarray:
+        return np.bincount(self.class_of, weights=self.left, minlength=-(-self.capacity // CLASS) + 1).astype(np.int64)
+
+    def longest(self, most: int, taken: dict[int, int]) -> int:
+        """The longest length up to ``most`` of which more than ``taken`` are left, or 0."""
+        at = bisect.bisect_right(self.lengths, most) - 1
+        while at >= 0 and self.left[self.lengths[at]] <= taken.get(self.lengths[at], 0):
+            at -= 1
+        return self.lengths[at] if at >= 0 else 0
+
+    def take(self, config: np.ndarray, n: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Up to ``n`` sequences of this configuration, in runs of equal lengths; the last slot takes the longest piece that fits."""
+        slots = [int(c) for c in np.flatnonzero(config)[::-1] for _ in range(int(config[c]))]
+        while n > 0:
+            need: dict[int, int] = {}
+            room = self.capacity
+            for c in slots[:-1]:
+                length = self.longest(min(c * CLASS, room), need)
+                if length <= (c - 1) * CLASS:  # the class is used up
+                    return
+                need[length] = need.get(length, 0) + 1
+                room -= length
+            length = self.longest(room, need)
+            if length <= (slots[-1] - 1) * CLASS or room - length > GAP:
+                return
+            need[length] = need.get(length, 0) + 1
+            times = min(n, *(int(self.left[x]) // k for x, k in need.items()))
+            for x, k in need.items():
+                self.left[x] -= times * k
+                if not self.left[x]:
+                    del self.lengths[bisect.bisect_left(self.lengths, x)]
+            yield tuple(x for x, k in need.items() for _ in range(k)), times
+            n -= times
+
+
+def programmed(stock: _Stock, rounds: int = ROUNDS) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Sequences that the rounded program gives, and those of the program for what it leaves, until RESIDUE is left or nothing comes."""
+    in_all = least = int((stock.left * np.arange(len(stock.left))).sum())
+    while least > RESIDUE * in_all:
+        solution = sorted(solve(stock.demand(), rounds), key=lambda c: -c[1])
+        # What covers every class covers most of them too often: as many sequences as the tokens need.
+        share = min(1.0, least / (stock.capacity * sum(x for _, x in solution)))
+        before = least
+        for config, x in solution:  # a configuration of less than one sequence is taken once while half of the tokens wait
+            if least > RESIDUE * in_all and (x * share >= 1 or least > before / 2):
+                for lengths, n in stock.take(config, max(1, int(x * share))):
+                    least -= n * sum(lengths)
+                    yield lengths, n
+        if before == least:
+            return
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, number of sequences) for a histogram of lengths of 1 to ``capacity``."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    done: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        done.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-
-    units = capacity // CLASS
-    class_of = -(-np.arange(capacity + 1) // CLASS)
-    demand = np.zeros(units + 1, dtype=np.int64)
-    np.add.at(demand, class_of[SHORT + 1 :], left[SHORT + 1 :])
-    stock: list[list[int]] = [[] for _ in range(units + 1)]  # lengths of a class that are left, shortest first
-    for length in range(capacity, SHORT, -1):
-        if left[length]:
-            stock[class_of[length]].append(length)
-    for s in stock:
-        s.reverse()
-
+    stock = _Stock(histogram, capacity)
     bins: dict[int, list[list]] = defaultdict(list)  # gap -> [lengths, number of sequences]
-    for config, x in sorted(solve(demand, rounds), key=lambda c: -c[1]):
-        classes = [int(c) for c in np.flatnonzero(config)]
-        n = min([int(x), *(int(demand[c]) // int(config[c]) for c in classes)])
-        for c in classes:
-            demand[c] -= n * int(config[c])
-        slots = [c for c in classes for _ in range(int(config[c]))]
-        while n > 0:  # take runs of equal exact lengths
-            taken = []
-            for c in slots:
-                taken.append(stock[c][-1])
-                left[stock[c][-1]] -= 1
-                if not left[stock[c][-1]]:
-                    stock[c].pop()
-            need = defaultdict(int)
-            for length in taken:
-                need[length] += 1
-            more = min(n - 1, *(int(left[length]) // k for length, k in need.items()))
-            for length, k in need.items():
-                left[length] -= more * k
-                if not left[length] and stock[class_of[length]] and length in stock[class_of[length]]:
-                    stock[class_of[length]].remove(length)
-            bins[capacity - sum(taken)].append([tuple(taken), more + 1])
-            n -= more + 1
-
+    for lengths, n in programmed(stock, rounds):
+        bins[capacity - sum(lengths)].append([lengths, n])
+    left = stock.left
     gaps = sorted(bins)
     for length in range(capacity, 0, -1):
         n = int(left[length])
@@ -212,7 +243,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             if m > k:
                 _put(bins, gaps, gap, lengths, m - k)
             n -= k
-    return done + [(tuple(b[0]), b[1]) for gap in sorted(bins) for b in bins[gap]]
+    return [(tuple(b[0]), b[1]) for gap in sorted(bins) for b in bins[gap]]
 
 
 def _put(bins: dict, gaps: list[int], gap: int, lengths: tuple[int, ...], n: int) -> None:

@@ -309,6 +309,27 @@ def test_plans_cover_the_histogram(histogram):
     assert sum(n for _, n in groups) <= 1 + 11 / 9 * max(1, -(-sum(k * v for k, v in histogram.items()) // 4096)) + sum(v for k, v in histogram.items() if k > 1365)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_the_program_packs_most_and_packs_tight(seed):
+    rng = np.random.default_rng(seed)
+    lengths, n = np.unique(np.minimum(4096, rng.lognormal(6.3, 0.9, 4000).astype(int) + 1), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), n.tolist()))
+    total = int((lengths * n).sum())
+    made = list(packing.programmed(packing._Stock(histogram, 4096)))
+    assert sum(sum(x) * k for x, k in made) >= 0.8 * total
+    assert sum(k for _, k in packing.plan(histogram)) <= 1.005 * total / 4096 + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aTİıIς Σσß’‘“”.,!\n漢1é\u0307K", max_size=40))
+def test_encoder_agrees_with_the_tokenizer_on_odd_letters(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids + [packing.END_ID]
+    assert np.frombuffer(packing.encoder()(text), dtype="<u4").tolist() == whole
+
+
 def test_pricing_finds_the_best_filling():
     value = np.array([0, 1.0, 0, 5.0, 0, 8.5])
     count = packing.price(value)
