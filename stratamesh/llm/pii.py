@@ -6,12 +6,14 @@ from shape and context, chain potentials between neighbours, skip potentials
 between distant mentions that repeat or resemble each other. Base spans are
 observed; loopy belief propagation carries their labels to mentions that the
 patterns miss, such as a phone number given again without its prefix.
-The field is trained on a bounded sample of documents, labelled by the patterns,
-with the features that decide the patterns withheld from half of the nodes.
+All potentials are trained together, by pseudo-likelihood, on a bounded sample of
+documents that the patterns label; the features that decide the patterns are withheld from half
+of the nodes, and mentions that repeat or resemble a labelled one without a label of their own are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -39,7 +41,7 @@ DAMPING = 0.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a run of digits is looked at once: no start inside it can do better
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -93,9 +95,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                 open_.append(m.span())
             else:  # several numbers in a row
                 open_ += [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0]) if sum(c.isdigit() for c in p[0]) >= 7]
-    last = 0
+    starts, ends, last = [a for a, _ in taken], [0], 0
+    for _, b in taken:
+        ends.append(max(ends[-1], b))
     for a, b in sorted(open_):
-        if a >= last and not any(x < b and a < y for x, y in taken):
+        if a >= max(last, ends[bisect.bisect_left(starts, b)]):  # after all base spans that start before its end
             found.append((a, b, 0))
             last = b
     return sorted(found)
@@ -117,7 +121,7 @@ def node_features(text: str, start: int, end: int) -> np.ndarray:
     n = len(digits)
     before = text[max(0, start - 40) : start].lower().split()
     out = np.zeros(12 + BUCKETS, dtype=np.float32)
-    out[:12] = [1, "@" in m, m.startswith("+"), "." in m.partition("@")[2], m.count(".") == 3 and "@" not in m, n >= 13 and luhn(digits), n < 9, 9 <= n < 13, n >= 13, " " in m, "-" in m, "(" in m]
+    out[:12] = [1, "@" in m, m.startswith("+"), "." in m.partition("@")[2], m.count(".") == 3 and "@" not in m, 13 <= n <= 19 and luhn(digits), n < 9, 9 <= n < 13, n >= 13, " " in m, "-" in m, "(" in m]
     if before:
         out[12 + zlib.crc32(before[-1].strip(".,:;").encode("utf-8", "surrogatepass")) % BUCKETS] = 1
     return out
@@ -141,39 +145,51 @@ def links(texts_keys: list[list[str]]) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Steps of the training, their length and momentum, and the weight of the penalty on squares.
+STEPS, RATE, MOMENTUM, PENALTY = 400, 0.5, 0.9, 1e-4
+
+
 def train(docs: list[tuple[str, list[tuple[int, int, int]]]]) -> dict[str, np.ndarray]:
-    """Weights of nodes, neighbours and skips from texts with their mentions; an open mention counts as no personal data."""
+    """Log potentials of nodes, and of neighbours, repeated and similar mentions, from texts with their mentions.
+
+    They are fitted together: the likelihood of each node's label given those of the nodes it is linked with. An open
+    mention counts as no personal data, unless it repeats or resembles a labelled one: then it says nothing. Of the
+    repeated mentions every other one is shown as a similar one, since it is one too and there are few others.
+    """
     n_labels = len(KINDS) + 1
-    x, y = [], []
-    pair = np.ones((3, n_labels, n_labels))
+    x, y, beside, repeats = [], [], [], 0
     for text, nodes in docs:
-        x += [node_features(text, a, b) for a, b, _ in nodes]
-        y += [label for *_, label in nodes]
-        for i, j, sort in links([keys(text[a:b]) for a, b, _ in nodes]):
-            pair[sort, nodes[i][2], nodes[j][2]] += 1
-            pair[sort, nodes[j][2], nodes[i][2]] += 1
-    weights = np.zeros((12 + BUCKETS, n_labels), dtype=np.float64)
-    if x:
-        xs, ys = np.array(x, dtype=np.float64), np.eye(n_labels)[np.array(y)]
-        hidden = np.random.default_rng(9).random(len(xs)) < 0.5
-        xs[np.ix_(hidden, DECIDING)] = 0
-        for _ in range(300):
-            z = xs @ weights
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights += 1.0 * (xs.T @ (ys - p) / len(xs) - 1e-4 * weights)
-    else:
-        weights[0, 0] = 4.0
-    total = pair / pair.sum(axis=(1, 2), keepdims=True)
-    side = total.sum(axis=2)
-    pmi = np.log(total / (side[:, :, None] * side[:, None, :]))
-    pmi[0] = np.clip(pmi[0], -1, 1)
-    pmi[1:] = np.clip(pmi[1:], -2, 4)
-    # A skip link to an unobserved mention says nothing against personal data: sorts 1 and 2 reward agreement only.
-    for s in (1, 2):
-        pmi[s] = np.maximum(0, pmi[s]) * np.eye(n_labels)
-        pmi[s, 0, 0] = min(pmi[s, 0, 0], 0.5)
-    return {"node": weights, "pair": pmi}
+        own = links([keys(text[a:b]) for a, b, _ in nodes])
+        silent = {u for i, j, sort in own if sort for u, v in ((i, j), (j, i)) if not nodes[u][2] and nodes[v][2]}
+        around = np.zeros((len(nodes), 4, n_labels), dtype=np.float32)  # labels before, after, repeated, similar
+        for i, j, sort in own:
+            if sort == 1:
+                sort, repeats = 1 + repeats % 2, repeats + 1
+            for u, v, place in ((j, i, sort + bool(sort)), (i, j, sort + 1)):
+                if v not in silent:
+                    around[u, place, nodes[v][2]] += 1
+        for i, (a, b, label) in enumerate(nodes):
+            if i not in silent:
+                x.append(node_features(text, a, b))
+                y.append(label)
+                beside.append(around[i])
+    node, pair = np.zeros((12 + BUCKETS, n_labels)), np.zeros((3, n_labels, n_labels))
+    if not x:
+        node[0, 0] = 4.0
+        return {"node": node, "pair": pair}
+    xs, ys, near = np.array(x, dtype=np.float64), np.eye(n_labels)[np.array(y)], np.array(beside, dtype=np.float64)
+    hidden = np.random.default_rng(9).random(len(xs)) < 0.5
+    xs[np.ix_(hidden, DECIDING)] = 0
+    ahead = [np.zeros_like(node), np.zeros_like(pair)]
+    for _ in range(STEPS):
+        z = xs @ node + near[:, 0] @ pair[0] + near[:, 1] @ pair[0].T + near[:, 2] @ pair[1] + near[:, 3] @ pair[2]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        off = (ys - p / p.sum(axis=1, keepdims=True)) / len(xs)
+        same = [near[:, 2].T @ off, near[:, 3].T @ off]
+        slope = [xs.T @ off - PENALTY * node, np.stack([near[:, 0].T @ off + off.T @ near[:, 1], *(m + m.T for m in same)]) - PENALTY * pair]
+        ahead = [MOMENTUM * v + RATE * g for v, g in zip(ahead, slope)]
+        node, pair = node + ahead[0], pair + ahead[1]
+    return {"node": node, "pair": pair}
 
 
 def propagate(node: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
