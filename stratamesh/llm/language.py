@@ -4,8 +4,10 @@ Each language is a distribution over hashed letter trigrams. A document's
 words come from a mixture of languages: expectation-maximisation estimates its
 proportions from the words' trigram likelihoods. The language set is chosen by
 penalised likelihood (half the log of the word count for each language),
-dropping the smallest share and estimating again while that pays. The language
-with the largest share is the prediction, its share the score.
+dropping the smallest share and estimating again while that pays. The likelihood
+is concave in the proportions, so its slope bounds what more rounds could gain: estimation ends
+when that is next to nothing, and is not begun for documents where one language cannot be beaten.
+The language with the largest share is the prediction, its share the score.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ SIZE = 1 << 16
 #: The model is fitted on about so many labelled documents of each language at most, picked by a hash of the id.
 SAMPLE_DOCS = 5000
 SMOOTH = 0.5
-ROUNDS = 8
+#: Rounds before the first look, rounds at most, and the log likelihood that more of them could still gain.
+FIRST_ROUNDS, ROUNDS, CLOSE = 8, 500, 0.01
 PARCEL = 1_000_000
 #: ASCII letters are lower-cased, other ASCII is blank.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in FOLD)
@@ -92,16 +95,33 @@ def parcels(texts, size: int = PARCEL) -> Iterator[list[str]]:
         yield held
 
 
-def estimate(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihood of each document; ``like``: likelihoods of words, ``allowed``: languages of documents."""
+def estimate(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, share: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions and log likelihood of each document, and how much more rounds could add to it at most.
+
+    ``like``: likelihoods of words, ``allowed``: languages of documents, ``share``: where to begin.
+    """
     size = np.diff(np.append(first, len(like)))
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        q = like * np.repeat(share, size, axis=0)
-        q /= np.maximum(q.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(q, first) / size[:, None]
-    total = np.log(np.maximum((like * np.repeat(share, size, axis=0)).sum(axis=1), 1e-30))
-    return share, np.add.reduceat(total, first)
+    share = allowed / allowed.sum(axis=1, keepdims=True) if share is None else share
+    total, gap = np.zeros(len(size)), np.zeros(len(size))
+    open_, own = np.arange(len(size)), like  # documents that go on, and their words
+    for k in range(rounds + 1):
+        n = size[open_]
+        q = own * np.repeat(share[open_], n, axis=0)
+        sums = np.maximum(q.sum(axis=1, keepdims=True), 1e-30)
+        begin = np.cumsum(n) - n
+        total[open_] = np.add.reduceat(np.log(sums[:, 0]), begin)
+        slope = np.add.reduceat(own / sums, begin)  # of the log likelihood by each proportion
+        gap[open_] = np.maximum((slope * allowed[open_]).max(axis=1) - n, 0)
+        if k == rounds:
+            break
+        share[open_] = np.add.reduceat(q / sums, begin) / n[:, None]
+        if rounds > FIRST_ROUNDS and k % 8 == 7:
+            on = gap[open_] > CLOSE
+            if not on.all():
+                own, open_ = own[np.repeat(on, n)], open_[on]
+                if not len(open_):
+                    break
+    return share, total, gap
 
 
 def infer(texts: list[str], log_p: np.ndarray) -> np.ndarray:
@@ -116,22 +136,21 @@ def infer(texts: list[str], log_p: np.ndarray) -> np.ndarray:
     penalty = 0.5 * np.log(np.maximum(size, 2))
     chosen = np.eye(n_lang)[single.argmax(axis=1)]
     best = single.max(axis=1) - penalty
-    share, total = estimate(like, first, np.ones((len(texts), n_lang)))
-    open_ = np.flatnonzero(total - 2 * penalty > best)  # a set of two or more can only win there
-    allowed = np.ones((len(open_), n_lang))
-    share, total = share[open_], total[open_]
+    share, total, gap = estimate(like, first, np.ones((len(texts), n_lang)), rounds=FIRST_ROUNDS)
+    open_ = np.flatnonzero(total + gap - 2 * penalty > best)  # a set of two or more can only win there
+    allowed, share = np.ones((len(open_), n_lang)), share[open_]
+    words = np.concatenate([np.arange(first_word[d], first_word[d + 1]) for d in open_]) if len(open_) else first[:0]
     while len(open_):
+        share, total, _ = estimate(like[words], np.cumsum(size[open_]) - size[open_], allowed, share)
         value = total - penalty[open_] * allowed.sum(axis=1)
         win = value > best[open_]
         best[open_[win]], chosen[open_[win]] = value[win], share[win]
         keep = allowed.sum(axis=1) > 2
+        words = words[np.repeat(keep, size[open_])]
         open_, allowed, share = open_[keep], allowed[keep], share[keep]
-        if not len(open_):
-            break
-        allowed[np.arange(len(open_)), np.where(allowed > 0, share, np.inf).argmin(axis=1)] = 0
-        words = np.concatenate([np.arange(first_word[d], first_word[d + 1]) for d in open_])
-        starts = np.cumsum([0, *size[open_][:-1]])
-        share, total = estimate(like[words], starts, allowed)
+        if len(open_):
+            allowed[np.arange(len(open_)), np.where(allowed > 0, share, np.inf).argmin(axis=1)] = 0
+            share = allowed / allowed.sum(axis=1, keepdims=True)
     return chosen
 
 
