@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 BLOCK = 64
 RATE = 8000
@@ -72,8 +72,9 @@ def cuts(media: bytes, gear: np.ndarray) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, ordinal, number of parts, digest, size and compressed data of each chunk of each text; null counts as empty."""
+def chunks(docs: DataFrame, key: str, text: str = "text", data: bool = True) -> DataFrame:
+    """key, ordinal, number of parts, digest, size and, if ``data``, compressed data of each chunk of each text; null counts as empty."""
+    names = ["key", "ordinal", "parts", "digest", "size", "data"][: 5 + data]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -86,12 +87,12 @@ def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 ends = cuts(media, gear)
                 for ordinal, end in enumerate(ends):
                     part = media[start:end]
-                    out.append((k, ordinal, len(ends), hashlib.sha256(part).digest()[:16], len(part), press.compress(part)))
+                    out.append((k, ordinal, len(ends), hashlib.sha256(part).digest()[:16], len(part), *([press.compress(part)] if data else ())))
                     start = end
-            yield pd.DataFrame(out, columns=["key", "ordinal", "parts", "digest", "size", "data"])
+            yield pd.DataFrame(out, columns=names)
 
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("__text"))
-    return own.mapInPandas(run, "key binary, ordinal int, parts int, digest binary, size int, data binary")
+    return own.mapInPandas(run, "key binary, ordinal int, parts int, digest binary, size int" + ", data binary" * data)
 
 
 def features(payload: bytes) -> str:
@@ -142,14 +143,14 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     Null counts as the empty text, whose payload is 64 zero bytes. Repeated
     rows stay; columns of ``docs`` with the names of results are replaced.
     """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "key"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     whole = F.coalesce(F.col(text), F.lit(""))
     key = F.unhex(F.sha2(whole.cast("binary"), 256))
-    made = chunks(docs.select(key.alias("key"), text), "key", text)
-    store = made.groupBy("digest").agg(F.first("size").alias("size"), F.first("data").alias("data"))
-    lists = made.select("key", "ordinal", "parts", "digest").distinct()
-    rows = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "key": key}).drop(*names[1:-1], text)
-    return rows.join(read_back(lists, store), "key").drop("key")
+    own = docs.select(key.alias("key"), text)
+    store = chunks(own, "key", text).groupBy("digest").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    lists = materialise(chunks(own, "key", text, data=False).select("key", "ordinal", "parts", "digest").distinct())
+    rows = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "__key": key}).drop(*names[1:], text)
+    return rows.join(read_back(lists, store).withColumnRenamed("key", "__key"), "__key").drop("__key")
 
 
 def op3_media_chunks(spark, sf_dir):
