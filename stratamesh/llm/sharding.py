@@ -47,7 +47,7 @@ def feistel(x: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """``df`` with a column ``row`` of the numbers 0 to n-1, and n.
+    """``df`` with a column ``__row`` of the numbers 0 to n-1, and n.
 
     The numbers follow from the rows alone: by hash bucket of the first column
     in ``order``, then by all of ``order``. Rows equal in ``order`` share
@@ -60,14 +60,15 @@ def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     before = np.cumsum([0, *(counts.get(b, 0) for b in range(buckets - 1))])
     offsets = df.sparkSession.createDataFrame(pd.DataFrame({"__b": np.arange(buckets, dtype=np.int32), "__before": before.astype(np.int64)}), "__b int, __before long")
     ranked = df.withColumn("__b", bucket).withColumn("__rank", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
-    numbered = ranked.join(F.broadcast(offsets), "__b").withColumn("row", F.col("__before") + F.col("__rank") - 1)
+    numbered = ranked.join(F.broadcast(offsets), "__b").withColumn("__row", F.col("__before") + F.col("__rank") - 1)
     return numbered.drop("__b", "__rank", "__before"), n
 
 
 def shard(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: a reproducible shuffle into shards whose counts differ by one at most.
 
-    Nulls, repeated rows and ties get numbers like other rows; an empty table stays empty.
+    Nulls, repeated rows and ties get numbers like other rows; an empty table stays empty. Other
+    columns stay, but ``shard`` and ``slot`` of ``df`` are replaced; names that begin with two underscores are this operator's.
     """
     rows, n = number_rows(df, order)
 
@@ -75,9 +76,9 @@ def shard(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEE
     def place(row: pd.Series) -> pd.Series:
         return pd.Series(feistel(row.to_numpy(), n, seed))
 
-    placed = rows.withColumn("__place", place("row"))
+    placed = rows.withColumn("__place", place("__row"))
     at: Column = F.col("__place")
-    return placed.withColumns({"shard": (at % shards).cast("int"), "slot": F.expr(f"__place div {shards}")}).drop("row", "__place")
+    return placed.withColumns({"shard": (at % shards).cast("int"), "slot": F.expr(f"__place div {shards}")}).drop("__row", "__place")
 
 
 def op10_feistel_sharding(spark, sf_dir):
