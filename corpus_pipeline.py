@@ -6,7 +6,7 @@ before kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.llm import decontaminate, jaccard, language, packing, pii
@@ -17,10 +17,17 @@ LEAST_SHARE = 0.5
 SHINGLE, PERCENT = 5, 80
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns named like results of an operator under other names, and all columns under their own again."""
+    other = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or without a language that has half of the words."""
-    found = language.predict(docs, language.fit(docs))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    rows, own = set_aside(docs, "lang_pred", "score", "languages")
+    found = language.predict(rows, language.fit(docs))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth or more stands in benchmark items."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~decontaminate.contaminated(found)).select(*docs.columns)
+    rows, own = set_aside(docs, "n_words", "n_hit", "items", "hits", "spans", "n_items")
+    found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"))
+    return found.filter(~decontaminate.contaminated(found)).select(*own)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
