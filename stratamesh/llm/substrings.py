@@ -7,8 +7,9 @@ is a context; equal contexts stand for one another. Contexts go to shards by
 gram. A shard is a suffix array, built by Larsson-Sadakane refinement
 in numpy; Kasai's common prefixes split it into classes of equal
 strings, and each class keeps its first occurrence. A gram with too many
-contexts for one shard has several; their sorted runs of strings are cut
-into ranges by binary search and merged range by range, again by binary search.
+contexts for one shard has several; each deals its strings, in suffix order, to
+parts by a hash of the string, and the sorted runs of a part are merged across
+shards by binary search for the strings themselves.
 """
 
 from __future__ import annotations
@@ -18,21 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shared_dir, table, trim
 from .tokens import byte_values, mix
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of a shard, under 2**21; contexts of one gram from which it has several shards.
-SHARD_BYTES, SHARD_CONTEXTS = 600_000, 4096
+#: Bytes of a shard, under 2**21; different contexts of one gram from which it has several shards.
+SHARD_BYTES, SHARD_CONTEXTS = 600_000, 64
 PARCEL = 500_000
+#: Contexts met again that a task remembers, so that later copies need not travel; this decides speed only.
+REMEMBERED = 50_000
 _BASE = 0x9E3779B97F4A7C15
-#: Bits of hashes that travel: equal grams meet in any case, and contexts are told apart within a gram.
-_LOW48 = np.uint64((1 << 48) - 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -176,17 +176,34 @@ def _kept(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys with the least (id, start) each, from runs that are sorted by key; binary search finds each key's place."""
-    keys, ids, starts = runs[0]
-    for k, i, s in runs[1:]:
-        at = np.searchsorted(keys, k)
-        met = at < len(keys)
-        met[met] = keys[at[met]] == k[met]
-        old = at[met]
-        less = (i[met] < ids[old]) | ((i[met] == ids[old]) & (s[met] < starts[old]))
-        ids[old[less]], starts[old[less]] = i[met][less], s[met][less]
-        keys, ids, starts = (np.insert(a, at[~met], b[~met]) for a, b in ((keys, k), (ids, i), (starts, s)))
-    return keys, ids, starts
+    """Sorted strings with the least (id, start) each, from runs that are sorted by string; binary search finds each string's place.
+
+    Runs are merged two and two, so that each string is moved a few times only.
+    """
+    runs = list(runs)
+    while len(runs) > 1:
+        a, b = runs.pop(0), runs.pop(0)
+        runs.append(_merge(*a, *b))
+    return runs[0]
+
+
+def _merge(keys, ids, starts, k, i, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, k)
+    met = at < len(keys)
+    met[met] = keys[at[met]] == k[met]
+    old = at[met]
+    less = (i[met] < ids[old]) | ((i[met] == ids[old]) & (s[met] < starts[old]))
+    ids, starts = ids.copy(), starts.copy()
+    ids[old[less]], starts[old[less]] = i[met][less], s[met][less]
+    return tuple(np.insert(x, at[~met], y[~met]) for x, y in ((keys, k), (ids, i), (starts, s)))
+
+
+def dealt_strings(texts: list[bytes], place: np.ndarray, parts: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings at ``place`` of the concatenated texts, and the part of each by its hash."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)[place]
+    part = mix((byte_values()[windows] * _powers(_BASE, length)).sum(axis=1, dtype=np.uint64)) % np.uint64(parts)
+    return np.ascontiguousarray(windows).view(f"S{length}").ravel(), part.astype(np.int64)  # all have this length, so ends of zeros tell nothing
 
 
 def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -199,29 +216,31 @@ def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = contexts.withColumn("shard", shard.cast("int")).repartition(n, "gram", "shard").sortWithinPartitions("gram", "shard", "id", "start")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
         for rows in _shards(frames):
             several = int(rows["shards"].iloc[0])
             if several == 1:
-                yield _kept(rows.sort_values(["id", "start"]), length).assign(gram=0, part=-1, data=None)
+                yield _kept(rows.sort_values(["id", "start"]), length).assign(gram=0, part=-1, data=None, places=None)
                 continue
-            # A run of one gram's strings by key, cut into ranges by binary search.
+            # A run of one gram's strings in suffix order, for each part.
             texts = rows["context"].to_list()
-            i, start, _, _ = first_strings(texts, length)
-            key = np.array([int.from_bytes(hashlib.blake2b(texts[a][b : b + length], digest_size=8).digest(), "big") for a, b in zip(i.tolist(), start.tolist())], dtype=np.uint64)
-            order = np.argsort(key)
-            key, ids = key[order], rows["id"].to_numpy(dtype=np.int64)[i[order]]
-            starts = (rows["start"].to_numpy(dtype=np.int64)[i] + start)[order]
-            cut = np.searchsorted(key, np.array([(q << 64) // several for q in range(1, several)], dtype=np.uint64))
-            made = [(0, 0, 0, int(rows["gram"].iloc[0]), q, b"".join(x[a:b].tobytes() for x in (key, ids, starts))) for q, (a, b) in enumerate(zip([0, *cut], [*cut, len(key)]))]
-            yield pd.DataFrame(made, columns=["id", "first", "last", "gram", "part", "data"])
+            i, start, _, where = first_strings(texts, length)
+            strings, part = dealt_strings(texts, where, several, length)
+            ids, starts = rows["id"].to_numpy(dtype=np.int64)[i], rows["start"].to_numpy(dtype=np.int64)[i] + start
+            press = zstandard.ZstdCompressor(level=1)
+            made = [(0, 0, 0, int(rows["gram"].iloc[0]), int(q), press.compress(strings[own].tobytes()), ids[own].tobytes() + starts[own].tobytes()) for q in np.unique(part) for own in [part == q]]
+            yield pd.DataFrame(made, columns=["id", "first", "last", "gram", "part", "data", "places"])
 
-    found = materialise(dealt.mapInPandas(run, "id long, first long, last long, gram long, part int, data binary"))
+    found = materialise(dealt.mapInPandas(run, "id long, first long, last long, gram long, part int, data binary, places binary"))
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
         runs = []
-        for d in frame["data"]:
-            x = np.frombuffer(d, dtype=np.int64).reshape(3, -1)
-            runs.append((x[0].view(np.uint64), x[1].copy(), x[2].copy()))
+        for d, places in zip(frame["data"], frame["places"]):
+            x = np.frombuffer(places, dtype=np.int64).reshape(2, -1)
+            runs.append((np.frombuffer(zstandard.ZstdDecompressor().decompress(d), dtype=f"S{length}"), x[0], x[1]))
         _, ids, starts = merge_runs(runs)
         return pd.DataFrame({"id": ids, "first": starts, "last": starts})
 
@@ -282,6 +301,40 @@ def removed_ranges(stretches: list[tuple[int, int]], kept: list[tuple[int, int]]
     return [(int(gone[a]), int(gone[b]) + length) for a, b in zip([0, *(far + 1)], [*far, len(gone) - 1])]
 
 
+class _Known:
+    """Contexts that a task has met again, the most frequent ones, each with an occurrence that went on as it is."""
+
+    def __init__(self):
+        self.rows = np.empty((6, 0), dtype=np.int64)  # sort key, gram, context, id, start, times
+
+    def later(self, at: np.ndarray, *fields: np.ndarray) -> np.ndarray:
+        """Those of ``at`` whose context is known from an earlier text, or place in it."""
+        key, known = _key(fields[0][at], fields[1][at]), self.rows
+        place = np.minimum(np.searchsorted(known[0], key), max(0, known.shape[1] - 1))
+        if not known.shape[1]:
+            return at[:0]
+        g, c, i, a = (f[at] for f in fields)
+        found = known[:, place]
+        return at[(found[1] == g) & (found[2] == c) & ((i > found[3]) | ((i == found[3]) & (a > found[4])))]
+
+    def add(self, at: np.ndarray, times: np.ndarray, *fields: np.ndarray) -> None:
+        new = np.stack([_key(fields[0][at], fields[1][at]), *(f[at].astype(np.int64) for f in fields), times])
+        rows = np.concatenate([self.rows, new], axis=1)
+        rows = rows[:, np.lexsort(rows[[4, 3, 2, 1, 0]])]
+        same = (rows[:3, 1:] == rows[:3, :-1]).all(axis=0)
+        begin = np.flatnonzero(np.concatenate([[True], ~same])[: rows.shape[1]])
+        in_all = np.add.reduceat(rows[5], begin) if len(begin) else rows[5]
+        rows = rows[:, begin]  # of each context the earliest
+        rows[5] = in_all
+        if rows.shape[1] > REMEMBERED:
+            rows = rows[:, np.sort(np.argsort(-rows[5], kind="stable")[:REMEMBERED])]
+        self.rows = rows
+
+
+def _key(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(gram.view(np.uint64) ^ mix(context.view(np.uint64))).view(np.int64)
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of ``docs``.
 
@@ -309,33 +362,41 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             yield pd.DataFrame({"id": frame["id"], "key": [hashlib.sha256(r).digest() for r in raw], "z": [press.compress(r) for r in raw]})
 
     pressed = own.filter(size >= length).select("id", "text").mapInPandas(squeeze, "id long, key binary, z binary")
-    # One row for each text, dealt by id once; kept for three passes, and made again from its lineage if an executor is lost.
+    # One row for each text, dealt by id once and kept in the shared folder for three passes.
     # Joined by id alone (an equality of keys would become part of the join), so that later joins by id find the texts where they are.
     lead = first.select("id", F.col("key").alias("lead")).repartition(n, "id")
-    texts = pressed.repartition(n, "id").join(lead, "id").filter("array_contains(array(lead), key)").drop("lead").dropDuplicates(["id", "key"]).persist(StorageLevel.DISK_ONLY)
+    texts = pressed.repartition(n, "id").join(lead, "id").filter("array_contains(array(lead), key)").drop("lead").dropDuplicates(["id", "key"])
+    shared_dir(spark)
+    texts = texts.checkpoint()
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        press = zstandard.ZstdDecompressor()
+        press, known = zstandard.ZstdDecompressor(), _Known()
         for frame in frames:
             for some in _parcels(frame, press):
                 i, a, b, g, c = anchors(some["text"].to_list(), length, gram)
-                ids, g, c = some["id"].to_numpy(dtype=np.int64)[i], (g & _LOW48).view(np.int64), (c & _LOW48).view(np.int64)
-                # Of equal contexts seen here together all but the first are settled; they go on spread evenly, under negative grams.
+                ids, g, c = some["id"].to_numpy(dtype=np.int64)[i], (g >> np.uint64(1)).astype(np.int64), c.view(np.int64)
+                # Of equal contexts seen in this task all but the first are settled; they go on spread evenly, under negative grams.
                 order = np.lexsort((a, ids, c, g))
                 again = np.flatnonzero((g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1])) + 1
                 settled = order[again]
-                g[settled] = -1 - (mix(ids[settled].view(np.uint64) * np.uint64(31) + a[settled].astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
+                alone = np.ones(len(g), dtype=bool)
+                alone[settled] = False
+                settled = np.concatenate([settled, known.later(np.flatnonzero(alone), g, c, ids, a)])
+                first = np.setdiff1d(again - 1, again)
+                known.add(order[first], np.diff(np.append(np.searchsorted(again, first), len(again))), g, c, ids, a)
+                g[settled] = -1 - (mix(ids[settled].view(np.uint64) * np.uint64(31) + a[settled].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 c[settled] = 0
                 yield pd.DataFrame({"gram": g, "context": c, "id": ids, "start": a.astype(np.int32), "more": (b - a).astype(np.int32)})
+        trim()
 
     filed = texts.select("id", "z").mapInPandas(file, "gram long, context long, id long, start int, more int")
     by = Window.partitionBy("gram").orderBy("context", "id", "start")
     all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    repeated = filed.withColumns({"n": F.count("*").over(all_), "leads": (F.col("gram") >= 0) & F.coalesce(F.lag("context").over(by) != F.col("context"), F.lit(True))}).filter("n > 1 OR gram < 0")
-    shards = F.ceil(F.col("n") / SHARD_CONTEXTS).cast("int")
-    repeated = materialise(repeated.select("id", "start", "more", "leads", F.when(F.col("leads"), F.col("gram")).alias("gram"), F.when(F.col("leads"), shards).alias("shards")))
+    marked = filed.withColumns({"n": F.count("*").over(all_), "leads": (F.col("gram") >= 0) & F.coalesce(F.lag("context").over(by) != F.col("context"), F.lit(True))}).filter("n > 1 OR gram < 0")
+    shards = F.ceil(F.sum(F.col("leads").cast("int")).over(all_) / SHARD_CONTEXTS).cast("int")
+    repeated = materialise(marked.withColumn("shards", shards).select("id", "start", "more", "leads", F.when(F.col("leads"), F.col("gram")).alias("gram"), F.when(F.col("leads"), F.col("shards")).alias("shards")))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard

@@ -72,9 +72,9 @@ def test_suffix_array_and_prefixes(data):
 
 
 def test_merge_of_sorted_runs():
-    runs = [(np.array(k, dtype=np.uint64), np.array(i), np.array(s)) for k, i, s in (([1, 5], [3, 3], [0, 1]), ([1, 2], [2, 9], [7, 7]), ([5], [3], [0]))]
+    runs = [(np.array([x.encode("latin-1") for x in k], dtype="S3"), np.array(i), np.array(s)) for k, i, s in ((["abc", "b\0\0"], [3, 3], [0, 1]), (["abc", "az\xff"], [2, 9], [7, 7]), (["b\0\0"], [3], [0]))]
     keys, ids, starts = substrings.merge_runs(runs)
-    assert (keys.tolist(), ids.tolist(), starts.tolist()) == ([1, 2, 5], [2, 9, 3], [7, 7, 0])
+    assert (keys.tolist(), ids.tolist(), starts.tolist()) == ([b"abc", b"az\xff", b"b"], [2, 9, 3], [7, 7, 0])
 
 
 # -------------------------------------------------------------------- jaccard
