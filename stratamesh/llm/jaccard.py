@@ -46,6 +46,8 @@ TASK_BYTES, BLOCK_ROWS = 8_000_000, 20_000
 PAIR_BYTES = 8_000_000
 #: Clusters of up to so many texts and elements are linked in one task.
 CLUSTER_TEXTS, CLUSTER_ELEMENTS = 4000, 1_500_000
+#: Bits of the filter that spares texts outside clusters a shuffle: at most half a million words of 64.
+FILTER_BITS = 1 << 25
 #: Bytes of a cluster's bit table at a time.
 TABLE_BYTES = 48_000_000
 #: Rounds with pivots go on until so many pairs a text are open at most.
@@ -319,8 +321,8 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "key": [text_key(t) for t in frame["text"]], "z": [press.compress(t.encode("utf-8", "surrogatepass")) for t in frame["text"]]})
 
-    pressed = own.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(squeeze, "doc_id long, key binary, z binary")
-    texts = pressed.groupBy("key").agg(F.first("z").alias("z")).join(nodes.select("key", "id"), "key").select("id", "z")
+    press = lambda df: df.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(squeeze, "doc_id long, key binary, z binary")
+    texts = press(own).groupBy("key").agg(F.first("z").alias("z")).join(nodes.select("key", "id"), "key").select("id", "z")
 
     in_all = nodes.agg(F.sum("n")).first()[0] or 0
     rate = len(signatures(mix(np.arange(1000, dtype=np.uint64)), percent)) / 1000
@@ -378,7 +380,7 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
 
     sizes = stands.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("in_all")).withColumn("large", F.expr(f"texts > {CLUSTER_TEXTS} OR in_all > {CLUSTER_ELEMENTS}"))
     sizes = materialise(sizes.select("root", "large"))
-    placed = pressed.join(stands.drop("n"), ["doc_id", "key"]).dropDuplicates(["id"]).select("id", "root", "z").join(sizes, "root")
+    placed = press(_likely(own, stands)).join(stands.drop("n"), ["doc_id", "key"]).dropDuplicates(["id"]).select("id", "root", "z").join(sizes, "root")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         found = link_cluster(frame["id"].to_numpy(dtype=np.int64), [unpacked(e) for e in frame["elements"]], percent)
@@ -477,6 +479,15 @@ def shared_rows(frames: Iterator[pd.DataFrame], most: int = HELD_ROWS, many: int
         yield from close()
 
 
+def _likely(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose doc_id can be in ``wanted``: its hash is marked in a bit map of FILTER_BITS at most, which is broadcast."""
+    bits = min(FILTER_BITS, 1 << max(12, (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks"))
+    return own.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word").filter("marks & bit <> 0").select("doc_id", "text")
+
+
 def _deal(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """(task, signature, id): rows of ``shared`` in tasks of about TASK_BYTES.
 
