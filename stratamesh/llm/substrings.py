@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table, trim
+from .common import materialise, table, trim
 from .tokens import byte_values, mix
 
 LENGTH = 100
 GRAM = 24
 #: Bytes of a shard, under 2**21; different contexts of one gram from which it has several shards.
-SHARD_BYTES, SHARD_CONTEXTS = 600_000, 64
+SHARD_BYTES, SHARD_CONTEXTS = 600_000, 256
 PARCEL = 500_000
 #: Contexts met again that a task remembers, so that later copies need not travel; this decides speed only.
 REMEMBERED = 50_000
@@ -201,9 +201,10 @@ def _merge(keys, ids, starts, k, i, s) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def dealt_strings(texts: list[bytes], place: np.ndarray, parts: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings at ``place`` of the concatenated texts, and the part of each by its hash."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    weighted = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
+    part = mix((weighted[place + length] - weighted[place]) * _powers(_INVERSE, len(data))[place]) % np.uint64(parts)
     windows = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-    part = mix((byte_values()[windows] * _powers(_BASE, length)).sum(axis=1, dtype=np.uint64)) % np.uint64(parts)
-    return np.ascontiguousarray(windows).view(f"S{length}").ravel(), part.astype(np.int64)  # all have this length, so ends of zeros tell nothing
+    return windows.view(f"S{length}").ravel(), part.astype(np.int64)  # all have this length, so ends of zeros tell nothing
 
 
 def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -231,6 +232,7 @@ def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
             press = zstandard.ZstdCompressor(level=1)
             made = [(0, 0, 0, int(rows["gram"].iloc[0]), int(q), press.compress(strings[own].tobytes()), ids[own].tobytes() + starts[own].tobytes()) for q in np.unique(part) for own in [part == q]]
             yield pd.DataFrame(made, columns=["id", "first", "last", "gram", "part", "data", "places"])
+        trim()
 
     found = materialise(dealt.mapInPandas(run, "id long, first long, last long, gram long, part int, data binary, places binary"))
 
@@ -351,7 +353,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     size = F.octet_length("text").cast("long")
     rows = materialise(own.select("__id", "id", size.alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key")))
     first = rows.groupBy("key").agg(F.min("id").alias("id"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -362,12 +363,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             yield pd.DataFrame({"id": frame["id"], "key": [hashlib.sha256(r).digest() for r in raw], "z": [press.compress(r) for r in raw]})
 
     pressed = own.filter(size >= length).select("id", "text").mapInPandas(squeeze, "id long, key binary, z binary")
-    # One row for each text, dealt by id once and kept in the shared folder for three passes.
-    # Joined by id alone (an equality of keys would become part of the join), so that later joins by id find the texts where they are.
-    lead = first.select("id", F.col("key").alias("lead")).repartition(n, "id")
-    texts = pressed.repartition(n, "id").join(lead, "id").filter("array_contains(array(lead), key)").drop("lead").dropDuplicates(["id", "key"])
-    shared_dir(spark)
-    texts = texts.checkpoint()
+    texts = materialise(pressed.join(first, ["id", "key"]).dropDuplicates(["id", "key"]))  # one row for each text
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -410,6 +406,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                     t = press.decompress(z)
                     out += [(p["gram"], p["shards"], key, p["start"], t[p["start"] : p["start"] + p["more"] + length]) for p in parts]
                 yield pd.DataFrame(out, columns=["gram", "shards", "id", "start", "context"])
+        trim()
 
     leads = repeated.filter("leads").groupBy("id").agg(F.collect_list(F.struct("gram", "shards", "start", "more")).alias("parts"))
     contexts = texts.join(leads, "id").select("id", "z", "parts").mapInPandas(cut, "gram long, shards int, id long, start int, context binary")
