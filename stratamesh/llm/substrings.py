@@ -8,8 +8,8 @@ gram. A shard is a suffix array, built by Larsson-Sadakane refinement
 in numpy; Kasai's common prefixes split it into classes of equal
 strings, and each class keeps its first occurrence. A gram with too many
 contexts for one shard has several; each deals its strings, in suffix order, to
-parts by a hash of the string, and the sorted runs of a part are merged across
-shards by binary search for the strings themselves.
+parts by the place of the gram in them, which equal strings share, and the sorted runs
+of a part are merged across shards by binary search for the strings themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ GRAM = 24
 #: Bytes of a shard, under 2**21; different contexts of one gram from which it has several shards.
 SHARD_BYTES, SHARD_CONTEXTS = 600_000, 256
 PARCEL = 500_000
+#: Shards whose strings of some gram places make one part; strings of one place are dealt on by hash where there are more.
+PART_SHARDS = 16
 #: Contexts met again that a task remembers, so that later copies need not travel; this decides speed only.
 REMEMBERED = 50_000
 _BASE = 0x9E3779B97F4A7C15
@@ -43,13 +45,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text index, first start, last start, gram hash, context hash) of each run of strings that share a minimizer occurrence."""
+    """(text index, first start, last start, gram hash, context hash, place of the gram from the first start on) of each run of strings that share a minimizer occurrence."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.cumsum(size) - size
     if n < length:
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     value = byte_values()[data]
     weighted = np.concatenate([[np.uint64(0)], np.cumsum(value * _powers(_BASE, n), dtype=np.uint64)])
     inverse = _powers(_INVERSE, n + 1)
@@ -67,14 +69,14 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     np.add.at(inside, (begin + size - length + 1)[long], -1)
     start = np.flatnonzero(np.cumsum(inside)[: len(least)])
     if not len(start):
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
     first = start[new]
     last = start[np.concatenate([new[1:], [True]])]
     context = mix((weighted[last + length] - weighted[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     text = np.searchsorted(begin, first, side="right") - 1
-    return text, first - begin[text], last - begin[text], hashed[at[new]], context
+    return text, first - begin[text], last - begin[text], hashed[at[new]], context, at[new] - first
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,19 +200,24 @@ def _merge(keys, ids, starts, k, i, s) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.insert(x, at[~met], y[~met]) for x, y in ((keys, k), (ids, i), (starts, s)))
 
 
-def dealt_strings(texts: list[bytes], place: np.ndarray, parts: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The strings at ``place`` of the concatenated texts, and the part of each by its hash."""
+def dealt_strings(texts: list[bytes], where: np.ndarray, place: np.ndarray, shards: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings at ``where`` of the concatenated texts, and the part of each by the place of the gram in it."""
+    places = length - gram + 1
+    parts = min(places, -(-shards // PART_SHARDS))
+    more = -(-shards // (PART_SHARDS * places))
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    weighted = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
-    part = mix((weighted[place + length] - weighted[place]) * _powers(_INVERSE, len(data))[place]) % np.uint64(parts)
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-    return windows.view(f"S{length}").ravel(), part.astype(np.int64)  # all have this length, so ends of zeros tell nothing
+    part = place * parts // places * more
+    if more > 1:
+        weighted = np.concatenate([[np.uint64(0)], np.cumsum(byte_values()[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
+        part = part + (mix((weighted[where + length] - weighted[where]) * _powers(_INVERSE, len(data))[where]) % np.uint64(more)).astype(np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)[where]
+    return windows.view(f"S{length}").ravel(), part  # all have this length, so ends of zeros tell nothing
 
 
-def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+def first_occurrences(contexts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, first, last): ranges of starts whose strings occur there first.
 
-    ``contexts`` has gram, shards (of the gram), id, start and context.
+    ``contexts`` has gram, shards (of the gram), id, start, context and place (of the gram in it).
     """
     shard = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("id", "start"), F.col("shards"))).otherwise(0)
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -227,7 +234,7 @@ def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
             # A run of one gram's strings in suffix order, for each part.
             texts = rows["context"].to_list()
             i, start, _, where = first_strings(texts, length)
-            strings, part = dealt_strings(texts, where, several, length)
+            strings, part = dealt_strings(texts, where, rows["place"].to_numpy(dtype=np.int64)[i] - start, several, length, gram)
             ids, starts = rows["id"].to_numpy(dtype=np.int64)[i], rows["start"].to_numpy(dtype=np.int64)[i] + start
             press = zstandard.ZstdCompressor(level=1)
             made = [(0, 0, 0, int(rows["gram"].iloc[0]), int(q), press.compress(strings[own].tobytes()), ids[own].tobytes() + starts[own].tobytes()) for q in np.unique(part) for own in [part == q]]
@@ -244,7 +251,10 @@ def first_occurrences(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
             x = np.frombuffer(places, dtype=np.int64).reshape(2, -1)
             runs.append((np.frombuffer(zstandard.ZstdDecompressor().decompress(d), dtype=f"S{length}"), x[0], x[1]))
         _, ids, starts = merge_runs(runs)
-        return pd.DataFrame({"id": ids, "first": starts, "last": starts})
+        order = np.lexsort((starts, ids))
+        ids, starts = ids[order], starts[order]
+        new = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(ids) != 0)])
+        return pd.DataFrame({"id": ids[new], "first": starts[new], "last": starts[np.concatenate([new[1:], [True]])]})
 
     whole = found.filter("part < 0").select("id", "first", "last")
     merged = found.filter("part >= 0").groupBy("gram", "part").applyInPandas(merge, "id long, first long, last long")
@@ -371,7 +381,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
         press, known = zstandard.ZstdDecompressor(), _Known()
         for frame in frames:
             for some in _parcels(frame, press):
-                i, a, b, g, c = anchors(some["text"].to_list(), length, gram)
+                i, a, b, g, c, place = anchors(some["text"].to_list(), length, gram)
                 ids, g, c = some["id"].to_numpy(dtype=np.int64)[i], (g >> np.uint64(1)).astype(np.int64), c.view(np.int64)
                 # Of equal contexts seen in this task all but the first are settled; they go on spread evenly, under negative grams.
                 order = np.lexsort((a, ids, c, g))
@@ -384,15 +394,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                 known.add(order[first], np.diff(np.append(np.searchsorted(again, first), len(again))), g, c, ids, a)
                 g[settled] = -1 - (mix(ids[settled].view(np.uint64) * np.uint64(31) + a[settled].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 c[settled] = 0
-                yield pd.DataFrame({"gram": g, "context": c, "id": ids, "start": a.astype(np.int32), "more": (b - a).astype(np.int32)})
+                yield pd.DataFrame({"gram": g, "context": c, "id": ids, "start": a.astype(np.int32), "more": (b - a).astype(np.int32), "place": place.astype(np.int32)})
         trim()
 
-    filed = texts.select("id", "z").mapInPandas(file, "gram long, context long, id long, start int, more int")
+    filed = texts.select("id", "z").mapInPandas(file, "gram long, context long, id long, start int, more int, place int")
     by = Window.partitionBy("gram").orderBy("context", "id", "start")
     all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = filed.withColumns({"n": F.count("*").over(all_), "leads": (F.col("gram") >= 0) & F.coalesce(F.lag("context").over(by) != F.col("context"), F.lit(True))}).filter("n > 1 OR gram < 0")
     shards = F.ceil(F.sum(F.col("leads").cast("int")).over(all_) / SHARD_CONTEXTS).cast("int")
-    repeated = materialise(marked.withColumn("shards", shards).select("id", "start", "more", "leads", F.when(F.col("leads"), F.col("gram")).alias("gram"), F.when(F.col("leads"), F.col("shards")).alias("shards")))
+    repeated = materialise(marked.withColumn("shards", shards).select("id", "start", "more", "place", "leads", F.when(F.col("leads"), F.col("gram")).alias("gram"), F.when(F.col("leads"), F.col("shards")).alias("shards")))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -404,13 +414,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                 some = frame.iloc[at : at + 500]
                 for key, z, parts in zip(some["id"], some["z"], some["parts"]):
                     t = press.decompress(z)
-                    out += [(p["gram"], p["shards"], key, p["start"], t[p["start"] : p["start"] + p["more"] + length]) for p in parts]
-                yield pd.DataFrame(out, columns=["gram", "shards", "id", "start", "context"])
+                    out += [(p["gram"], p["shards"], key, p["start"], t[p["start"] : p["start"] + p["more"] + length], p["place"]) for p in parts]
+                yield pd.DataFrame(out, columns=["gram", "shards", "id", "start", "context", "place"])
         trim()
 
-    leads = repeated.filter("leads").groupBy("id").agg(F.collect_list(F.struct("gram", "shards", "start", "more")).alias("parts"))
-    contexts = texts.join(leads, "id").select("id", "z", "parts").mapInPandas(cut, "gram long, shards int, id long, start int, context binary")
-    kept = materialise(first_occurrences(contexts, length))
+    leads = repeated.filter("leads").groupBy("id").agg(F.collect_list(F.struct("gram", "shards", "start", "more", "place")).alias("parts"))
+    contexts = texts.join(leads, "id").select("id", "z", "parts").mapInPandas(cut, "gram long, shards int, id long, start int, context binary, place int")
+    kept = materialise(first_occurrences(contexts, length, gram))
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard

@@ -38,9 +38,10 @@ def brute_removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("split", [8192, 2])
-def test_repeated_substrings_match_brute_force(spark, monkeypatch, split):
+@pytest.mark.parametrize("split, shards", [(8192, 16), (2, 16), (1, 1)])
+def test_repeated_substrings_match_brute_force(spark, monkeypatch, split, shards):
     monkeypatch.setattr(substrings, "SHARD_CONTEXTS", split)
+    monkeypatch.setattr(substrings, "PART_SHARDS", shards)
     line = sentence(9, 40)
     extra = [(20 + k, sentence(50 + k, 10) + line + sentence(70 + k, 10), "en", "s", 0) for k in range(8)] + [(40, "ab" * 300, "en", "s", 0), (41, "z" + "ab" * 100, "en", "s", 0)]
     df = documents(spark).unionByName(spark.createDataFrame(extra, documents(spark).schema))
