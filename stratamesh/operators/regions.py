@@ -174,8 +174,8 @@ def grow(points: np.ndarray, normals: np.ndarray, corners: np.ndarray, options:
     """Region of each triangle of a chunk: greedy growth from seeds by (curvature, position), then small regions absorbed.
 
     A neighbour joins if it agrees with the seed in angle and distance and is flat enough itself. Regions below the least size go,
-    in their order, to the neighbour region they share most adjacent pairs with, the lowest of equals;
-    those without neighbours stay. Ids are dense, in the order of seeds.
+    in their order, to the neighbour region they share most adjacent pairs with, of equals the one met first along
+    the region's triangles as they joined; those without neighbours stay. Ids are dense, in the order of seeds.
     """
     n = len(points)
     bound, near = neighbours_of(points, corners, options.max_distance)
@@ -184,12 +184,12 @@ def grow(points: np.ndarray, normals: np.ndarray, corners: np.ndarray, options:
     degree = np.diff(bound)
     curved = (np.bincount(source, weights=angle, minlength=n) / np.maximum(degree, 1)).astype(np.float32)
     region = np.full(n, -1)
-    count = 0
+    count, joined = 0, []  # triangles of each region in the order in which they joined
     for seed in np.lexsort((np.arange(n), curved)).tolist():
         if region[seed] >= 0:
             continue
         region[seed] = count
-        queue = deque([seed])
+        queue, own = deque([seed]), [seed]
         while queue:
             t = queue.popleft()
             out = near[bound[t] : bound[t + 1]]
@@ -201,16 +201,19 @@ def grow(points: np.ndarray, normals: np.ndarray, corners: np.ndarray, options:
             out = out[(turn <= options.max_angle) & (apart <= options.max_distance) & (curved[out] <= options.max_curvature)]
             region[out] = count
             queue.extend(out.tolist())
+            own.extend(out.tolist())
+        joined.append(own)
         count += 1
     small = np.flatnonzero(np.bincount(region, minlength=count) < options.min_region_size)
     if len(small):
-        members = {r: np.flatnonzero(region == r).tolist() for r in range(count)}
+        members = dict(enumerate(joined))
         for r in small.tolist():
             out = np.concatenate([near[bound[t] : bound[t + 1]] for t in members[r]] or [np.empty(0, dtype=np.int64)])
             other = region[out]
             other = other[other != r]
             if len(other):
-                target = int(np.bincount(other).argmax())
+                ids, first, times = np.unique(other, return_index=True, return_counts=True)
+                target = int(ids[np.lexsort((first, -times))[0]])
                 region[members[r]] = target
                 members[target] += members.pop(r)
                 members[r] = []

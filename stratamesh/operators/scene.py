@@ -14,20 +14,33 @@ GROUP = -1
 
 
 def _recursive(nodes: DataFrame, body: str) -> DataFrame:
-    view = f"scene_{uuid.uuid4().hex}"
+    """The recursive query ``body`` over ``nodes``, of any depth and size: the session's limits of such queries are lifted."""
+    view, spark = f"scene_{uuid.uuid4().hex}", nodes.sparkSession
+    for limit in ("Level", "Row"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
     nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(body.replace("{nodes}", view))
+    return spark.sql(body.replace("{nodes}", view))
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(ancestor, node_id, depth) for all nodes; each is its own descendant at depth 0."""
-    return _recursive(nodes, """
+def descendants(nodes: DataFrame, of: int | None = None) -> DataFrame:
+    """(ancestor, node_id, depth) for all nodes, or only below ``of``; each is its own descendant at depth 0."""
+    where = "" if of is None else f"WHERE node_id = {int(of)}"
+    return _recursive(nodes, f"""
         WITH RECURSIVE r(ancestor, node_id, depth) AS (
-          SELECT node_id, node_id, 0 FROM {nodes}
-          UNION ALL SELECT r.ancestor, n.node_id, r.depth + 1 FROM r JOIN {nodes} n ON n.parent_id = r.node_id)
+          SELECT node_id, node_id, 0 FROM {{nodes}} {where}
+          UNION ALL SELECT r.ancestor, n.node_id, r.depth + 1 FROM r JOIN {{nodes}} n ON n.parent_id = r.node_id)
         SELECT ancestor, node_id, depth FROM r""")
 
 
+def ancestors(nodes: DataFrame, of: int) -> DataFrame:
+    """(node_id, depth) of the node ``of``, at depth 0, and those above it."""
+    return _recursive(nodes, f"""
+        WITH RECURSIVE r(node_id, parent_id, depth) AS (
+          SELECT node_id, parent_id, 0 FROM {{nodes}} WHERE node_id = {int(of)}
+          UNION ALL SELECT n.node_id, n.parent_id, r.depth + 1 FROM r JOIN {{nodes}} n ON n.node_id = r.parent_id)
+        SELECT node_id, depth FROM r""")
+
+
 def preorder(nodes: DataFrame) -> DataFrame:
     """``nodes`` reached from roots with depth and ``path``, the ordinals from the root on; sorting by path walks in pre-order."""
     return _recursive(nodes, """
@@ -70,7 +83,7 @@ class SceneGraph:
 
     def remove(self, node_id: int) -> None:
         """The node with all below it; an unknown id changes nothing."""
-        gone = descendants(self.nodes).filter(F.col("ancestor") == node_id).select("node_id")
+        gone = descendants(self.nodes, node_id).select("node_id")
         self.nodes = self.nodes.join(gone, "node_id", "left_anti").select(*self.nodes.columns)
 
     def move(self, node_id: int, parent_id: int) -> bool:
@@ -95,7 +108,7 @@ class SceneGraph:
 
     def is_descendant(self, child: int, ancestor: int) -> bool:
         """Whether ``ancestor`` is ``child`` or above it."""
-        return bool(descendants(self.nodes).filter((F.col("ancestor") == ancestor) & (F.col("node_id") == child)).limit(1).count())
+        return bool(ancestors(self.nodes, child).filter(F.col("node_id") == ancestor).limit(1).count())
 
     def query(self, predicate) -> DataFrame:
         """Nodes for which a column expression holds."""

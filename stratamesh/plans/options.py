@@ -37,11 +37,11 @@ class MeshLoadOptions:
 
 @dataclass(frozen=True)
 class EngineOptions:
-    """``exact_ids``: grow regions to number them as sequential growth does. ``compat``: leave mesh transforms out of extraction."""
+    """``exact_ids``: grow regions, which decide the numbers of entities; without it they follow the first triangles. ``compat``: leave mesh transforms out of extraction."""
 
     chunk_size: int = 200_000
     cache_capacity: int = 64
-    exact_ids: bool = False
+    exact_ids: bool = True
     compat: bool = False
     regions: RegionGrowingOptions = field(default_factory=RegionGrowingOptions)
     topology: TopologyMergeOptions = field(default_factory=TopologyMergeOptions)

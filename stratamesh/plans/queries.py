@@ -140,6 +140,75 @@ def decode_binary(spark, sf_dir):
     return rounded(made.select(F.when(F.col("mesh_id") % 2 == 0, "glb").otherwise("ply").alias("kind"), F.expr("mesh_id div 2").alias("tri_id"), "cx", "cy", "cz"))
 
 
+@query("decode_text", f"WITH {X.SP} SELECT kind, tri_id, {_r('cx', 'cy', 'cz')} FROM st, (VALUES ('ply'), ('gltf'), ('b3dm')) AS k(kind)")
+def decode_text(spark, sf_dir):
+    """Each soup triangle as ASCII PLY, as glTF with its buffer in a data URI, and as a GLB within a b3dm."""
+    v = X.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 9).alias("p"))
+
+    def write(frames):
+        import base64
+        import json
+        import struct
+
+        def document(buffer: dict) -> bytes:
+            text = json.dumps({"meshes": [{"primitives": [{"attributes": {"POSITION": 0}}]}], "buffers": [{"byteLength": 36, **buffer}], "bufferViews": [{"buffer": 0, "byteLength": 36}], "accessors": [{"bufferView": 0, "componentType": 5126, "type": "VEC3", "count": 3}]}).encode()
+            return text + b" " * (-len(text) % 4)
+
+        for frame in frames:
+            out = []
+            for i, p in zip(frame["vec_id"], frame["p"]):
+                body = np.asarray(p, dtype="<f4").tobytes()
+                lines = [" ".join(f"{x:.9g}" for x in p[k : k + 3]) for k in (0, 3, 6)]
+                ply = "\n".join(["ply", "format ascii 1.0", "element vertex 3", *(f"property float {a}" for a in "xyz"), "element face 1", "property list uchar int vertex_indices", "end_header", *lines, "3 0 1 2", ""]).encode()
+                gltf = document({"uri": "data:application/octet-stream;base64," + base64.b64encode(body).decode()})
+                head = document({})
+                glb = struct.pack("<I4s", len(head), b"JSON") + head + struct.pack("<I4s", len(body), b"BIN\0") + body
+                glb = b"glTF" + struct.pack("<II", 2, 12 + len(glb)) + glb
+                b3dm = b"b3dm" + struct.pack("<II4I", 1, 28 + 8 + len(glb), 8, 0, 0, 0) + b'{"a":0} ' + glb
+                out += [(3 * i, "m.ply", ply), (3 * i + 1, "m.gltf", gltf), (3 * i + 2, "m.b3dm", b3dm)]
+            yield pd.DataFrame(out, columns=["ordinal", "path", "content"])
+
+    decoded = decoders.DecoderRegistry().decode_files(v.mapInPandas(write, "ordinal long, path string, content binary"))
+    made = mesh.triangles(decoded.select(F.col("ordinal").alias("mesh_id"), "format", "positions", "indices", "transform"))
+    kind = F.element_at(F.array(*map(F.lit, ("ply", "gltf", "b3dm"))), (F.col("mesh_id") % 3 + 1).cast("int"))
+    return rounded(made.select(kind.alias("kind"), F.expr("mesh_id div 3").alias("tri_id"), "cx", "cy", "cz"))
+
+
+@query("tile_set", "SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS mesh_id, round(20 * n_regionkey + 2 / 3.0e0, 6) AS cx, round(2 * n_nationkey + 2 / 3.0e0, 6) AS cy, round(5.0e0, 6) AS cz FROM nation WHERE n_nationkey <> 3")
+def tile_set(spark, sf_dir):
+    """A tile set written and read back: a nested one for each region, shifted and doubled in size, a file for each nation; one file is missing."""
+    import json
+    import uuid
+
+    from .storage import put, shared_dir
+
+    folder = f"{shared_dir(spark)}/strata-tiles-{uuid.uuid4().hex}"
+    shift = lambda scale, *at: [scale if k % 5 == 0 and k < 15 else 0 for k in range(12)] + [*at, 1]
+    nations = X.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows
+    children = []
+    for r in sorted({n.n_regionkey for n in nations}):
+        inner = [{"transform": shift(1, 0, n.n_nationkey, 0), "content": {"url": f"n{n.n_nationkey}.obj?v=2#top"}} for n in nations if n.n_regionkey == r]
+        put(spark, f"{folder}/sub/r{r}.json", json.dumps({"root": {"children": inner}}).encode())
+        children.append({"transform": shift(2, 20 * r, 0, 5), "content": {"uri": f"sub/r{r}.json?x=1"}})
+    for n in nations:
+        if n.n_nationkey != 3:
+            put(spark, f"{folder}/sub/n{n.n_nationkey}.obj", b"v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    put(spark, f"{folder}/tileset.json", json.dumps({"root": {"children": children}}).encode())
+    made = mesh.triangles(tiles3d.read_tileset(spark, f"{folder}/tileset.json"))
+    return rounded(made.select("mesh_id", "cx", "cy", "cz"))
+
+
+@query("matrix_product", "WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, c * 4 + r AS slot, round(e[r + 1] * e[16 + 4 * c + 1] + e[4 + r + 1] * e[16 + 4 * c + 2] + e[8 + r + 1] * e[16 + 4 * c + 3] + e[12 + r + 1] * e[16 + 4 * c + 4], 6) + 0.0e0 AS value FROM m, range(4) AS a(c), range(4) AS b(r)")
+def matrix_product(spark, sf_dir):
+    """Products of two column-major matrices from each embedding."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([(i, k, x) for i, e in zip(frame["vec_id"], frame["embedding"]) for k, x in enumerate(tiles3d.matrix_product([float(a) for a in e[:16]], [float(a) for a in e[16:32]]))], columns=["vec_id", "slot", "value"])
+
+    return rounded(X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, slot long, value double"))
+
+
 @query("tile_budget", "WITH t AS (SELECT o_orderkey AS ordinal, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), r AS (SELECT ordinal, n, coalesce(sum(n) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT ordinal, n AS triangles FROM r WHERE before < 1000")
 def tile_budget(spark, sf_dir):
     """Orders as tiles, line items as triangles: tiles in order until 1000 triangles were loaded."""
@@ -275,11 +344,11 @@ def support_merge_pairs(spark, sf_dir):
     return topology.support_pairs(regions.region_summary(*_field(spark, sf_dir)))
 
 
-@query("connected_regions", f"WITH RECURSIVE {X.HR}, k AS (SELECT a, b FROM hk WHERE b = a + 1), e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), r(id, reach) AS (SELECT region_id, region_id FROM hg UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS region_id, min(reach) AS component FROM r GROUP BY id")
+@query("connected_regions", f"WITH RECURSIVE {X.HR}, k AS (SELECT a, b FROM hk), e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), r(id, reach) AS (SELECT region_id, region_id FROM hg UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id AS region_id, min(reach) AS component FROM r GROUP BY id")
 def connected_regions(spark, sf_dir):
-    """Tiles joined with their right neighbours."""
+    """Tiles joined with all tiles they border on."""
     _, edges, own = _field(spark, sf_dir)
-    return regions.connected_regions(regions.region_adjacency(edges, own).filter("b = a + 1"), own)
+    return regions.connected_regions(regions.region_adjacency(edges, own), own)
 
 
 @query("region_growing")
@@ -441,6 +510,47 @@ def touching(spark, sf_dir):
     return relations.touches(topology.entity_neighbors(regions.touch_counts(edges, own), bridge))
 
 
+@query("contained_in", f"WITH {X.BR}, most AS (SELECT from_id FROM br WHERE type = 'contain' GROUP BY 1 ORDER BY count(*) DESC, from_id LIMIT 1) SELECT to_id AS id FROM br WHERE type = 'contain' AND from_id = (SELECT from_id FROM most)")
+def contained_in(spark, sf_dir):
+    """What the box holds that holds most."""
+    graph = _graph(spark, sf_dir)
+    most = graph.query("contain").groupBy("from_id").count().orderBy(F.desc("count"), "from_id").first()
+    return graph.contained(most["from_id"])
+
+
+def _touching_graph(spark, sf_dir):
+    tris, edges, own = _field(spark, sf_dir)
+    bridge = own.select("region_id", F.col("region_id").alias("entity_id")).distinct()
+    touches = relations.touches(topology.entity_neighbors(regions.touch_counts(edges, own), bridge))
+    return relations.SpatialGraph(touches, bridge.select("entity_id"))
+
+
+@query("touching_of", f"WITH {X.HR} SELECT CASE WHEN a = 1001 THEN b ELSE a END AS id FROM hk WHERE a = 1001 OR b = 1001")
+def touching_of(spark, sf_dir):
+    return _touching_graph(spark, sf_dir).touching(1001)
+
+
+@query("graph_edit", f"WITH {X.HR} SELECT a AS from_id, b AS to_id, 'touch' AS type, 1.0e0 AS weight FROM hk UNION ALL SELECT 1001, 5, 'support', 0.5e0")
+def graph_edit(spark, sf_dir):
+    return _touching_graph(spark, sf_dir).add_edge(1001, 5, "support", 0.5).edges
+
+
+@query("graph_nodes", f"WITH {X.HR} SELECT region_id AS entity_id FROM hg UNION ALL SELECT -5")
+def graph_nodes(spark, sf_dir):
+    return _touching_graph(spark, sf_dir).add_node(spark.createDataFrame([(-5,)], "entity_id long")).nodes
+
+
+@query("triangle_neighbors", f"WITH {X.HE} SELECT tri_id, {_r('cx', 'cy', 'cz')} FROM ht WHERE tri_id IN (SELECT dst FROM he WHERE src = 40)")
+def triangle_neighbors(spark, sf_dir):
+    return rounded(adjacency.TriangleGraph.build(X.height_field(spark, sf_dir)).neighbors(40).select("tri_id", "cx", "cy", "cz"))
+
+
+@query("triangle_graph_edit", f"WITH {X.HE}, e AS (SELECT src, dst FROM he UNION SELECT 0, 40 UNION SELECT 40, 0) SELECT tri_id, count(dst) AS degree FROM ht LEFT JOIN e ON src = tri_id GROUP BY tri_id")
+def triangle_graph_edit(spark, sf_dir):
+    """Degrees once two triangles have been joined, twice."""
+    return adjacency.TriangleGraph.build(X.height_field(spark, sf_dir)).add_edge(0, 40).add_edge(40, 0).degree()
+
+
 _POINT = "(user_id % 100) / 25.0e0 - 2 AS x, (event_id % 97) / 24.0e0 - 2 AS y, (event_id % 89) / 22.0e0 - 2 AS z"
 
 
@@ -507,6 +617,64 @@ def scene_move(spark, sf_dir):
     return tree.nodes.fillna(-1, ["parent_id"])
 
 
+def _tree(spark, sf_dir):
+    return scene.SceneGraph(spark, X.scene_nodes(spark, sf_dir))
+
+
+_NODE = "node_id, coalesce(parent_id, -1) AS parent_id, entity_id, label, ordinal"
+
+
+@query("scene_root", "SELECT 0::BIGINT AS node_id, -1::BIGINT AS parent_id, -1::BIGINT AS entity_id, 'scene' AS label, 0::BIGINT AS ordinal")
+def scene_root(spark, sf_dir):
+    return scene.SceneGraph(spark).nodes.fillna(-1, ["parent_id"])
+
+
+@query("scene_add", f"WITH {X.TREE}, k AS (SELECT max(node_id) + 1 AS id, max(CASE WHEN parent_id = 3 THEN ordinal END) + 1 AS o FROM tn) SELECT {_NODE} FROM tn UNION ALL SELECT id, 3, -1, 'group', o FROM k UNION ALL SELECT id + 1, id, 77, 'one', 0 FROM k UNION ALL SELECT id + 2, id, 78, 'two', 1 FROM k")
+def scene_add(spark, sf_dir):
+    """A group under a node, and two entities in it."""
+    tree = _tree(spark, sf_dir)
+    group = tree.add_group("group", 3)
+    tree.add_entity(77, "one", group)
+    tree.add_entity(78, "two", group)
+    return tree.nodes.fillna(-1, ["parent_id"])
+
+
+@query("scene_rebuild", f"WITH {X.TREE}, {X.BX} SELECT {_NODE} FROM tn WHERE node_id = 0 UNION ALL SELECT (SELECT max(node_id) FROM tn) + row_number() OVER (ORDER BY entity_id), 0, entity_id, label, row_number() OVER (ORDER BY entity_id) - 1 FROM bx")
+def scene_rebuild(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    tree.rebuild(X.boxes(spark, sf_dir))
+    return tree.nodes.fillna(-1, ["parent_id"])
+
+
+@query("scene_lookup", f"WITH {X.TREE} SELECT {_NODE}, entity_id AS of_node FROM tn WHERE node_id = 1003")
+def scene_lookup(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return tree.get_node(1003).fillna(-1, ["parent_id"]).withColumn("of_node", F.lit(tree.get_entity_by_node(1003)).cast("long"))
+
+
+@query("scene_query", f"WITH {X.TREE} SELECT node_id FROM tn WHERE label LIKE '%A%'")
+def scene_query(spark, sf_dir):
+    return _tree(spark, sf_dir).query(F.col("label").contains("A")).select("node_id")
+
+
+@query("scene_size", f"WITH {X.TREE} SELECT count(*) AS size FROM tn")
+def scene_size(spark, sf_dir):
+    return spark.createDataFrame([(_tree(spark, sf_dir).size(),)], "size long")
+
+
+@query("scene_entities", f"WITH RECURSIVE {X.TREE}, {_WALK} SELECT t.entity_id, row_number() OVER (ORDER BY path) - 1 AS rank FROM w JOIN tn t USING (node_id) WHERE t.entity_id <> -1")
+def scene_entities(spark, sf_dir):
+    """Entities in pre-order."""
+    return with_dense_ids(_tree(spark, sf_dir).iter_entities(), "path", "rank").select("entity_id", "rank")
+
+
+@query("scene_is_below", f"WITH RECURSIVE {X.TREE}, u AS (SELECT node_id, parent_id FROM tn WHERE node_id = 1003 UNION ALL SELECT t.node_id, t.parent_id FROM u JOIN tn t ON t.node_id = u.parent_id) SELECT r_regionkey + 1 AS node_id, r_regionkey + 1 IN (SELECT node_id FROM u) AS below FROM region")
+def scene_is_below(spark, sf_dir):
+    """For each region whether a supplier hangs below it."""
+    tree = _tree(spark, sf_dir)
+    return spark.createDataFrame([(r.r_regionkey + 1, tree.is_descendant(1003, r.r_regionkey + 1)) for r in X.table(spark, sf_dir, "region").collect()], "node_id long, below boolean")  # five rows
+
+
 # ------------------------------------------------------------------ entities
 
 
@@ -551,9 +719,10 @@ def entity_split(spark, sf_dir):
     return rounded(made.select(*_ENTITY_COLUMNS))
 
 
-@query("entity_rebuild", f"WITH {X.HR}, b AS ({_BOXED.format(e='region_id // 1000', w='tri_id % 3 = 0')}) SELECT entity_id, triangle_count, {_r(*CORNERS)} FROM b")
+@query("entity_rebuild", f"WITH {X.HR}, b AS ({_BOXED.format(e='region_id // 1000', w='true')}) SELECT entity_id, triangle_count, {_r(*CORNERS)} FROM b")
 def entity_rebuild(spark, sf_dir):
-    """Boxes of entities of which a third of the triangles is left."""
+    """Boxes of entities from their triangles anew, once those they had are lost."""
     of_regions, tris = _members(spark, sf_dir)
-    made = entities.rebuild_geometry(entities.build(of_regions, tris), tris.filter("tri_id % 3 = 0"))
+    lost = entities.build(of_regions, tris).withColumns({c: F.lit(0.0) for c in CORNERS})
+    made = entities.rebuild_geometry(lost, tris)
     return rounded(made.select("entity_id", "triangle_count", *CORNERS))

@@ -53,6 +53,14 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._shared_path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file, in any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

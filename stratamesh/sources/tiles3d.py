@@ -6,6 +6,7 @@ import json
 import posixpath
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ def matrix_product(a: list[float], b: list[float]) -> list[float]:
 
 
 def resolve(base: str, uri: str) -> str:
+    """The file that ``uri`` names beside ``base``; what follows ? or # names no file."""
+    if not uri.startswith("data:"):
+        uri = uri.split("#")[0].split("?")[0]
     return uri if uri.startswith(("http://", "https://", "data:", "file:", "/")) or "://" in uri else posixpath.join(base, uri)
 
 
@@ -80,17 +84,35 @@ def within_budget(decoded: DataFrame, options: MeshLoadOptions) -> DataFrame:
     return decoded.join(used.select("ordinal"), "ordinal", "left_semi")
 
 
+def existing(spark: SparkSession, paths: set[str]) -> list[str]:
+    """Those of ``paths`` that are there, by listing each of their folders once; a folder that cannot be listed has none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, set[str]] = {}
+    for p in paths:
+        folders.setdefault(posixpath.dirname(p), set()).add(posixpath.basename(p))
+    found = []
+    for folder, names in folders.items():
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(folder or ".")
+            there = {status.getPath().getName() for status in at.getFileSystem(conf).listStatus(at)}
+        except Py4JJavaError:
+            continue
+        found += [posixpath.join(folder, n) for n in sorted(names & there)]
+    return sorted(found)
+
+
 def read_tileset(spark: SparkSession, path: str, options: MeshLoadOptions = MeshLoadOptions(), registry: DecoderRegistry | None = None, compat: bool = False) -> DataFrame:  # noqa: B008
-    """Meshes of a tile set, in depth-first order; contents that fail are left out and not counted."""
+    """Meshes of a tile set, in depth-first order; contents that are missing or fail are left out and not counted."""
 
     def load(at: str) -> bytes:
         return bytes(spark.read.format("binaryFile").load(at).select("content").first()[0])
 
     tiles = walk(load, path, options, compat)
-    if not tiles:
+    there = existing(spark, {p for _, p, _ in tiles if not p.startswith("data:")})
+    if not there:
         return numbered((registry or DecoderRegistry()).decode_files(spark.createDataFrame([], "ordinal long, path string, content binary, transform array<double>")))
     named = spark.createDataFrame([(i, p, t, posixpath.basename(p)) for i, p, t in tiles], "ordinal long, at string, transform array<double>, name string")
-    files = spark.read.format("binaryFile").load(sorted({p for _, p, _ in tiles})).select(F.col("path"), "content")
+    files = spark.read.format("binaryFile").load(there).select(F.col("path"), "content")
     # Readers give paths with a scheme; the written ones are their ends.
     joined = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(named, "name").filter(F.col("path").endswith(F.regexp_replace("at", "^[a-z0-9]+:/*", "")))
     decoded = (registry or DecoderRegistry()).decode_files(joined.select("ordinal", "path", "content", "transform"), keep_failures=True)

@@ -15,17 +15,22 @@ from stratamesh.sources import synthetic
 from .test_vectors import meshes
 
 BOX = "entity_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, label string"
-ROOM = [(0, 0.0, 0.0, 0.0, 4.0, 4.0, 0.5, "ground"), (1, 1.0, 1.0, 0.6, 2.0, 2.0, 1.5, "roof"), (2, -1.0, -1.0, -1.0, 6.0, 6.0, 6.0, "wall")]
+#: A desk under a ceiling lamp's shelf, a crate that stands on the desk with a ball in it, and a hall around all.
+HALL = [
+    (10, -8.0, -8.0, -2.0, 8.0, 8.0, 12.0, "wall"), (11, -3.0, -2.0, 0.0, 3.0, 2.0, 1.25, "ground"), (12, -1.0, -1.0, 1.75, 1.0, 1.0, 3.25, "roof"),
+    (13, -0.25, -0.25, 2.0, 0.25, 0.25, 2.5, "surface"), (14, 3.375, -2.0, 0.0, 5.0, 2.0, 1.0, "ground"),
+]
 
 
-def test_room(spark):
-    graph = SpatialGraph.from_entities(spark.createDataFrame(ROOM, BOX), spark.createDataFrame([(0, 1), (1, 0)], "entity_id long, neighbor_id long"))
+def test_hall(spark):
+    graph = SpatialGraph.from_entities(spark.createDataFrame(HALL, BOX), spark.createDataFrame([(11, 14), (14, 11)], "entity_id long, neighbor_id long"))
     ids = lambda df: {r.id for r in df.collect()}
-    assert ids(graph.supporters(1)) == {0} and ids(graph.supported(0)) == {1}
-    assert ids(graph.contained(2)) == {0, 1} and ids(graph.touching(0)) == {1} and ids(graph.neighbors(1)) == {0, 2}
-    assert graph.query("contain", 1).count() == 1 and graph.get_node(1).count() == 1 and graph.node_count() == 3
-    assert graph.add_edge(0, 2, "touch").edge_count() == graph.edge_count() + 1
-    assert SpatialGraph.from_entities(spark.createDataFrame(ROOM, BOX)).query("touch").count() == 0
+    assert ids(graph.contained(10)) == {11, 12, 13, 14} and ids(graph.contained(12)) == {13}
+    assert 11 in ids(graph.supporters(12)) and 12 in ids(graph.supported(11))
+    assert ids(graph.touching(14)) == {11} and ids(graph.query("adjacent", 14).select(F.col("from_id").alias("id"))) == {11}
+    assert graph.neighbors(13).count() >= 2 and graph.get_node(14).count() == 1 and graph.node_count() == 5
+    assert graph.add_edge(13, 10, "touch").edge_count() == graph.edge_count() + 1
+    assert SpatialGraph.from_entities(spark.createDataFrame(HALL, BOX)).query("touch").count() == 0
 
 
 def test_equal_boxes_contain_once(spark):
@@ -35,8 +40,8 @@ def test_equal_boxes_contain_once(spark):
 
 
 def test_pick_takes_the_first_box(spark):
-    points = spark.createDataFrame([(0, 1.5, 1.5, 1.0), (1, 0.0, 0.0, 0.0), (2, 99.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
-    assert {r.point_id: r.entity_id for r in relations.pick(spark.createDataFrame(ROOM, BOX), points).collect()} == {0: 1, 1: 0, 2: None}
+    points = spark.createDataFrame([(0, 0.1, 0.1, 2.25), (1, 4.0, 0.0, 0.5), (2, 99.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    assert {r.point_id: r.entity_id for r in relations.pick(spark.createDataFrame(HALL[1:], BOX), points).collect()} == {0: 12, 1: 14, 2: None}
 
 
 def test_boxes_and_axes(spark):

@@ -1,5 +1,7 @@
 """Adjacency, components, regions and growth, also against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratamesh.operators import adjacency, components, mesh, numbering, regions
+from stratamesh.operators.scene import SceneGraph
 from stratamesh.plans.options import RegionGrowingOptions
+from stratamesh.plans.storage import materialise
 from stratamesh.sources import synthetic
 
 from .test_vectors import meshes
@@ -127,3 +131,61 @@ def test_running_sums_by_ranges_and_in_one_window(spark, monkeypatch, rows):
     got = {r.k: r.s for r in numbering.sums_before(df, ["k"], {"s": "two"}).collect()}
     assert got == {k: 2 * k for k in range(100)}
     assert [r.n for r in numbering.with_dense_ids(df, "k", "n").orderBy("k").collect()] == list(range(100))
+
+
+def test_trees_deeper_than_the_sessions_limit(spark):
+    rows = [(0, None, -1, "scene", 0), *((k, k - 1, k, "link", 0) for k in range(1, 131))]
+    tree = SceneGraph(spark, materialise(spark.createDataFrame(rows, "node_id bigint, parent_id bigint, entity_id bigint, label string, ordinal bigint")))
+    assert tree.is_descendant(130, 0) and not tree.is_descendant(0, 130)
+    tree.remove(125)
+    assert tree.size() == 125
+
+
+def brute_regions(points, normals, corners, o):
+    """Growth and absorption, one triangle at a time."""
+    n = len(points)
+    angle = lambda a, b: np.degrees(np.arccos(min(1.0, abs(a[0] * b[0] + a[1] * b[1] + a[2] * b[2]))))
+    apart = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+    sides = [{frozenset((c[k], c[(k + 1) % 3])) for k in range(3)} for c in corners.tolist()]
+    near = [[j for j in range(n) if j != i and (sides[i] & sides[j] or apart(points[i], points[j]) <= o.max_distance)] for i in range(n)]
+    curved = [np.float32(sum(angle(normals[i], normals[j]) for j in near[i]) / max(1, len(near[i]))) for i in range(n)]
+    of, regions = {}, []
+    for seed in sorted(range(n), key=lambda i: (curved[i], i)):
+        if seed in of:
+            continue
+        of[seed], queue = len(regions), [seed]
+        for t in queue:
+            for j in near[t]:
+                if j not in of and angle(normals[j], normals[seed]) <= o.max_angle and apart(points[j], points[seed]) <= o.max_distance and curved[j] <= o.max_curvature:
+                    of[j] = len(regions)
+                    queue.append(j)
+        regions.append(queue)
+    for r, own in enumerate(regions):
+        if len(own) < o.min_region_size:
+            counts = {}
+            for t in own:
+                for j in near[t]:
+                    if of[j] != r:
+                        counts[of[j]] = counts.get(of[j], 0) + 1
+            if counts:
+                target = max(counts, key=counts.get)  # the first of equals
+                for t in own:
+                    of[t] = target
+                regions[target] += own
+                regions[r] = []
+    order = sorted(set(of.values()))
+    return [order.index(of[i]) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_growth_matches_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x, y = np.meshgrid(np.arange(6), np.arange(6))
+    z = rng.choice([0.0, 0.02, 0.6], 36)
+    v = np.stack([x.ravel() * 0.5, y.ravel() * 0.5, z], axis=1)
+    corners = np.array([c for j in range(5) for i in range(5) for a in [6 * j + i] for c in ((a, a + 1, a + 7), (a, a + 7, a + 6))])
+    p = v[corners]
+    cross = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+    normals = cross / np.linalg.norm(cross, axis=1, keepdims=True)
+    options = RegionGrowingOptions(max_angle=25.0, max_distance=1.1, max_curvature=30.0, min_region_size=4)
+    assert regions.grow(p.mean(axis=1), normals, corners, options).tolist() == brute_regions(p.mean(axis=1), normals, corners, options)
