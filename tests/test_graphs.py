@@ -160,19 +160,18 @@ def brute_regions(points, normals, corners, o):
                     of[j] = len(regions)
                     queue.append(j)
         regions.append(queue)
-    for r, own in enumerate(regions):
-        if len(own) < o.min_region_size:
-            counts = {}
-            for t in own:
-                for j in near[t]:
-                    if of[j] != r:
-                        counts[of[j]] = counts.get(of[j], 0) + 1
-            if counts:
-                target = max(counts, key=counts.get)  # the first of equals
-                for t in own:
-                    of[t] = target
-                regions[target] += own
-                regions[r] = []
+    for r in [r for r, own in enumerate(regions) if len(own) < o.min_region_size]:
+        counts = {}
+        for t in regions[r]:
+            for j in near[t]:
+                if of[j] != r:
+                    counts[of[j]] = counts.get(of[j], 0) + 1
+        if counts:
+            target = max(counts, key=counts.get)  # the first of equals
+            for t in regions[r]:
+                of[t] = target
+            regions[target] += regions[r]
+            regions[r] = []
     order = sorted(set(of.values()))
     return [order.index(of[i]) for i in range(n)]
 
