@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from itertools import product
 
 import numpy as np
@@ -141,33 +140,72 @@ def triangle_components(tris: DataFrame, tolerance: float) -> DataFrame:
     return tris.select(*KERNEL).groupBy("chunk_id").applyInPandas(run, "chunk_id long, tri_id long, component long")
 
 
-def neighbours_of(points: np.ndarray, corners: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacency of a chunk as bounds and a flat list: sorted neighbours by shared edge or nearness."""
-    n = len(points)
-    ends = np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [2, 0]]]), axis=1)
-    _, edge = np.unique(ends, axis=0, return_inverse=True)
-    held: dict[int, list[int]] = {}
-    for t, e in zip((np.arange(3 * n) % n).tolist(), edge.ravel().tolist()):
-        held.setdefault(e, []).append(t)
-    a = [x for ts in held.values() for x in ts for y in ts if x != y]
-    b = [y for ts in held.values() for x in ts for y in ts if x != y]
-    sources, targets = [np.array(a, dtype=np.int64)], [np.array(b, dtype=np.int64)]
-    if tolerance > 0 and n:
-        order, bound, keys, step = _cells(points, tolerance)
-        for o in product((-1, 0, 1), repeat=3):
-            at = np.minimum(np.searchsorted(keys, keys + int(np.dot(o, step))), len(keys) - 1)
-            mine = np.flatnonzero(keys[at] == keys + int(np.dot(o, step)))
-            other = at[mine]
-            count_a, count_b = bound[mine + 1] - bound[mine], bound[other + 1] - bound[other]
-            pairs = count_a * count_b
-            which = np.repeat(np.arange(len(mine)), pairs)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-            p, q = order[bound[mine][which] + k // count_b[which]], order[bound[other][which] + k % count_b[which]]
-            met = (p != q) & (np.sqrt(((points[p] - points[q]) ** 2).sum(axis=1)) <= tolerance)
-            sources.append(p[met])
-            targets.append(q[met])
-    both = np.unique(np.concatenate(sources) * n + np.concatenate(targets)) if n else np.empty(0, dtype=np.int64)
-    return np.searchsorted(both, np.arange(n + 1) * n), both % n if n else both
+#: Pairs of triangles compared at a time.
+PAIR_BLOCK = 2_000_000
+
+
+class Neighbours:
+    """Adjacency of a chunk by shared edge or nearness; near pairs are found when asked for and never held all at once."""
+
+    def __init__(self, points: np.ndarray, corners: np.ndarray, tolerance: float):
+        self.points, self.tolerance, n = points, tolerance, len(points)
+        ends = np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [2, 0]]]), axis=1)
+        edge = np.unique(ends[:, 0] * (int(ends.max(initial=0)) + 1) + ends[:, 1], return_inverse=True)[1]
+        order = np.argsort(edge, kind="stable")
+        edge, owner = edge[order], (np.arange(3 * n) % max(n, 1))[order]
+        pairs, live, d = [np.empty(0, dtype=np.int64)], np.arange(3 * n), 1
+        while len(live := live[live + d < 3 * n]) and len(live := live[edge[live] == edge[live + d]]):
+            x, y = owner[live], owner[live + d]
+            pairs += [(x * n + y)[x != y], (y * n + x)[x != y]]
+            d += 1
+        both = np.unique(np.concatenate(pairs))
+        self.edge_from, self.edge_to = (both // n, both % n) if n else (both, both)
+        self.edge_bound = np.searchsorted(self.edge_from, np.arange(n + 1))
+        self.near = tolerance > 0 and n > 0
+        if self.near:
+            self.order, self.bound, keys, step = _cells(points, tolerance)
+            self.cell = np.empty(n, dtype=np.int64)
+            self.cell[self.order] = np.repeat(np.arange(len(keys)), np.diff(self.bound))
+            to = keys[:, None] + np.array([int(np.dot(o, step)) for o in product((-1, 0, 1), repeat=3)])
+            self.around = np.minimum(np.searchsorted(keys, to), len(keys) - 1)
+            self.met = keys[self.around] == to
+
+    def _about(self, cell: int) -> np.ndarray:
+        """Triangles in and around a cell."""
+        return np.concatenate([self.order[self.bound[c] : self.bound[c + 1]] for c in self.around[cell][self.met[cell]].tolist()])
+
+    def of(self, t: int) -> np.ndarray:
+        """Sorted neighbours of a triangle."""
+        out = self.edge_to[self.edge_bound[t] : self.edge_bound[t + 1]]
+        if self.near:
+            about = self._about(self.cell[t])
+            close = about[np.sqrt(((self.points[about] - self.points[t]) ** 2).sum(axis=1)) <= self.tolerance]
+            out = np.union1d(out, close[close != t])
+        return out
+
+    def mean_angles(self, normals: np.ndarray) -> np.ndarray:
+        """The mean angle in degrees between each triangle's normal and those of its neighbours, 0 without any."""
+        n = len(self.points)
+        total, count = np.zeros(n), np.zeros(n)
+        a, b = self.edge_from, self.edge_to
+        if self.near:
+            apart = np.sqrt(((self.points[a] - self.points[b]) ** 2).sum(axis=1)) > self.tolerance
+            a, b = a[apart], b[apart]  # the others are met among the near ones
+            for cell in range(len(self.bound) - 1):
+                own, about = self.order[self.bound[cell] : self.bound[cell + 1]], self._about(cell)
+                step = max(1, PAIR_BLOCK // len(about))
+                for at in range(0, len(own), step):
+                    t = own[at : at + step]
+                    gap = self.points[t][:, None, :] - self.points[about][None, :, :]
+                    i, j = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= self.tolerance)
+                    i, j = i[t[i] != about[j]], j[t[i] != about[j]]
+                    turn = np.arccos(np.minimum(1.0, np.abs((normals[t[i]] * normals[about[j]]).sum(axis=1))))
+                    total[t] += np.bincount(i, weights=turn, minlength=len(t))
+                    count[t] += np.bincount(i, minlength=len(t))
+        turn = np.arccos(np.minimum(1.0, np.abs((normals[a] * normals[b]).sum(axis=1))))
+        total += np.bincount(a, weights=turn, minlength=n)
+        count += np.bincount(a, minlength=n)
+        return np.degrees(total) / np.maximum(count, 1)
 
 
 def grow(points: np.ndarray, normals: np.ndarray, corners: np.ndarray, options: RegionGrowingOptions) -> np.ndarray:
@@ -178,37 +216,27 @@ def grow(points: np.ndarray, normals: np.ndarray, corners: np.ndarray, options:
     the region's triangles as they joined; those without neighbours stay. Ids are dense, in the order of seeds.
     """
     n = len(points)
-    bound, near = neighbours_of(points, corners, options.max_distance)
-    source = np.repeat(np.arange(n), np.diff(bound))
-    angle = np.degrees(np.arccos(np.minimum(1.0, np.abs((normals[source] * normals[near]).sum(axis=1)))))
-    degree = np.diff(bound)
-    curved = (np.bincount(source, weights=angle, minlength=n) / np.maximum(degree, 1)).astype(np.float32)
+    near = Neighbours(points, corners, options.max_distance)
+    curved = near.mean_angles(normals).astype(np.float32)
     region = np.full(n, -1)
     count, joined = 0, []  # triangles of each region in the order in which they joined
     for seed in np.lexsort((np.arange(n), curved)).tolist():
         if region[seed] >= 0:
             continue
-        region[seed] = count
-        queue, own = deque([seed]), [seed]
-        while queue:
-            t = queue.popleft()
-            out = near[bound[t] : bound[t + 1]]
-            out = out[region[out] < 0]
-            if not len(out):
-                continue
-            turn = np.degrees(np.arccos(np.minimum(1.0, np.abs(normals[out] @ normals[seed]))))
-            apart = np.sqrt(((points[out] - points[seed]) ** 2).sum(axis=1))
-            out = out[(turn <= options.max_angle) & (apart <= options.max_distance) & (curved[out] <= options.max_curvature)]
-            region[out] = count
-            queue.extend(out.tolist())
-            own.extend(out.tolist())
-        joined.append(own)
+        # What may join lies within the distance of the seed, so it is a neighbour of the seed itself: one step reaches all.
+        out = near.of(seed)
+        out = out[(region[out] < 0) & (curved[out] <= options.max_curvature)]
+        turn = np.degrees(np.arccos(np.minimum(1.0, np.abs(normals[out] @ normals[seed]))))
+        apart = np.sqrt(((points[out] - points[seed]) ** 2).sum(axis=1))
+        out = out[(turn <= options.max_angle) & (apart <= options.max_distance)]
+        region[seed] = region[out] = count
+        joined.append([seed, *out.tolist()])
         count += 1
     small = np.flatnonzero(np.bincount(region, minlength=count) < options.min_region_size)
     if len(small):
         members = dict(enumerate(joined))
         for r in small.tolist():
-            out = np.concatenate([near[bound[t] : bound[t + 1]] for t in members[r]] or [np.empty(0, dtype=np.int64)])
+            out = np.concatenate([near.of(t) for t in members[r]] or [np.empty(0, dtype=np.int64)])
             other = region[out]
             other = other[other != r]
             if len(other):
