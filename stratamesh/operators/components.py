@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, row_count
 
 #: Up to so many edges (16 bytes each) are solved in one task, without rounds of shuffles.
 LOCAL_EDGES = 2_000_000
@@ -64,8 +64,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     back, so a node with very many edges does not gather them in one task.
     """
     known = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    e = materialise(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if e.count() <= LOCAL_EDGES:
+    e = materialise(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), counted=True)
+    if row_count(e) <= LOCAL_EDGES:
         kind = e.schema["u"].dataType.simpleString()
         return e.coalesce(1).mapInPandas(_solve, f"node {kind}, root {kind}")
     loops = e.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))

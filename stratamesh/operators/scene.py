@@ -56,7 +56,7 @@ class SceneGraph:
     def __init__(self, spark: SparkSession, nodes: DataFrame | None = None, next_id: int | None = None):
         self.spark = spark
         self.nodes = nodes if nodes is not None else spark.createDataFrame([(0, None, GROUP, "scene", 0)], SCENE_SCHEMA)
-        self.next_id = next_id if next_id is not None else (self.nodes.agg(F.max("node_id")).first()[0] or 0) + 1
+        self.next_id = next_id if next_id is not None else 1 if nodes is None else (self.nodes.agg(F.max("node_id")).first()[0] or 0) + 1
 
     def _append(self, rows: list[tuple]) -> None:
         self.nodes = self.nodes.unionByName(self.spark.createDataFrame(rows, SCENE_SCHEMA))
@@ -74,11 +74,12 @@ class SceneGraph:
     def add_group(self, label: str, parent_id: int = 0) -> int:
         return self.add_entity(GROUP, label, parent_id)
 
-    def add_entities(self, entities: DataFrame, parent_id: int = 0) -> None:
-        """All of ``entities`` (entity_id, label) in the order of their ids, under one parent; numbered without leaving Spark."""
-        k = F.col("__k")
-        more = with_dense_ids(entities.select("entity_id", "label"), "entity_id", "__k").select((k + self.next_id).alias("node_id"), F.lit(parent_id).cast("long").alias("parent_id"), F.col("entity_id").cast("long"), "label", (k + self._next_ordinal(parent_id)).alias("ordinal"))
-        self.next_id += entities.count()
+    def add_entities(self, entities: DataFrame, parent_id: int = 0, ordinal: int | None = None) -> None:
+        """All of ``entities`` (entity_id, label) in the order of their ids, under one parent, last or from ``ordinal`` on; numbered without leaving Spark."""
+        k, rows = F.col("__k"), entities.count()
+        ordinal = self._next_ordinal(parent_id) if ordinal is None else ordinal
+        more = with_dense_ids(entities.select("entity_id", "label"), "entity_id", "__k", rows).select((k + self.next_id).alias("node_id"), F.lit(parent_id).cast("long").alias("parent_id"), F.col("entity_id").cast("long"), "label", (k + ordinal).alias("ordinal"))
+        self.next_id += rows
         self.nodes = self.nodes.unionByName(more)
 
     def remove(self, node_id: int) -> None:
@@ -120,4 +121,4 @@ class SceneGraph:
     def rebuild(self, entities: DataFrame) -> None:
         """Drop what hangs on the root and add all entities anew; ids go on growing."""
         self.nodes = self.nodes.filter(F.col("node_id") == 0)
-        self.add_entities(entities)
+        self.add_entities(entities, ordinal=0)

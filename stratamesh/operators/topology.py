@@ -84,6 +84,6 @@ def merge_across_chunks(entities: DataFrame, pairs: DataFrame) -> tuple[DataFram
     summed = [c for c in ("area", "region_count", "triangle_count") if c in entities.columns]
     other = [c for c in entities.columns if c not in (*summed, *CORNERS, "entity_id")]
     made = keyed.groupBy("key").agg(*box_aggregates(), *(F.sum(c).alias(c) for c in summed), *(F.min_by(c, "entity_id").alias(c) for c in other))
-    made = with_dense_ids(materialise(made), "key")
+    made = with_dense_ids(materialise(made, counted=True), "key")
     ids = keyed.select(F.col("entity_id").alias("old_id"), "key").join(made.select("key", "entity_id"), "key").select("old_id", "entity_id")
     return made.drop("key").select("entity_id", *(c for c in entities.columns if c != "entity_id")), ids

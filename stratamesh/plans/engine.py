@@ -17,7 +17,7 @@ from ..operators.scene import SceneGraph
 from ..sources.decoders import DecoderRegistry, read_meshes
 from ..sources.tiles3d import read_tileset
 from .options import EngineOptions, MeshLoadOptions
-from .storage import materialise
+from .storage import materialise, row_count
 
 
 def segment(tris: DataFrame, tolerance: float, exact: regions.RegionGrowingOptions | None = None) -> DataFrame:
@@ -44,7 +44,10 @@ def segment(tris: DataFrame, tolerance: float, exact: regions.RegionGrowingOptio
 def regions_of(segmented: DataFrame) -> DataFrame:
     """One row for each component, with a dense region_id over all chunks; nothing borders on a whole component."""
     made = regions.summaries(segmented, "chunk_id", "component", "first").withColumn("boundary_count", F.lit(0).cast("long"))
-    return with_dense_ids(materialise(made), ["chunk_id", "first"], "region_id")
+    made = materialise(made, counted=True)
+    if not row_count(made):
+        raise ValueError("no mesh loaded")
+    return with_dense_ids(made, ["chunk_id", "first"], "region_id")
 
 
 class MeshEngine:
@@ -100,11 +103,9 @@ class MeshEngine:
         self._cache.clear()
         self.segmented = materialise(segment(tris, o.regions.max_distance, o.regions if o.exact_ids else None))
         self.regions = regions_of(self.segmented)
-        if not self.regions.limit(1).count():
-            raise ValueError("no mesh loaded")
         pairs = topology.support_pairs(self.regions, o.topology) if o.topology.merge_support else self.regions.select(F.col("region_id").alias("a"), F.col("region_id").alias("b")).filter("false")
         made, keys = topology.entities_of(self.regions, pairs)
-        made = with_dense_ids(materialise(made), "key")
+        made = with_dense_ids(materialise(made, counted=True), "key")
         self.bridge = keys.join(made.select("key", "entity_id"), "key").select("region_id", "entity_id")
         entities = made.select("entity_id", "label", "area", "region_count", "triangle_count", *CORNERS)
         met = topology.cross_chunk_pairs(entities)

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: With this set, the shuffle files of a job go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,25 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, counted: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder, read it again.
 
     The shuffle files of the writing job go at once, the table with ``discard`` or when the driver's Python ends.
+    With ``counted`` its rows are counted as they are written, for ``row_count``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
+    before, seen = spark.conf.get(CLEANUP), Observation()
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
+    if counted:
+        table._rows = seen.get["rows"]
     return table
 
 
+def row_count(df: DataFrame) -> int:
+    """The rows of ``df``: those seen when it was written, else by a job."""
+    rows = getattr(df, "_rows", None)
+    return df.count() if rows is None else rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing will read any more."""
     for t in tables:
