@@ -11,30 +11,51 @@ from ..functions import vec as V
 from ..plans.options import ADJACENT_GAP, WEIGHTS
 from .geometry import CORNERS
 
-#: A box is copied to the cells of a coarse grid it covers; no relation holds at a larger x or y gap than this.
+#: No relation holds at a larger x or y gap than this.
 REACH = ADJACENT_GAP[1]
-CELL = 16.0
+#: Boxes are laid on grids of cells of side 2^level, each on the one whose cells are as large as it is; levels end here.
+LEVELS = (-20, 60)
 
 
+def _level(pad: float, axes: str = "xy") -> Column:
+    """The least level whose cells are as large as the box padded on each side: it covers two of them along an axis at most."""
+    side = F.greatest(*(F.col(f"max_{k}") - F.col(f"min_{k}") for k in axes), F.lit(0.0)) + F.lit(2 * pad)
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(2.0 ** LEVELS[0])))), F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / F.lit(cell)), F.floor(high / F.lit(cell)))
+def _levels(boxes: DataFrame, level: Column) -> Column:
+    """The levels that boxes have, as an array: 81 numbers at most, whatever the table."""
+    return boxes.agg(F.collect_set(level).alias("levels")).scalar()
 
 
-def box_pairs(boxes: DataFrame, key: str = "entity_id", cell: float = CELL, reach: float = REACH) -> DataFrame:
-    """(i, j, l_ and r_ box columns), i < j: boxes whose x and y gaps are at most ``reach``.
+def _cell(at: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), F.col("__level")))
 
-    Both sides are copied to the cells their padded footprint covers; a pair is kept in
-    the cell of the larger of both least corners only, so it appears once.
+
+def _laid(boxes: DataFrame, pad: float, axes: str = "xy") -> DataFrame:
+    """``boxes`` (with __level) once for each cell of that level that the padded box covers."""
+    for k in axes:
+        boxes = boxes.withColumn(f"__{k}", F.explode(F.sequence(_cell(F.col(f"min_{k}") - pad), _cell(F.col(f"max_{k}") + pad))))
+    return boxes
+
+
+def box_pairs(boxes: DataFrame, key: str = "entity_id", reach: float = REACH) -> DataFrame:
+    """(i, j, l_ and r_ box columns), i < j: all boxes whose x and y gaps are at most ``reach``, among others near by.
+
+    Two boxes meet on the grid of the larger one: every box is laid on its own grid and on those of larger boxes,
+    a few cells on each, so neither crowds of small boxes nor single huge ones make many rows. A pair is kept in the
+    cell of the larger of both least corners only, so it appears once.
     """
-    pad = F.lit(reach / 2 + 1e-9)
-    laid = boxes.withColumns({"__x": F.explode(_cells(F.col("min_x") - pad, F.col("max_x") + pad, cell))}).withColumn("__y", F.explode(_cells(F.col("min_y") - pad, F.col("max_y") + pad, cell)))
-    left = laid.select("__x", "__y", F.col(key).alias("i"), *(F.col(c).alias(f"l_{c}") for c in CORNERS))
-    right = laid.select("__x", "__y", F.col(key).alias("j"), *(F.col(c).alias(f"r_{c}") for c in CORNERS))
-    met = left.join(right, ["__x", "__y"]).filter("i < j")
-    first = [F.col(f"__{k}") == F.floor((F.greatest(f"l_min_{k}", f"r_min_{k}") - pad) / F.lit(cell)) for k in "xy"]
-    return met.filter(first[0] & first[1]).drop("__x", "__y")
+    pad = reach / 2 + 1e-9
+    own = boxes.select(F.col(key).alias("id"), *CORNERS, _level(pad).alias("__own"))
+    side = lambda df, p: _laid(df, pad).select("__level", "__x", "__y", F.struct("id", *CORNERS).alias(p), F.col("__own").alias(f"{p}_own"))
+    larger = side(own.withColumn("__level", F.col("__own")), "b")
+    levels = own.withColumn("__levels", _levels(boxes, _level(pad))).withColumn("__level", F.explode(F.filter("__levels", lambda x: x >= F.col("__own")))).drop("__levels")
+    met = side(levels, "a").join(larger, ["__level", "__x", "__y"]).filter("a_own < __level OR a.id < b.id")
+    for k in "xy":
+        met = met.filter(F.col(f"__{k}") == _cell(F.greatest(f"a.min_{k}", f"b.min_{k}") - pad))
+    ordered = met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))  # by id, which comes first
+    return ordered.select(F.col("l.id").alias("i"), F.col("r.id").alias("j"), *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "lr" for c in CORNERS))
 
 
 def relations_of_pairs(pairs: DataFrame) -> DataFrame:
@@ -67,12 +88,17 @@ def relations(boxes: DataFrame, neighbors: DataFrame | None = None, key: str = "
     return out if neighbors is None else touches(neighbors).unionByName(out)
 
 
-def pick(boxes: DataFrame, points: DataFrame, key: str = "entity_id", point: str = "point_id", cell: float = CELL) -> DataFrame:
-    """(point, key): of each point (x, y, z) the first box that holds it, faces included; null if none does."""
-    laid = boxes.withColumn("__x", F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))).withColumn("__y", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
-    at = points.withColumns({f"__{k}": F.floor(F.col(k) / F.lit(cell)) for k in "xy"})
+def pick(boxes: DataFrame, points: DataFrame, key: str = "entity_id", point: str = "point_id") -> DataFrame:
+    """(point, key): of each point (x, y, z) the first box that holds it, faces included; null if none does.
+
+    A box is laid on a grid of about half its size, three by three by three cells at most, a point on the grids that boxes have,
+    one cell on each. Cells are dealt over the tasks; the boxes of a cell wait (and spill) in a merge join while its points pass.
+    """
+    level = _level(0.0, "xyz") - 1
+    laid = _laid(boxes.select(key, *CORNERS).withColumn("__level", level), 0.0, "xyz")
+    at = points.select(point, *"xyz").withColumn("__level", F.explode(_levels(boxes, level))).withColumns({f"__{k}": _cell(F.col(k)) for k in "xyz"})
     inside = reduce(lambda p, q: p & q, (F.col(k).between(F.col(f"min_{k}"), F.col(f"max_{k}")) for k in "xyz"))
-    first = at.join(laid, ["__x", "__y"]).filter(inside).groupBy(point).agg(F.min(key).alias(key))
+    first = at.join(laid.hint("merge"), ["__level", "__x", "__y", "__z"]).filter(inside).groupBy(point).agg(F.min(key).alias(key))
     return points.select(point).join(first, point, "left")
 
 

@@ -1,5 +1,6 @@
 """Topology, relations, the scene tree, entity edits and the engine."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,24 @@ def test_kernel_timing(spark):
     tris = mesh.with_chunks(mesh.triangles(synthetic.tiled_scenes(spark, 1, 6)), 1000)
     row = regions.with_timing(tris, 0.5).first()
     assert (row.triangles, row.components) == (94, 3) and row.seconds >= 0
+
+
+def test_boxes_of_all_sizes_meet_and_are_picked(spark):
+    """Against all pairs: huge, flat, equal and zero-sized boxes among others; no huge box is laid on many cells."""
+    rng = np.random.default_rng(11)
+    n = 160
+    low, size = rng.normal(0, 20, (n, 3)), np.exp(rng.normal(0, 2, (n, 3)))
+    low[0], size[0] = -90_000, (200_000, 200_000, 2)
+    low[2], size[1:3] = low[1], 0
+    low[4], size[4] = low[3], size[3]
+    high, ids = low + size, np.arange(n)[::-1].tolist()
+    boxes = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, a, b in zip(ids, low, high)], "entity_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    met = [(r.i, r.j) for r in relations.box_pairs(boxes).select("i", "j").collect()]
+    gap = np.maximum(low[:, None] - high[None], low[None] - high[:, None])[:, :, :2].max(axis=2)
+    near = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a in range(n) for b in range(a) if gap[a, b] <= relations.REACH}
+    assert near <= set(met) and len(met) == len(set(met)) and all(i < j for i, j in met)
+    points = np.concatenate([rng.normal(0, 20, (60, 3)), low[:5], high[:5]])
+    held = {i: min((ids[k] for k in range(n) if (low[k] <= p).all() and (p <= high[k]).all()), default=None) for i, p in enumerate(points)}
+    asked = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "point_id int, x double, y double, z double")
+    assert {r.point_id: r.entity_id for r in relations.pick(boxes, asked).collect()} == held
+    assert relations.pick(boxes.limit(0), asked).filter("entity_id IS NOT NULL").count() == 0 and relations.box_pairs(boxes.limit(0)).count() == 0
