@@ -32,8 +32,9 @@ END_ID = 1
 #: Tokens of a class; pricing rounds of a solution at most; accuracy aimed at; tokens that a programmed sequence may leave free;
 #: share of the tokens that goes best-fit in the end.
 CLASS, ROUNDS, ACCURACY, GAP, RESIDUE = 32, 1500, 0.4, 2, 0.15
-#: Pieces of one length are ranked in so many parts, so that a hot length is not one task.
-PARTS = 64
+#: Pieces of one length are ranked in so many parts at least, and in more once a part would hold more than PART_ROWS,
+#: so that a hot length is neither one task nor a long one.
+PARTS, PART_ROWS = 64, 200_000
 #: Entries of a worker's cache of encoded words, and the longest word kept there.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 64
 
@@ -266,24 +267,28 @@ def runs(groups: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "base", "offset"), np.array(out, dtype=np.int64).reshape(-1, 4).T))
 
 
-def place(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def place(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part_rows: int = PART_ROWS) -> DataFrame:
     """``made`` (a table of pieces) with sequence_id and offset.
 
     Every piece is placed once; offsets of a sequence leave no gap; an empty table stays empty.
     """
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
-    counts = made.select("length", part.alias("part")).groupBy("length", "part").count().toPandas()  # capacity x PARTS rows at most
+    sizes = dict(made.groupBy("length").count().toPandas().itertuples(index=False))  # capacity rows at most
+    parts = [max(PARTS, -(-int(sizes.get(k + 1, 0)) // part_rows)) for k in range(capacity)]
+    most = max(parts)
+    parts_of = F.element_at(F.split(F.lit(",".join(map(str, parts))), ",").cast("array<long>"), F.col("length").cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", "piece"), parts_of).cast("int")
+    counts = made.select("length", part.alias("part")).groupBy("length", "part").count().toPandas()  # capacity x PARTS rows, and one for each PART_ROWS pieces
     counts = counts.sort_values(["length", "part"])
     before = (counts.groupby("length")["count"].cumsum() - counts["count"]).to_numpy(dtype=np.int64)
-    key = (counts["length"] * PARTS + counts["part"]).to_numpy(dtype=np.int64)
-    at = runs(plan({int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}, capacity, rounds))
+    key = (counts["length"] * most + counts["part"]).to_numpy(dtype=np.int64)
+    at = runs(plan({int(k): int(v) for k, v in sorted(sizes.items())}, capacity, rounds))
     start = (at["length"] << 44) + at["first"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             length = frame["length"].to_numpy(dtype=np.int64)
             rank = frame.pop("__rank").to_numpy(dtype=np.int64) - 1
-            rank = rank + before[np.searchsorted(key, length * PARTS + frame.pop("__part").to_numpy(dtype=np.int64))] if len(frame) else rank
+            rank = rank + before[np.searchsorted(key, length * most + frame.pop("__part").to_numpy(dtype=np.int64))] if len(frame) else rank
             k = np.searchsorted(start, (length << 44) + rank, side="right") - 1
             yield frame.assign(sequence_id=at["base"][k] + rank - at["first"][k], offset=at["offset"][k])
 

@@ -288,6 +288,18 @@ def test_packing_is_whole(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_hot_lengths_are_ranked_in_more_parts(spark):
+    made = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 5 == 0, F.col("id") % 4000 + 1).otherwise(700).cast("long").alias("length"))
+    sums = []
+    for part_rows in (10**6, 7):  # of the 2400 of one length, 64 and 343 parts
+        rows = packing.place(made, part_rows=part_rows).toPandas()
+        assert sorted(rows.doc_id) == list(range(3000)) and rows.length.sum() <= 4096 * rows.sequence_id.nunique()
+        for _, s in rows.sort_values("offset").groupby("sequence_id"):
+            assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 4096
+        sums.append(rows.sequence_id.nunique())
+    assert sums[0] == sums[1]
+
+
 def test_encoder_agrees_with_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
