@@ -338,7 +338,7 @@ def op9_pii(spark, sf_dir):
             for key, t in zip(frame["doc_id"], frame["text"]):
                 base, found = spans(t, model)
                 n = [sum(k == kind for k, *_ in base) for kind in range(4)]
-                out.append((key, *n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(found)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                out.append((key, *n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(found), len(found)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

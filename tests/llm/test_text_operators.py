@@ -141,6 +141,7 @@ def test_propagation_matches_enumeration_on_a_tree():
 def test_query_columns(spark, data):
     rows = pii.op9_pii(spark, data).collect()
     none = hashlib.sha256(b"").hexdigest()
+    assert all(r.n_spans == len(r.spans.split(",") if r.spans else []) >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
     assert all((r.base_sha256 == none) == (r.n_email + r.n_ip + r.n_card + r.n_phone == 0) for r in rows)
 
 
