@@ -18,12 +18,17 @@ from .geometry import box_aggregates
 KERNEL = ["chunk_id", "tri_id", "v0", "v1", "v2", "nx", "ny", "nz", "cx", "cy", "cz"]
 
 
-def curvature(tris: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tri_id, curvature): mean angle to the neighbours in degrees, as a 32-bit float; 0 without neighbours."""
+def mean_angles(tris: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tri_id, curvature): mean angle to the neighbours in degrees, as a double; 0 without neighbours."""
     at = lambda p: tris.select(F.col("tri_id").alias(p), *(F.col(f"n{a}").alias(f"{p}_{a}") for a in "xyz"))
     angles = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst")
     mean = angles.groupBy(F.col("src").alias("tri_id")).agg(F.avg(V.angle_between(V.vec("src_"), V.vec("dst_"))).alias("curvature"))
-    return tris.select("tri_id").join(mean, "tri_id", "left").select("tri_id", F.coalesce("curvature", F.lit(0.0)).cast("float").alias("curvature"))
+    return tris.select("tri_id").join(mean, "tri_id", "left").select("tri_id", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))
+
+
+def curvature(tris: DataFrame, edges: DataFrame) -> DataFrame:
+    """``mean_angles`` as 32-bit floats."""
+    return mean_angles(tris, edges).select("tri_id", F.col("curvature").cast("float").alias("curvature"))
 
 
 def region_adjacency(edges: DataFrame, regions: DataFrame) -> DataFrame:

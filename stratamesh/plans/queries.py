@@ -18,6 +18,7 @@ from ..sources import decoders, formats, synthetic, tiles3d
 from . import fixtures as X
 from .engine import MeshEngine, overlays
 from .options import EngineOptions, MeshLoadOptions, RegionGrowingOptions
+from .storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,10 +292,10 @@ def tri_curvature(spark, sf_dir):
 
 @query("seed_order", f"WITH {X.HE}, c AS (SELECT t.tri_id, round(coalesce(avg(degrees(acos(least(1.0e0, abs(t.nx*u.nx+t.ny*u.ny+t.nz*u.nz))))), 0), 3) AS c FROM ht t LEFT JOIN he ON src = t.tri_id LEFT JOIN ht u ON u.tri_id = dst GROUP BY t.tri_id) SELECT tri_id, row_number() OVER (ORDER BY c, tri_id) - 1 AS seed_rank FROM c")
 def seed_order(spark, sf_dir):
-    """Triangles by (curvature, id), the order of seeds."""
+    """Triangles by (curvature, id), the order of seeds; doubles are rounded, since a float may lie on the other side of a half."""
     tris = X.height_field(spark, sf_dir)
-    at = regions.curvature(tris, adjacency.both_ways(adjacency.edge_pairs(tris))).withColumn("c", F.round(F.col("curvature").cast("double"), 3))
-    return with_dense_ids(at.withColumn("o", F.struct("c", "tri_id")), "o", "seed_rank").select("tri_id", "seed_rank")
+    at = regions.mean_angles(tris, adjacency.both_ways(adjacency.edge_pairs(tris))).select("tri_id", F.round("curvature", 3).alias("c"))
+    return with_dense_ids(materialise(at, counted=True), ["c", "tri_id"], "seed_rank").select("tri_id", "seed_rank")
 
 
 def _field(spark, sf_dir):

@@ -33,6 +33,15 @@ def test_query_matches_sql(spark, duck, data, name):
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows([c[0] for c in cursor.description], cursor.fetchall())
 
 
+def test_seed_order_rounds_doubles(spark):
+    larger = "/root/testdata/sf0.1"  # smaller tables have no angle that a float would round otherwise
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
+    cursor = con.execute(SQL["seed_order"])
+    found = QUERIES["seed_order"](spark, larger)
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows([c[0] for c in cursor.description], cursor.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_has_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
