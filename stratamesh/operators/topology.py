@@ -28,6 +28,7 @@ def support_pairs(regions: DataFrame, options: TopologyMergeOptions = TopologyMe
     """(a, b): a faces up and its centroid lies above b's, by up to the support gap, and near it in x and y.
 
     Regions are binned in x and y by the radius (and by chunk, if there is one), so no pair farther apart is met.
+    Means of equal heights come out unequal in their last bits, as the order of summing has it: a rise counts from there on.
     """
     own = regions if "chunk_id" in regions.columns else regions.withColumn("chunk_id", F.lit(0).cast("long"))
     r = O.SUPPORT_RADIUS
@@ -36,9 +37,9 @@ def support_pairs(regions: DataFrame, options: TopologyMergeOptions = TopologyMe
     upper = own.filter(V.is_up_facing(F.col("nz"))).withColumn("o", around)
     upper = upper.select("chunk_id", (cell[0] + F.col("o.i")).alias("i"), (cell[1] + F.col("o.j")).alias("j"), F.col(key).alias("a"), *(F.col(f"c{k}").alias(f"a{k}") for k in "xyz"))
     lower = own.select("chunk_id", cell[0].alias("i"), cell[1].alias("j"), F.col(key).alias("b"), *(F.col(f"c{k}").alias(f"b{k}") for k in "xyz"))
-    rise = F.col("az") - F.col("bz")
+    rise, noise = F.col("az") - F.col("bz"), F.lit(O.EPSILON) * F.greatest(F.lit(1.0), F.abs("az"), F.abs("bz"))
     flat = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return upper.join(lower, ["chunk_id", "i", "j"]).filter("a <> b").filter((rise > 0) & (rise <= options.support_gap) & (flat <= r)).select("a", "b")
+    return upper.join(lower, ["chunk_id", "i", "j"]).filter("a <> b").filter((rise > noise) & (rise <= options.support_gap) & (flat <= r)).select("a", "b")
 
 
 def entities_of(regions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,6 +82,11 @@ def test_support_needs_a_rise_within_the_gap(spark):
     assert {tuple(r) for r in topology.support_pairs(own).collect()} == {(0, 1), (3, 1)}
 
 
+def test_equal_heights_do_not_support_each_other(spark):
+    own = region_rows(spark, (0, 1.0, 0.0, 0.0, 0.1 + 0.2, 1.0, 0), (1, 1.0, 1.0, 1.0, 0.3, 1.0, 0), (2, 1.0, 0.0, 1.0, 0.3 - 1e-9, 1.0, 0))
+    assert {tuple(r) for r in topology.support_pairs(own).collect()} == {(0, 2), (1, 2)}
+
+
 def test_scene_tree(spark):
     tree = SceneGraph(spark)
     group = tree.add_group("floor")
