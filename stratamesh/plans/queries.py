@@ -516,7 +516,7 @@ def contained_in(spark, sf_dir):
     """What the box holds that holds most."""
     graph = _graph(spark, sf_dir)
     most = graph.query("contain").groupBy("from_id").count().orderBy(F.desc("count"), "from_id").first()
-    return graph.contained(most["from_id"])
+    return graph.nodes.filter("false").select(F.col("entity_id").alias("id")) if most is None else graph.contained(most["from_id"])
 
 
 def _touching_graph(spark, sf_dir):

@@ -10,6 +10,7 @@ from stratamesh.operators.relations import SpatialGraph
 from stratamesh.operators.scene import SceneGraph
 from stratamesh.plans.engine import MeshEngine
 from stratamesh.plans.options import EngineOptions
+from stratamesh.plans.queries import QUERIES
 from stratamesh.plans.storage import materialise
 from stratamesh.sources import synthetic
 
@@ -34,6 +35,24 @@ def test_hall(spark):
     assert SpatialGraph.from_entities(spark.createDataFrame(HALL, BOX)).query("touch").count() == 0
 
 
+def test_lookups_find_only_what_is_asked(spark):
+    graph, whole = (SpatialGraph.from_entities(spark.createDataFrame(HALL, BOX)) for _ in range(2))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    every = rows(whole.edges)
+    for node in (10, 11, 12, 13, 14, 99):
+        assert rows(graph.query(None, node)) == [r for r in every if node in r[:2]]
+        assert rows(graph.contained(node)) == [r[1:2] for r in every if r[0] == node and r[2] == "contain"]
+        assert rows(graph.supporters(node)) == sorted(r[:1] for r in every if r[1] == node and r[2] == "support")
+    for kind in ("intersect", "contain", "adjacent", "support", "touch"):
+        assert rows(graph.query(kind)) == [r for r in every if r[2] == kind]
+    assert graph._edges is None and rows(graph.add_node(spark.createDataFrame(HALL[:1], BOX)).edges) == every
+
+
+def test_most_held_where_no_box_holds_another(spark, tmp_path):
+    spark.createDataFrame([(k, [0.1 + 0.3 * k] * 6, 0) for k in range(3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["contained_in"](spark, str(tmp_path)).count() == 0
+
+
 def test_equal_boxes_contain_once(spark):
     twice = [(i, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, "") for i in (3, 5)]
     found = relations.relations(spark.createDataFrame(twice, BOX)).filter("type = 'contain'").collect()
